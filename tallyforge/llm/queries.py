@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op9_mixing
 from .sharding import op5_sharding
+from .simhash import op3_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op5_sharding": op5_sharding,
     "op9_mixing": op9_mixing,
 }
