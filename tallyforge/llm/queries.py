@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op7_decontamination
 from .mixing import op9_mixing
 from .sharding import op5_sharding
 from .simhash import op3_simhash
@@ -13,6 +14,7 @@ from .simhash import op3_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_sharding": op5_sharding,
+    "op7_decontamination": op7_decontamination,
     "op9_mixing": op9_mixing,
 }
 
