@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op7_decontamination
+from .langid import op2_language_id
 from .mixing import op9_mixing
+from .secrets import op1_secrets
 from .sharding import op5_sharding
 from .simhash import op3_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op5_sharding": op5_sharding,
     "op7_decontamination": op7_decontamination,
