@@ -12,6 +12,7 @@ from .mixing import op9_mixing
 from .secrets import op1_secrets
 from .sharding import op5_sharding
 from .simhash import op3_simhash
+from .tokens import op8_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_sharding": op5_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,
 }
 
