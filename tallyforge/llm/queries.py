@@ -13,12 +13,14 @@ from .secrets import op1_secrets
 from .sharding import op5_sharding
 from .simhash import op3_simhash
 from .tokens import op8_tokens
+from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op5_sharding": op5_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,
