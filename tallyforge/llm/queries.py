@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op7_decontamination
 from .langid import op2_language_id
 from .mixing import op9_mixing
+from .pii import op4_pii
 from .secrets import op1_secrets
 from .sharding import op5_sharding
 from .simhash import op3_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
