@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op7_decontamination
+from .embeddings import op10_embeddings
 from .langid import op2_language_id
 from .mixing import op9_mixing
 from .pii import op4_pii
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
