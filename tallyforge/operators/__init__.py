@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Relational and statistical operators over draft facts."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Readers and writers: wide draft logs, card metadata, groupings, stored tables."""
