@@ -24,7 +24,7 @@ def group_label(colors: Column, faces: Column, type_line: Column) -> Column:
 
 def mana_symbols(cost: Column) -> Column:
     """The symbols of a mana cost such as ``{2}{W/U}``, in order."""
-    return F.filter(F.transform(F.split(F.translate(F.coalesce(cost, F.lit("")), "}", "{"), "[{]"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.translate(F.coalesce(cost, F.lit("")), "}", "{"), "[{]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def mana_value_of_cost(cost: Column) -> Column:

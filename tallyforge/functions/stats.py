@@ -20,10 +20,14 @@ def upper_tail(z: Column) -> Column:
     return F.lit(0.5) * poly * F.exp(-x * x)
 
 
-@F.pandas_udf("double")
-def exact_upper_tail(z: pd.Series) -> pd.Series:
-    """The same tail by ``erfc``, for any z."""
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore")
+def exact_upper_tail(z: Column) -> Column:
+    """The same tail by ``erfc`` in an Arrow batch function, for any z."""
+
+    @F.pandas_udf("double")
+    def tail(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)), na_action="ignore")
+
+    return tail(z)
 
 
 def ratio(a: Column, b: Column) -> Column:

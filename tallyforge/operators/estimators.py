@@ -70,7 +70,9 @@ def per_card(frame: DataFrame, columns: list[str], run: Callable[[pd.DataFrame],
         rows = [(m, pdf["card_a"].iloc[0], g, v) for m, g, v in run(pdf)]
         return pd.DataFrame(rows, columns=["method", "card_a", "group_b", "value"])
 
-    return thin.select(*keep).groupBy("card_a").applyInPandas(grouped, "method string, card_a string, group_b string, value double")
+    # Small in bytes, long to fit: a fixed number of partitions keeps AQE from merging the cards into one task.
+    parts = max(2 * frame.sparkSession.sparkContext.defaultParallelism, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return thin.select(*keep).repartition(parts, "card_a").groupBy("card_a").applyInPandas(grouped, "method string, card_a string, group_b string, value double")
 
 
 def match_cov(frame: DataFrame, groups: list[str], k: int = 3) -> DataFrame:

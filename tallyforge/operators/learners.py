@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Bins of a column at most.
+BINS = 65
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -43,35 +47,34 @@ class Tree:
 
     def fit(self, bins: np.ndarray, target: np.ndarray, weight: np.ndarray, rng: np.random.Generator | None = None) -> Tree:
         self.nodes: list[tuple] = []
-        self._grow(bins, target, weight, np.arange(len(bins)), 0, rng)
+        # Bins of all columns in one range of numbers: one count serves every column.
+        flat = bins + BINS * np.arange(bins.shape[1])
+        self._grow(flat, target, weight, np.arange(len(bins)), 0, rng)
         return self
 
-    def _grow(self, bins, target, weight, at, depth, rng) -> int:
+    def _grow(self, flat, target, weight, at, depth, rng) -> int:
         me = len(self.nodes)
-        total, mass = (weight[at] * target[at]).sum(), weight[at].sum()
+        w, width = weight[at], flat.shape[1]
+        wy = w * target[at]
+        total, mass = wy.sum(), w.sum()
         self.nodes.append((-1, 0, total / mass if mass > 0 else 0.0, 0, 0))
-        if depth == self.depth or len(at) < 2 * self.leaf:
+        if depth == self.depth or len(at) < 2 * self.leaf or mass <= 0:
             return me
-        best = (1e-12, -1, 0)
-        width = bins.shape[1]
-        chosen = range(width) if rng is None or self.columns >= 1 else rng.choice(width, max(1, int(self.columns * width)), replace=False)
-        for j in chosen:
-            b = bins[at, j]
-            n = np.cumsum(np.bincount(b, minlength=65))[:-1]
-            w = np.cumsum(np.bincount(b, weights=weight[at], minlength=65))[:-1]
-            s = np.cumsum(np.bincount(b, weights=weight[at] * target[at], minlength=65))[:-1]
-            ok = (n >= self.leaf) & (len(at) - n >= self.leaf) & (w > 0) & (mass - w > 0)
-            if ok.any():
-                gain = np.where(ok, s**2 / np.where(ok, w, 1) + (total - s) ** 2 / np.where(ok, mass - w, 1) - total**2 / mass, -1.0)
-                i = int(gain.argmax())
-                if gain[i] > best[0]:
-                    best = (gain[i], j, i)
-        if best[1] < 0:
+        rows = flat[at].ravel()
+        left = lambda v: np.cumsum(np.bincount(rows, weights=None if v is None else np.repeat(v, width), minlength=BINS * width).reshape(width, BINS), axis=1)[:, :-1]
+        n, lw, ls = left(None), left(w), left(wy)
+        ok = (n >= self.leaf) & (len(at) - n >= self.leaf) & (lw > 0) & (mass - lw > 0)
+        if self.columns < 1 and rng is not None:
+            out = rng.permutation(width)[max(1, int(self.columns * width)) :]
+            ok[out] = False
+        gain = np.where(ok, ls**2 / np.where(ok, lw, 1) + (total - ls) ** 2 / np.where(ok, mass - lw, 1) - total**2 / mass, -1.0)
+        best = int(gain.argmax())
+        if gain.flat[best] <= 1e-12:
             return me
-        _, j, cut = best
-        left = bins[at, j] <= cut
-        a = self._grow(bins, target, weight, at[left], depth + 1, rng)
-        b = self._grow(bins, target, weight, at[~left], depth + 1, rng)
+        j, cut = divmod(best, BINS - 1)
+        low = flat[at, j] - BINS * j <= cut
+        a = self._grow(flat, target, weight, at[low], depth + 1, rng)
+        b = self._grow(flat, target, weight, at[~low], depth + 1, rng)
         self.nodes[me] = (j, cut, self.nodes[me][2], a, b)
         return me
 
@@ -94,10 +97,10 @@ class Tree:
 
 
 class Binner:
-    """Columns to at most 64 quantile bins."""
+    """Columns to quantile bins."""
 
     def __init__(self, x: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 65)[1:-1])) for c in x.T]
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in x.T]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)])

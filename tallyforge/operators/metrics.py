@@ -97,16 +97,16 @@ def method_scores(scoring: DataFrame) -> DataFrame:
 def rank_spearman(scores: DataFrame) -> DataFrame:
     """Spearman correlation of the methods' order between variants: variant, method, metric columns.
 
-    Ranks are average ranks within a variant; correlations are one self-join per metric.
+    Ranks are average ranks within a variant, of values rounded to nine digits; correlations are one self-join per metric.
     """
-    long = scores.unpivot(["variant", "method"], list(METRICS), "metric", "x").where(finite(F.col("x")))
+    long = scores.unpivot(["variant", "method"], list(METRICS), "metric", "x").where(finite(F.col("x"))).withColumn("x", F.round("x", 9))
     by = Window.partitionBy("metric", "variant")
     low = F.rank().over(by.orderBy("x"))
     same = F.count("*").over(Window.partitionBy("metric", "variant", "x"))
     ranks = long.withColumn("rank", low + (same - 1) / 2.0)
     b = ranks.select("metric", "method", F.col("variant").alias("variant_b"), F.col("rank").alias("rank_b"))
     both = ranks.select("metric", "method", F.col("variant").alias("variant_a"), F.col("rank").alias("rank_a")).join(b, ["metric", "method"])
-    return both.where("variant_a < variant_b").groupBy("metric", "variant_a", "variant_b").agg(F.corr("rank_a", "rank_b").alias("rho"))
+    return both.where("variant_a < variant_b").groupBy("metric", "variant_a", "variant_b").agg((F.covar_pop("rank_a", "rank_b") / F.nullif(F.stddev_pop("rank_a") * F.stddev_pop("rank_b"), F.lit(0.0))).alias("rho"))
 
 
 def value_per_quanta(rows: DataFrame, x: str, y: str, *, bins: int = 5, quantile: bool = True, last: bool = False) -> DataFrame:
