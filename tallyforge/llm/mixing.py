@@ -28,7 +28,7 @@ from .common import Scratch, no_bigger, read, unit
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
-ROWS_PER_BIN = 4096
+ROWS_PER_BIN = 256
 MAX_BINS = 65_536
 #: Sources up to which the table of targets (five numbers a source) is broadcast.
 BROADCAST_SOURCES = 20_000
