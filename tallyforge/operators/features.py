@@ -80,3 +80,12 @@ def frame(facts: Facts, groups: list[str]) -> DataFrame:
 def covariates(df: DataFrame) -> list[str]:
     """Adjustment columns of a frame; the instrument is never among them."""
     return [c for c in df.columns if c not in NOT_COVARIATES and not c.startswith(("Y_", "on_", "fix_")) and c not in ("not_offered", "pips_total", "n_spells")]
+
+
+def core_view(columns: list[str]) -> list[str]:
+    """The core covariates in a frame's order; a frame without any relative column falls back to all it has."""
+    if not any(c in columns for c in CORE[:4]):
+        return list(columns)
+    if missing := [c for c in CORE if c not in columns]:
+        raise KeyError(f"frame lacks core covariates {missing}")
+    return [c for c in columns if c in CORE]

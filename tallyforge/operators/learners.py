@@ -195,7 +195,7 @@ class ThreeHeads:
             held[at[: len(at) // 5]] = True
         train, first, second = np.nonzero(~held)[0], {n: 0.0 for n in self.w}, {n: 0.0 for n in self.w}
         best, kept, waited, step, rate = np.inf, self.w, 0, 0, self.rate
-        for _ in range(self.epochs):
+        for self.epochs_run in range(1, self.epochs + 1):
             order = rng.permutation(train)
             for a in range(0, len(order), self.batch):
                 step += 1
@@ -213,6 +213,8 @@ class ThreeHeads:
                     break
         self.w = kept
         trivial = self._loss_of(np.full(held.sum(), t[~held].mean()), v[held] * 0, v[held] * 0, t[held], v[held])
+        self.best_loss, self.trivial_loss = best, trivial
+        # A net that cannot beat the mean outcome and the mean treatment says nothing.
         self.useful = bool(best < trivial * 1.02)
         return self
 

@@ -187,6 +187,24 @@ def propensity_diagnostics(x: Facts) -> DataFrame:
     return models.propensity_diagnostics(features.frame(x, features.groups_of(x)))
 
 
+@query
+def forest_diagnostics(x: Facts) -> DataFrame:
+    groups = features.groups_of(x)
+    return models.forest_diagnostics(features.frame(x, groups), groups[0])
+
+
+@query
+def net_report(x: Facts) -> DataFrame:
+    groups = features.groups_of(x)
+    return models.net_report(features.frame(x, groups), groups)
+
+
+@query
+def propensity_tuning(x: Facts) -> DataFrame:
+    """Held-out Brier scores of boosted propensities over a small grid."""
+    return models.tune(features.frame(x, features.groups_of(x)), [], {"trees": [20, 50], "depth": [2, 3]})
+
+
 def scoring(x: Facts) -> DataFrame:
     """Reference effects with the estimates that need no model, stored before they are scored."""
     truth = stored(iv.reference_effects(x).select("card_a", "group_b", "late", "se_late"), "effects")

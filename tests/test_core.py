@@ -253,3 +253,32 @@ def test_report(spark):
 def test_rank_separation_rejects_bad_steps(spark):
     with pytest.raises(ValueError):
         resample.rank_separation(scoring_rows(spark).where("method = 'm'"), r=0.6)
+
+
+def test_histogram_and_profiles(spark, x, tmp_path):
+    from tallyforge.sources import sinks
+
+    text = sinks.histogram_json(facts.pack_length_hist(x.picks))
+    assert list(sinks.read_histogram(text)) == sorted(sinks.read_histogram(text))
+    sinks.save_profiles({"logit": {"c": 1.0}}, str(tmp_path / "p.json"))
+    assert sinks.load_profiles(str(tmp_path / "p.json"), models.PROFILES)["logit"] == {"c": 1.0}
+    with pytest.raises(ValueError):
+        sinks.load_profiles(str(tmp_path / "p.json"), {"forest": {}})
+
+
+def test_grids_and_views():
+    space = {"a": [1, 2], "b": [3, 4, 5]}
+    assert [models.decode_grid(i, space) for i in (0, 1, 5)] == [{"a": 1, "b": 3}, {"a": 1, "b": 4}, {"a": 2, "b": 5}]
+    assert len({tuple(p.items()) for p in models.random_grid(space, 4)}) == 4 and len(models.random_grid(space, 99)) == 6
+    assert features.core_view([*features.CORE, "x"]) == list(features.CORE) and features.core_view(["x"]) == ["x"]
+    with pytest.raises(KeyError):
+        features.core_view(["oncolor_pip_share"])
+
+
+def test_model_reports(spark):
+    frame = synthetic(spark, 900)
+    report = {r["figure"]: r["value"] for r in models.net_report(frame, ["g"]).collect()}
+    assert report["n_rows"] == 900 and report["fitted"] == 1 and report["epochs"] >= 1
+    diag = {r["figure"]: r["value"] for r in models.forest_diagnostics(frame, "g").collect()}
+    assert diag["tau_att"] == pytest.approx(2, abs=0.6) and diag["r_loss"] > 0
+    assert models.tune(frame, [], {"trees": [5, 10]}).count() == 2
