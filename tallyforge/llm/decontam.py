@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, no_bigger, read
+from .common import Scratch, documents, no_bigger, read
 
 WINDOW = 13
 #: A document is contaminated if one word in this many is hit.
@@ -157,6 +157,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = contamination(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")

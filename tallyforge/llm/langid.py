@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, read, texts_of, unit
+from .common import blocks, documents, map_arrow, texts_of, unit
 
 BUCKETS = 1 << 14
 ORDERS = 3
@@ -165,6 +165,6 @@ def identified(docs: DataFrame, *, least: float = 0.5, rows_per_lang: int = ROWS
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = identify(docs, docs.where(~held_out(F.col("doc_id"))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

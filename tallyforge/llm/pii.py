@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, texts_of
+from .common import documents, map_arrow, texts_of
 from .secrets import count_of, listed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -300,6 +300,6 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(read(spark, sf_dir, "documents"))
+    found = find_pii(documents(spark, sf_dir))
     counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))

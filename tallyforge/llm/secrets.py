@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, texts_of
+from .common import documents, map_arrow, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -118,6 +118,6 @@ def digest(spans: list[tuple[int, str, int]]) -> str:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(read(spark, sf_dir, "documents"))
+    found = find_secrets(documents(spark, sf_dir))
     counts = [count_of("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"), count_of("all", "random").alias("n_random"))

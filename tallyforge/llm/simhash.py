@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, read
+from .common import Scratch, documents, map_arrow
 from .components import connected_components
 
 SHINGLE = 3
@@ -155,5 +155,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read(spark, sf_dir, "documents"))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, read, texts_of
+from .common import blocks, documents, map_arrow, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -356,5 +356,5 @@ def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts(read(spark, sf_dir, "documents"))
+    found = token_counts(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

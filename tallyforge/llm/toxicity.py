@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, texts_of, unit
+from .common import documents, read, texts_of, unit
 from .langid import held_out
 
 TOXIC_ROWS = 1_500
@@ -160,7 +160,7 @@ def toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), read(spark, sf_dir, "labels")
     out = held_out(F.col("doc_id"))
     found = toxicity(docs, docs.where(~out), labels.where(~out))
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
