@@ -44,11 +44,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def runs(df: DataFrame) -> DataFrame:
     """``draft_id`` made unique per contiguous run, for logs whose ids come back.
 
-    Needs a ``row_pos`` column with the row's place in the file.
+    Needs a ``row_pos`` column with the row's place in the file. Within a run the place less
+    the row's number among its draft's rows is constant, so each draft is looked at by itself.
     """
-    order = Window.orderBy("row_pos")
-    changed = F.coalesce((F.lag("draft_id").over(order) != F.col("draft_id")).cast("int"), F.lit(0))
-    return df.withColumn("draft_id", F.concat_ws("/", "draft_id", F.sum(changed).over(order).cast("string")))
+    order = Window.partitionBy("draft_id").orderBy("row_pos")
+    return df.withColumn("_run", F.col("row_pos") - F.row_number().over(order)).withColumn("draft_id", F.concat_ws("/", "draft_id", F.col("_run").cast("string"))).drop("_run")
 
 
 def facts(log: DataFrame, cards: DataFrame, expected: list[str] | None = None) -> Facts:
