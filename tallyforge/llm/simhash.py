@@ -42,17 +42,22 @@ HOT_KEY = 1024
 MASK32 = 0xFFFFFFFF
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of all its words where they are fewer."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
     last = ends[shingle - 1 :] or ends[-1:]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a : b - 1], SEED) for a, b in zip(starts, last, strict=False)], dtype="<u8")
+    return np.array([h(joined[a : b - 1], SEED) for a, b in zip(starts, last, strict=False)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         some = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -123,21 +128,28 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, hot_key: int = H
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, shingle))
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(classes.select("fp"), scratch, hot_key), scratch)
-    joined = scratch.keep(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
-    least = scratch.keep(joined.where("root is not null").groupBy("root").agg(F.min("rep").alias("least")))
-    named = scratch.keep(joined.join(least, "root", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
+    named = components_of(classes, "fp", links(classes.select("fp"), scratch, hot_key), scratch)
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def components_of(classes: DataFrame, node: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node`` and component_id, the least ``rep`` that it reaches, for every row of ``classes``."""
+    roots = connected_components(edges, scratch)
+    joined = scratch.keep(classes.select(node, "rep").join(roots.withColumnRenamed("node", node), node, "left"))
+    least = scratch.keep(joined.where("root is not null").groupBy("root").agg(F.min("rep").alias("least")))
+    return scratch.keep(joined.join(least, "root", "left").select(node, F.coalesce("least", "rep").alias("component_id")))
+
+
+def deduplicated(docs: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row for each component: that of the least doc_id.
 
+    ``components`` has doc_id, text_hash and component_id; ``near_duplicates`` makes it if not given.
+
     Of several rows with this doc_id the one of least text hash stays, once. Only the rows
     to go are joined with the texts, and few of them travel as a broadcast.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    found = scratch.keep(near_duplicates(docs, **options))
+    found = scratch.keep(near_duplicates(docs) if components is None else components)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stay = found.where(first).groupBy("component_id").agg(F.min("text_hash").alias("_least"), F.count("*").alias("n"))
     again = scratch.keep(stay.where("n > 1").select(F.col("component_id").alias("_again"), "_least"))
