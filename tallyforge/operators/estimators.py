@@ -37,16 +37,39 @@ def naive(facts: Facts, *, offered_only: bool = False) -> DataFrame:
     return out.select(F.lit("satt_offered" if offered_only else "satt").alias("method"), "card_a", "group_b", value.alias("value"))
 
 
-def nearest(points: np.ndarray, pool: np.ndarray, k: int, block: int = 512) -> np.ndarray:
+def leading(rows: np.ndarray, k: int) -> np.ndarray:
+    """Indices, in order, of the rows with fewer than ``k`` equal ones before them."""
+    same = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(same[order]) != 0])
+    rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+    return np.sort(order[rank < k])
+
+
+def nearest(points: np.ndarray, pool: np.ndarray, k: int, block: int = 512, pool_block: int = 2048) -> np.ndarray:
     """Indices of the k nearest pool rows of each point; ties go to the earlier row.
 
     Distances are rounded to nine digits, so that equal covariates tie whatever the arithmetic.
+    Of equal pool rows only the first k can be among the nearest, and equal points have the same
+    ones; what is left is compared in blocks, so memory does not grow with the pool.
     """
+    if not len(points) or not k:
+        return np.empty((len(points), k), dtype=np.int64)
+    kept = leading(pool, k)
+    pool = pool[kept]
+    points, back = np.unique(points, axis=0, return_inverse=True)
     out = np.empty((len(points), k), dtype=np.int64)
     for a in range(0, len(points), block):
-        d = ((points[a : a + block, None, :] - pool[None, :, :]) ** 2).sum(axis=2).round(9)
-        out[a : a + block] = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return out
+        some = points[a : a + block, None, :]
+        best, at = np.empty((len(some), 0)), np.empty((len(some), 0), dtype=np.int64)
+        for b in range(0, len(pool), pool_block):
+            d = ((some - pool[None, b : b + pool_block, :]) ** 2).sum(axis=2).round(9)
+            at = np.hstack([at, np.broadcast_to(np.arange(b, b + d.shape[1]), d.shape)])
+            best = np.hstack([best, d])
+            order = np.argsort(best, axis=1, kind="stable")[:, :k]
+            best, at = np.take_along_axis(best, order, axis=1), np.take_along_axis(at, order, axis=1)
+        out[a : a + block] = at
+    return kept[out][back.ravel()]
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -55,15 +78,21 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return (x - x.mean(axis=0)) / np.where(sd > 1e-12, sd, 1.0) * (sd > 1e-12)
 
 
-def per_card(frame: DataFrame, columns: list[str], run: Callable[[pd.DataFrame], list[tuple]], *, max_controls: int = 50_000) -> DataFrame:
-    """Apply ``run`` to each card's rows: all treated and offered, and a bounded hash sample of the other controls.
+def per_card(frame: DataFrame, columns: list[str], run: Callable[[pd.DataFrame], list[tuple]], *, max_controls: int | None = None) -> DataFrame:
+    """Apply ``run`` to each card's rows: all of them, or all treated and a hash sample of about ``max_controls`` controls.
 
-    ``run`` returns (method, group_b, value) rows. Only cards with treated rows come to it.
+    The sample is drawn on the treatment alone, offered or not, and is the same for all groups of
+    a card; ``offered_controls`` then has the number of offered controls before it.
+    ``run`` returns (method, group_b, value) rows.
     """
     keep = ["card_a", "draft_id", "T", "not_offered", *columns]
-    sizes = frame.groupBy("card_a").agg(F.count_if(F.col("not_offered") == 1).alias("_pool"))
-    u = (F.shiftrightunsigned(F.xxhash64("draft_id", "card_a"), 11) / float(1 << 53))
-    thin = frame.join(F.broadcast(sizes), "card_a").where((F.col("not_offered") == 0) | (u * F.col("_pool") < max_controls))
+    thin = frame
+    if max_controls is not None:
+        control = F.col("T") == 0
+        sizes = frame.groupBy("card_a").agg(F.count_if(control).alias("_pool"), F.count_if(control & (F.col("not_offered") == 0)).alias("offered_controls"))
+        u = (F.shiftrightunsigned(F.xxhash64("draft_id", "card_a"), 11) / float(1 << 53))
+        thin = frame.join(F.broadcast(sizes), "card_a").where((F.col("T") == 1) | (u * F.col("_pool") < max_controls))
+        keep.append("offered_controls")
 
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("draft_id").reset_index(drop=True)

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyforge.operators import facts, fdr, features, iv, learners, metrics, models, resample
-from tallyforge.operators.estimators import nearest, per_card, ridge_imputation, scaled
+from tallyforge.operators.estimators import match_cov, nearest, per_card, ridge_imputation, scaled
 from tallyforge.plans import oracle, queries
 from tallyforge.report import cell, scores_table
 from tallyforge.sources import drafts
@@ -282,3 +282,28 @@ def test_model_reports(spark):
     diag = {r["figure"]: r["value"] for r in models.forest_diagnostics(frame, "g").collect()}
     assert diag["tau_att"] == pytest.approx(2, abs=0.6) and diag["r_loss"] > 0
     assert models.tune(frame, [], {"trees": [5, 10]}).count() == 2
+
+
+def test_every_control_is_read(spark):
+    rng = np.random.default_rng(3)
+    n = 60_000
+    cols = {c: rng.integers(0, 5, n).astype(float) for c in features.CORE}
+    offered, t = np.arange(n) % 3 == 0, np.arange(n) % 1500 == 0
+    y = rng.standard_normal(n)
+    frame = spark.createDataFrame(pd.DataFrame({"card_a": "k", "draft_id": np.arange(n), "T": t.astype(int), "not_offered": (~offered).astype(int), "Y_g": y, **cols}))
+    sizes = lambda p: [("n", k, float(v)) for k, v in (("all", len(p)), ("treated", p["T"].sum()), ("offered", (p["not_offered"] == 0).sum()))]
+    found = lambda df: {r["group_b"]: r["value"] for r in df.collect()}
+    assert found(per_card(frame, [], sizes)) == {"all": n, "treated": t.sum(), "offered": offered.sum()}
+    thin = found(per_card(frame, [], sizes, max_controls=6000))
+    assert thin["treated"] == t.sum() and thin["all"] - t.sum() == pytest.approx(6000, rel=0.1) and thin["offered"] - t.sum() == pytest.approx(2000, rel=0.1)
+    z = scaled(np.column_stack([cols[c] for c in features.CORE]))
+    at = [np.argsort(((p - z[~t]) ** 2).sum(axis=1).round(9), kind="stable")[:3] for p in z[t]]
+    expected = np.mean([v - y[~t][i].mean() for v, i in zip(y[t], at, strict=True)])
+    assert match_cov(frame, ["g"]).first()["value"] == pytest.approx(expected, abs=1e-9)
+
+
+def test_nearest_in_blocks_equals_a_whole_sort():
+    rng = np.random.default_rng(4)
+    points, pool = rng.integers(0, 4, (50, 3)) / 3, rng.integers(0, 4, (900, 3)) / 3
+    d = ((points[:, None, :] - pool[None, :, :]) ** 2).sum(axis=2).round(9)
+    assert (nearest(points, pool, 5, block=7, pool_block=11) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
