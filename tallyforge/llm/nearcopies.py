@@ -12,8 +12,9 @@ at 0.9 of 0.999; texts in larger groups have more than one way to meet.
 Equal fingerprints are one class from the start, so exact copies never meet each other. In a
 bucket of the table every fingerprint is paired with the first ``NEAR`` and the last ``NEAR``
 before it, in an order that is the same for all buckets. Up to 2 * NEAR + 1 fingerprints
-these are all pairs; beyond, they are linear in the bucket, and its members, which share many
-buckets with other firsts and neighbours, are joined through these. A bucket's entries are sorted in
+these are all pairs. Members of fuller buckets are besides joined exactly on their shingles
+(``crowd_pairs``), so a pair inside a large family is found although it is not adjacent there;
+what the pairs before have joined is not compared again. A bucket's entries are sorted in
 numpy within one task: 12 bytes an entry, with parts sized by ``PART_BYTES``.
 
 Defined cases: null, empty and blank texts are one class; texts of fewer words than a shingle
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow
@@ -108,7 +109,7 @@ def entries(classes: DataFrame, parts: int) -> DataFrame:
 
 
 def pairs_in(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one part of a table, each at most once a chunk."""
+    """Candidate pairs of one part of a table, each at most once a chunk; ``a = b`` for members of over-full buckets."""
     table = np.frombuffer(b"".join(packed), dtype=ENTRY)
     order = np.lexsort((table["id"], table["key"]))
     key, ident = table["key"][order], table["id"][order]
@@ -117,9 +118,11 @@ def pairs_in(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
     shared = np.repeat(sizes > 1, sizes)
     ident, sizes = ident[shared], sizes[sizes > 1]
     start = np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes) if len(sizes) else np.zeros(0, dtype=np.int64)
+    full = np.repeat(sizes > 2 * NEAR + 1, sizes)
     for at in range(0, len(ident), CHUNK):
         i, begin = np.arange(at, min(at + CHUNK, len(ident))), start[at : at + CHUNK]
-        met = []
+        crowded = np.unique(ident[i[full[at : at + CHUNK]]])
+        met = [(crowded, crowded)]
         for j in range(NEAR):
             for other in (begin + j, i - 1 - j):
                 ok = (other >= begin) & (other < i)
@@ -167,8 +170,9 @@ def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int, s
     met = dealt.mapInArrow(candidates, "a long, b long").distinct()
     side = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp"))
     both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_fp", "b_fp")
-    near = scratch.keep(map_arrow(both, within, "a long, b long, apart int"))
-    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = scratch.keep(map_arrow(both, within, "a long, b long, apart int"))
+    near, crowded = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("id"))
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.keep(shingle_sets(docs, scratch.keep(classes.join(ends, "id").select("id", "rep_hash")), shingle))
     # Of each class its nearest pair and a near one with the first of a group go first; then only pairs that these left apart.
     firsts = near.groupBy("b").agg(F.min_by("a", "apart").alias("nearest"), F.min(F.when(F.col("apart") <= SURE, F.col("a"))).alias("leader"))
@@ -177,7 +181,34 @@ def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int, s
     roots = connected_components(joined, scratch)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     apart = near.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    return joined.unionAll(alike(apart.select("a", "b"), sets, similarity))
+    return joined.unionAll(alike(apart.select("a", "b").unionAll(crowd_pairs(crowded, sets, roots, scratch, similarity)).distinct(), sets, similarity))
+
+
+def crowd_pairs(crowded: DataFrame, sets: DataFrame, roots: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """All pairs of the classes ``crowded`` (id) that can have the similarity and whose roots differ.
+
+    Exact, by prefixes: with every set in one order, rare shingles first, the first shingle that two
+    sets share bounds what they have in common by the rest of either. So it lies in the first
+    ninth or so of the smaller set and in the first fifth of the larger one (at 0.8). A family's
+    common shingles come behind those of its single members, and are in no prefix of the smaller
+    set unless the members are that similar.
+    """
+    rooted = crowded.join(sets, "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    held = rooted.select("id", F.coalesce("root", "id").alias("root"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle")) - 1
+    # A little slack, so that rounding drops nothing; the sets are verified afterwards.
+    enough = lambda common, total: common + F.lit(1e-6) >= F.lit(similarity) * (total - common)
+    rest = F.col("size") - F.col("place")
+    prefix = held.join(often, "shingle").withColumn("place", place).where((F.col("often") > 1) & (rest + F.lit(1e-6) >= F.lit(similarity) * F.col("size")))
+    member = F.struct("id", "size", rest.alias("rest"), enough(rest, 2 * F.col("size")).alias("short"))
+    # By shingle and root, so that members that are joined already never meet.
+    dealt = scratch.keep(prefix.select("shingle", "root", member.alias("m")).groupBy("shingle", "root").agg(F.collect_list("m").alias("members")))
+    smaller = dealt.select("shingle", F.col("root").alias("root_x"), F.filter("members", lambda m: m["short"]).alias("xs")).where(F.size("xs") > 0)
+    met = smaller.join(dealt.withColumnRenamed("members", "ys"), "shingle").where("root <> root_x")
+    both = met.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    ordered = F.struct("x.size", "x.id") < F.struct("y.size", "y.id")
+    return both.where(ordered & enough(F.least("x.rest", "y.rest"), F.col("x.size") + F.col("y.size"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -71,3 +71,19 @@ def test_repeats_and_nothing(spark):
     found = sorted((r["doc_id"] or -1, r["component_id"]) for r in nearcopies.near_copies(docs).collect())
     assert found == [(-1, 4), (2, 2), (3, 3), (4, 4), (4, 4)]
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_pairs_inside_a_family(spark):
+    """A few hundred texts of one template, mutually at about 0.7, hide pairs at 0.85."""
+    rng = random.Random(7)
+    base = [f"word{rng.randrange(5000)}" for _ in range(200)]
+    texts = [edited(rng, base, 4) for _ in range(600)]
+    texts += [edited(rng, t.split(), 3) for t in texts[::10]]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
+    expected, pairs = brute_force(rows)
+    assert len(pairs) > 50 and len(set(expected.values())) > 400
+    assert all(expected[i] == expected[found[i]] for i in found)
+    assert sum(found[a] != found[b] for a, b in pairs) <= 0.01 * len(pairs)
