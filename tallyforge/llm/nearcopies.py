@@ -1,7 +1,7 @@
 """SimHash near-duplicates at a Jaccard similarity, by multi-index hashing of wide fingerprints.
 
 At a similarity of 0.8 two 64-bit fingerprints differ in some ten bits, too many for a ball
-around them. So each 64-bit shingle hash is grown to ``WORDS`` words, whose majority is a
+around them. So each distinct 64-bit shingle hash is grown to ``WORDS`` words, whose majority is a
 fingerprint of 512 bits, cut into 16 segments of 32 bits. For every segment a table holds the
 ball of radius one around each fingerprint's segment; two fingerprints meet in it if the
 segments differ in at most two bits. What meets is verified on the complete distance
@@ -9,7 +9,8 @@ segments differ in at most two bits. What meets is verified on the complete dist
 is linked. A pair at similarity 0.8 meets with a probability of about 0.88, at 0.85 of 0.97,
 at 0.9 of 0.999; texts in larger groups have more than one way to meet.
 
-Equal fingerprints are one class from the start, so exact copies never meet each other. In a
+Equal sets of shingles are one class from the start, so exact copies never meet each other;
+equal fingerprints of different sets are verified like any other pair. In a
 bucket of the table every fingerprint is paired with the first ``NEAR`` and the last ``NEAR``
 before it, in an order that is the same for all buckets. Up to 2 * NEAR + 1 fingerprints
 these are all pairs. Members of fuller buckets are besides joined exactly on their shingles
@@ -28,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow
 from .components import connected_components
-from .simhash import components_of, shingle_hashes
+from .simhash import SEED, components_of, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -64,7 +66,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """The majority of the grown hashes, bit by bit; zero if there are none."""
+    """The majority of the grown distinct hashes, bit by bit; zero if there are none."""
     ones = np.zeros(64 * WORDS, dtype=np.int64)
     for at in range(0, len(hashes), 255):  # 255 ones fit a byte
         grown = mixed(hashes[at : at + 255, None] + STEPS)
@@ -73,14 +75,16 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """One row per row of ``docs``; ``id`` is a hash of its set of shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = [wide_fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "fp"])
+        sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+        prints = [wide_fingerprint(s) for s in sets]
+        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype="<u8").view("<i8")
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(ids)], ["doc_id", "text_hash", "fp", "id"])
 
-    made = map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, text_hash long, fp binary")
-    return made.withColumn("id", F.xxhash64("fp"))
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, text_hash long, fp binary, id long")
 
 
 def words_of(column: pa.Array) -> np.ndarray:

@@ -87,3 +87,13 @@ def test_pairs_inside_a_family(spark):
     assert len(pairs) > 50 and len(set(expected.values())) > 400
     assert all(expected[i] == expected[found[i]] for i in found)
     assert sum(found[a] != found[b] for a, b in pairs) <= 0.01 * len(pairs)
+
+
+def test_repeated_lines(spark):
+    """A repeated line is one line of the set: it neither joins different texts nor parts similar ones."""
+    rng = random.Random(11)
+    body = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    line, passage, text = " ".join(f"line{i}" for i in range(9)), " ".join(f"p{i}" for i in range(20)), body()
+    rows = list(enumerate([f"{' '.join([line] * 100)} {body()}", f"{' '.join([line] * 100)} {body()}", f"{text} {passage}", f"{text} {' '.join([passage] * 60)}"]))
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_force(rows)[0] == {0: 0, 1: 1, 2: 2, 3: 2}
