@@ -190,7 +190,7 @@ def propensity_diagnostics(x: Facts) -> DataFrame:
 @query
 def forest_diagnostics(x: Facts) -> DataFrame:
     groups = features.groups_of(x)
-    return models.forest_diagnostics(features.frame(x, groups), groups[0])
+    return models.forest_diagnostics(features.frame(x, groups), groups)
 
 
 @query

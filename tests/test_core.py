@@ -307,3 +307,12 @@ def test_nearest_in_blocks_equals_a_whole_sort():
     points, pool = rng.integers(0, 4, (50, 3)) / 3, rng.integers(0, 4, (900, 3)) / 3
     d = ((points[:, None, :] - pool[None, :, :]) ** 2).sum(axis=2).round(9)
     assert (nearest(points, pool, 5, block=7, pool_block=11) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_forest_diagnostics_of_all_groups(spark):
+    frame = synthetic(spark, 900).withColumn("Y_h", F.col("Y_g") - 2 * F.col("T"))
+    rows = models.forest_diagnostics(frame, ["g", "h"])
+    assert rows.columns == ["card_a", "group_b", "figure", "value"]
+    found = {(r["group_b"], r["figure"]): r["value"] for r in rows.collect()}
+    assert len(found) == 14 and found["g", "tau_att"] == pytest.approx(2, abs=0.6) and found["h", "tau_att"] == pytest.approx(0, abs=0.6)
+    assert found["g", "t_share"] == found["h", "t_share"]
