@@ -316,3 +316,11 @@ def test_forest_diagnostics_of_all_groups(spark):
     found = {(r["group_b"], r["figure"]): r["value"] for r in rows.collect()}
     assert len(found) == 14 and found["g", "tau_att"] == pytest.approx(2, abs=0.6) and found["h", "tau_att"] == pytest.approx(0, abs=0.6)
     assert found["g", "t_share"] == found["h", "t_share"]
+
+
+def test_registered_bootstraps_have_all_draws(spark):
+    used = [r["n_boot_used"] for r in queries.QUERIES["bootstrap_intervals"](spark, SF).collect()]
+    assert max(used) >= 1000
+    found = [r["p"] for r in queries.QUERIES["significance_matrix"](spark, SF).collect() if r["p"] is not None]
+    # One of six pairs can be significant alone.
+    assert found and min(found) < 0.05 / 6
