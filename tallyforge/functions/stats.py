@@ -30,6 +30,53 @@ def exact_upper_tail(z: Column) -> Column:
     return tail(z)
 
 
+def beta_fraction(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_fraction(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # Lentz's method; the terms of the fraction alternate between two forms.
+    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(300):
+        m = i // 2
+        if i == 0:
+            term = 1.0
+        elif i % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + term * d or tiny)
+        c = 1 + term / c or tiny
+        f *= c * d
+        if i and abs(1 - c * d) < 1e-14:
+            break
+    return front * (f - 1)
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The quantile of Student's t with ``df`` degrees of freedom, for p of 0.5 or more, by bisection."""
+    upper = lambda t: 0.5 * beta_fraction(df / (df + t * t), df / 2, 0.5)
+    low, high = 0.0, 1.0
+    while upper(high) > 1 - p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if upper(mid) > 1 - p else (low, mid)
+    return (low + high) / 2
+
+
+def t_half_width(sem: Column, n: Column, level: float) -> Column:
+    """Half the width of a t interval from a standard error over n values; null for fewer than two."""
+
+    @F.pandas_udf("double")
+    def half(s: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([t_quantile((1 + level) / 2, m - 1) * x if m > 1 and x == x else None for x, m in zip(s, k, strict=True)], dtype="float64")
+
+    return half(sem, n.cast("double"))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; null where b is 0."""
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))

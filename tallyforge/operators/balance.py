@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..sources.tables import Facts
-from .facts import lengths, valid_drafts
+from .facts import drafts
 from .iv import arm_sums
 
 
 def balance(facts: Facts) -> DataFrame:
     """Standardised mean differences by card and group; null where they are undefined."""
-    a = arm_sums(facts, valid_drafts(facts.picks), 0)
+    a = arm_sums(facts, 0)
     less = lambda x: F.col(f"{x}_all") - F.col(f"{x}_h") - F.col(f"{x}_o")
     arms = {"z1": (F.col("n_o"), F.col("s_o"), F.col("q_o")), "z0": (less("n"), less("s"), less("q"))}
     cols = {}
@@ -25,7 +25,7 @@ def balance(facts: Facts) -> DataFrame:
     out = out.withColumn("sd_x_z1", F.sqrt("var_x_z1")).withColumn("sd_x_z0", F.sqrt("var_x_z0"))
     out = out.withColumn("mean_diff", F.col("mean_x_z1") - F.col("mean_x_z0")).withColumn("pooled_sd", F.sqrt((F.col("var_x_z1") + F.col("var_x_z0")) / 2))
     out = out.withColumn("smd", F.col("mean_diff") / F.nullif("pooled_sd", F.lit(0.0)))
-    incomplete = lengths(facts.picks).where("reached").agg(F.count_if(~F.col("complete")).alias("n_incomplete"))
+    incomplete = drafts(facts).where("reached").agg(F.count_if(~F.col("complete")).alias("n_incomplete"))
     return out.withColumn("abs_smd", F.abs("smd")).crossJoin(F.broadcast(incomplete))
 
 

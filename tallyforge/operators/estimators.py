@@ -11,29 +11,19 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..sources.tables import Facts
-from .facts import OUTCOME, counts_by_group, first_offers, holders, valid_drafts
+from .facts import OUTCOME, arm_table
 from .features import CORE, covariates
-from .iv import grid
 
 
 def naive(facts: Facts, *, offered_only: bool = False) -> DataFrame:
     """Mean outcome of treated drafts less that of controls, from sparse sums and complements."""
-    valid = valid_drafts(facts.picks)
-    y = counts_by_group(facts.picks, facts.cards, valid, OUTCOME)
-    held = holders(facts.picks, valid)
-    offered = first_offers(facts, valid, exactly_one=False).join(held, ["draft_id", "card"], "left_anti")
-    marked = held.select("draft_id", "card", F.lit("h").alias("arm")).unionAll(offered.select("draft_id", "card", F.when(F.col("d") == 1, "t").otherwise("o").alias("arm")))
-    arms = "hto"
-    sizes = marked.groupBy(F.col("card").alias("card_a")).agg(*[F.count_if(F.col("arm") == a).alias(f"n_{a}") for a in arms])
-    sums = marked.join(y, "draft_id").groupBy(F.col("card").alias("card_a"), "group_b").agg(*[F.coalesce(F.sum(F.when(F.col("arm") == a, F.col("y"))), F.lit(0)).alias(f"s_{a}") for a in arms])
-    total = y.groupBy("group_b").agg(F.sum("y").alias("s_all"))
-    out = grid(facts.cards).join(sizes, "card_a", "left").join(sums, ["card_a", "group_b"], "left").join(total, "group_b", "left")
-    out = out.crossJoin(F.broadcast(valid.agg(F.count("*").alias("n_all")))).fillna(0)
+    out = arm_table(facts, OUTCOME)
+    n1, s1 = (F.col(f"{x}_s1") + F.col(f"{x}_m1") for x in "ns")
     if offered_only:
-        n0, s0 = F.col("n_o"), F.col("s_o")
+        n0, s0 = (F.col(f"{x}_s0") + F.col(f"{x}_m0") for x in "ns")
     else:
-        n0, s0 = (F.col(f"{x}_all") - F.col(f"{x}_h") - F.col(f"{x}_t") for x in "ns")
-    value = ratio(F.col("s_t"), F.col("n_t")) - ratio(s0, n0)
+        n0, s0 = F.col("n_all") - F.col("n_h") - n1, F.col("s_all") - F.col("s_h") - s1
+    value = ratio(s1, n1) - ratio(s0, n0)
     return out.select(F.lit("satt_offered" if offered_only else "satt").alias("method"), "card_a", "group_b", value.alias("value"))
 
 

@@ -24,6 +24,16 @@ def valid_drafts(picks: DataFrame) -> DataFrame:
     return lengths(picks).where("reached and complete").select("draft_id")
 
 
+def drafts(facts: Facts) -> DataFrame:
+    """``lengths`` of the facts, stored."""
+    return facts.once("drafts", lambda: lengths(facts.picks))
+
+
+def valid_of(facts: Facts) -> DataFrame:
+    """``valid_drafts`` of the facts."""
+    return drafts(facts).where("reached and complete").select("draft_id")
+
+
 def incomplete_rate(picks: DataFrame) -> DataFrame:
     """One row: drafts that reached the assignment, incomplete ones, their share, alarm."""
     out = lengths(picks).where("reached").agg(F.count("*").alias("n_drafts"), F.count_if(~F.col("complete")).alias("n_incomplete"))
@@ -68,21 +78,66 @@ def first_offers(facts: Facts, valid: DataFrame, *, exactly_one: bool) -> DataFr
     return offers.select("draft_id", "card", (F.col("taken") == F.col("card")).cast("int").alias("d"))
 
 
-def card_names(cards: DataFrame) -> DataFrame:
-    return cards.select(F.col("card").alias("card_a"))
+def held_of(facts: Facts) -> DataFrame:
+    """``holders`` of the facts, stored."""
+    return facts.once("held", lambda: holders(facts.picks, valid_of(facts)))
+
+
+def counts_of(facts: Facts, pack: int) -> DataFrame:
+    """``counts_by_group`` of the facts in a pack, stored."""
+    return facts.once(f"counts_{pack}", lambda: counts_by_group(facts.picks, facts.cards, valid_of(facts), pack))
+
+
+def arms(facts: Facts) -> DataFrame:
+    """draft_id, card, arm of what a valid draft held or was offered, stored.
+
+    Arms: ``h`` held before; else offered, ``s`` as a single copy or ``m`` as several, and taken (1) or not (0).
+    """
+
+    def build() -> DataFrame:
+        valid, held = valid_of(facts), held_of(facts)
+        offers = facts.offers.where((F.col("pack") == ASSIGNMENT) & (F.col("n_first") > 0)).select("draft_id", "card", "n_first")
+        offers = offers.join(valid, "draft_id", "left_semi").join(takers(facts.picks), "draft_id").join(held, ["draft_id", "card"], "left_anti")
+        copies = F.when(F.col("n_first") == 1, "s").otherwise("m")
+        arm = F.concat(copies, (F.col("taken") == F.col("card")).cast("int").cast("string"))
+        return held.withColumn("arm", F.lit("h")).unionAll(offers.select("draft_id", "card", arm.alias("arm")))
+
+    return facts.once("arms", build)
+
+
+ARMS = ("h", "s1", "s0", "m1", "m0")
+
+
+def arm_table(facts: Facts, pack: int) -> DataFrame:
+    """Per card and group: drafts (n), sums (s) and sums of squares (q) of a pack's counts in each arm and in all, stored.
+
+    Drafts in no arm follow as all less the arms, so drafts are never crossed with cards.
+    """
+
+    def build() -> DataFrame:
+        y, marked = counts_of(facts, pack), arms(facts)
+        sizes = marked.groupBy("card").agg(*[F.count_if(F.col("arm") == a).alias(f"n_{a}") for a in ARMS])
+        parts = [F.coalesce(F.sum(F.when(F.col("arm") == a, x)), F.lit(0)).alias(f"{name}_{a}") for a in ARMS for name, x in (("s", F.col("y")), ("q", F.col("y") * F.col("y")))]
+        sums = marked.join(y, "draft_id").groupBy("card", "group_b").agg(*parts)
+        groups = y.groupBy("group_b").agg(F.sum("y").alias("s_all"), F.sum(F.col("y") * F.col("y")).alias("q_all"))
+        # Cards and groups are metadata, the number of drafts is one row.
+        grid = facts.cards.select("card").crossJoin(F.broadcast(facts.cards.select("group_b").distinct()))
+        out = grid.join(sizes, "card", "left").join(sums, ["card", "group_b"], "left").join(groups, "group_b", "left")
+        out = out.crossJoin(F.broadcast(valid_of(facts).agg(F.count("*").alias("n_all")))).fillna(0)
+        return out.withColumnRenamed("card", "card_a")
+
+    return facts.once(f"arm_table_{pack}", build)
 
 
 def draft_accounting(facts: Facts) -> DataFrame:
     """Per card: valid, invalid, incomplete drafts, offers, treatments, outcome window."""
-    n = lengths(facts.picks)
-    valid = n.where("reached and complete")
-    ids = valid.select("draft_id")
+    n = drafts(facts)
     total = n.where("reached").agg(F.count_if("complete").alias("all_valid"), F.count_if(~F.col("complete")).alias("n_incomplete"), F.coalesce(F.sum(F.when(F.col("complete"), F.col("p2"))), F.lit(0)).alias("all_horizon"), F.min(F.when(F.col("complete"), F.col("p2"))).alias("lo"), F.max(F.when(F.col("complete"), F.col("p2"))).alias("hi"))
-    held = holders(facts.picks, ids)
-    invalid = held.join(valid.select("draft_id", "p2"), "draft_id").groupBy("card").agg(F.count("*").alias("n_invalid"), F.sum("p2").alias("held_horizon"))
-    offered = first_offers(facts, ids, exactly_one=True).join(held, ["draft_id", "card"], "left_anti").groupBy("card").agg(F.count("*").alias("n_offered"), F.sum("d").alias("n_treated"))
+    single, taken = F.col("arm").isin("s0", "s1"), F.col("arm") == "s1"
+    marked = arms(facts).join(n.select("draft_id", "p2"), "draft_id").groupBy("card")
+    marked = marked.agg(F.count_if(F.col("arm") == "h").alias("n_invalid"), F.sum(F.when(F.col("arm") == "h", F.col("p2"))).alias("held_horizon"), F.count_if(single).alias("n_offered"), F.count_if(taken).alias("n_treated"))
     # All tables below have a row a card or a single row.
-    out = facts.cards.select("card").join(invalid, "card", "left").join(offered, "card", "left").crossJoin(F.broadcast(total)).fillna(0, ["n_invalid", "n_offered", "n_treated", "held_horizon"])
+    out = facts.cards.select("card").join(marked, "card", "left").crossJoin(F.broadcast(total)).fillna(0, ["n_invalid", "n_offered", "n_treated", "held_horizon"])
     horizon = F.col("all_horizon") - F.col("held_horizon")
     n_valid = F.col("all_valid") - F.col("n_invalid")
     return out.select(F.col("card").alias("card_a"), n_valid.alias("n_valid"), "n_invalid", "n_incomplete", F.lit(0).cast("long").alias("n_no_outcome"), "n_offered", "n_treated", horizon.alias("horizon_total"), (horizon / F.nullif(n_valid, F.lit(0))).alias("horizon_mean"), F.col("lo").alias("horizon_min"), F.col("hi").alias("horizon_max"))
@@ -125,19 +180,26 @@ def split_half(draft_id, seed: int = 0):
 
 
 def split_in_order(drafts: DataFrame, seed: int) -> DataFrame:
-    """Halves from one sequential draw a draft in file order (``position`` from 0)."""
+    """Halves from one sequential draw a draft in file order (``position`` from 0).
+
+    Rows come in ranges of positions; a task draws the numbers before its range once and drops them.
+    """
     import random
 
     import pandas as pd
 
     def run(batches):
+        rng, drawn = random.Random(seed), 0
         for pdf in batches:
-            order = pdf.sort_values("position")
-            rng, draws = random.Random(seed), []
-            for position in order["position"]:
-                while len(draws) <= position:
-                    draws.append(rng.random())
-            yield pd.DataFrame({"draft_id": order["draft_id"], "half": [int(draws[p] >= 0.5) for p in order["position"]]})
+            halves = []
+            for position in pdf["position"]:
+                while drawn < position:
+                    rng.random()
+                    drawn += 1
+                halves.append(int(rng.random() >= 0.5))
+                drawn += 1
+            yield pd.DataFrame({"draft_id": pdf["draft_id"], "half": halves})
 
     kind = drafts.schema["draft_id"].dataType.simpleString()
-    return drafts.select("draft_id", "position").mapInPandas(run, f"draft_id {kind}, half int")
+    ordered = drafts.select("draft_id", "position").repartitionByRange("position").sortWithinPartitions("position")
+    return ordered.mapInPandas(run, f"draft_id {kind}, half int")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cards import COLORS, MANA_VALUE_BUCKETS
 from ..sources.tables import Facts
-from .facts import OUTCOME, counts_by_group, first_offers, holders, valid_drafts
+from .facts import OUTCOME, arms, counts_of, valid_of
 
 COMMITTED_PIPS = 3
 CORE = ("oncolor_pip_share", "oncolor_pip_min_share", "n_oncolor_pips", "offcolor_pip_share", "avg_cmc", "n_fix_oncolor", "num_colors_committed", "n_rares")
@@ -49,17 +51,20 @@ def relative(joined: DataFrame) -> DataFrame:
     })
 
 
-def assignments(facts: Facts, valid: DataFrame) -> DataFrame:
+def card_colors(facts: Facts) -> DataFrame:
+    """card_a and its colors' flags ``on_<color>``."""
+    return facts.cards.select(F.col("card").alias("card_a"), *[F.col(f"is_{c}").alias(f"on_{c}") for c in COLORS])
+
+
+def assignments(facts: Facts) -> DataFrame:
     """draft_id, card_a, T, not_offered for all valid drafts and cards not held before.
 
     Estimators read every such row, so this is the one place where drafts meet cards; the
     cards are broadcast metadata.
     """
-    held = holders(facts.picks, valid).withColumnRenamed("card", "card_a")
-    offered = first_offers(facts, valid, exactly_one=False).withColumnRenamed("card", "card_a")
-    colors = facts.cards.select(F.col("card").alias("card_a"), *[F.col(f"is_{c}").alias(f"on_{c}") for c in COLORS])
-    every = valid.crossJoin(F.broadcast(colors)).join(held, ["draft_id", "card_a"], "left_anti").join(offered, ["draft_id", "card_a"], "left")
-    return every.select("draft_id", "card_a", F.coalesce("d", F.lit(0)).alias("T"), F.col("d").isNull().cast("int").alias("not_offered"), *[f"on_{c}" for c in COLORS])
+    marked = arms(facts).withColumnRenamed("card", "card_a")
+    every = valid_of(facts).crossJoin(F.broadcast(card_colors(facts))).join(marked, ["draft_id", "card_a"], "left").where("arm is null or arm <> 'h'")
+    return every.select("draft_id", "card_a", F.coalesce(F.col("arm").endswith("1").cast("int"), F.lit(0)).alias("T"), F.col("arm").isNull().cast("int").alias("not_offered"), *[f"on_{c}" for c in COLORS])
 
 
 def groups_of(facts: Facts) -> list[str]:
@@ -67,14 +72,21 @@ def groups_of(facts: Facts) -> list[str]:
     return sorted(r[0] for r in facts.cards.select("group_b").distinct().collect())
 
 
+def per_draft(facts: Facts, groups: list[str]) -> DataFrame:
+    """One row per valid draft: history, outcome window and outcomes ``Y_<group>``, stored."""
+
+    def build() -> DataFrame:
+        valid = valid_of(facts)
+        wide = counts_of(facts, OUTCOME).groupBy("draft_id").agg(*[F.coalesce(F.sum(F.when(F.col("group_b") == g, F.col("y"))), F.lit(0)).alias(f"Y_{g}") for g in groups])
+        horizon = facts.picks.where(F.col("pack") == OUTCOME).groupBy("draft_id").agg(F.count("*").alias("horizon"))
+        return history(facts, valid).join(horizon, "draft_id").join(wide, "draft_id", "left").fillna(0)
+
+    return facts.once(f"per_draft_{crc32(','.join(groups).encode())}", build)
+
+
 def frame(facts: Facts, groups: list[str]) -> DataFrame:
     """The estimation frame: assignment, outcomes ``Y_<group>``, covariates, one row per draft and card."""
-    valid = valid_drafts(facts.picks)
-    y = counts_by_group(facts.picks, facts.cards, valid, OUTCOME)
-    wide = y.groupBy("draft_id").agg(*[F.coalesce(F.sum(F.when(F.col("group_b") == g, F.col("y"))), F.lit(0)).alias(f"Y_{g}") for g in groups])
-    horizon = facts.picks.where(F.col("pack") == OUTCOME).groupBy("draft_id").agg(F.count("*").alias("horizon"))
-    per_draft = history(facts, valid).join(horizon, "draft_id").join(wide, "draft_id", "left").fillna(0)
-    return relative(assignments(facts, valid).join(per_draft, "draft_id")).withColumn("pick_number", F.lit(0))
+    return relative(assignments(facts).join(per_draft(facts, groups), "draft_id")).withColumn("pick_number", F.lit(0))
 
 
 def covariates(df: DataFrame) -> list[str]:

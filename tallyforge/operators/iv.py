@@ -11,31 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, upper_tail
 from ..sources.tables import Facts
-from .facts import ASSIGNMENT, OUTCOME, counts_by_group, draft_accounting, first_offers, holders, valid_drafts
+from .facts import ASSIGNMENT, OUTCOME, arm_table, draft_accounting
 
 
-def grid(cards: DataFrame) -> DataFrame:
-    """Every card with every group: both are metadata."""
-    return cards.select(F.col("card").alias("card_a")).crossJoin(F.broadcast(cards.select("group_b").distinct()))
-
-
-def arm_sums(facts: Facts, valid: DataFrame, pack: int) -> DataFrame:
-    """card_a, group_b with n, s (sum), q (sum of squares) for all, held and offered drafts, and d, sd."""
-    y = counts_by_group(facts.picks, facts.cards, valid, pack)
-    held = holders(facts.picks, valid)
-    offered = first_offers(facts, valid, exactly_one=True).join(held, ["draft_id", "card"], "left_anti")
-    marked = held.select("draft_id", "card", F.lit(0).alias("d"), F.lit("h").alias("arm")).unionAll(offered.select("draft_id", "card", "d", F.lit("o").alias("arm")))
-    sizes = marked.groupBy("card").agg(*[F.count_if(F.col("arm") == a).alias(f"n_{a}") for a in "ho"], F.sum("d").alias("d_o"))
-    met = marked.join(y, "draft_id")
-    sums = met.groupBy("card", "group_b").agg(*[F.coalesce(F.sum(F.when(F.col("arm") == a, x)), F.lit(0)).alias(f"{name}_{a}") for a in "ho" for name, x in (("s", F.col("y")), ("q", F.col("y") * F.col("y")))], F.sum(F.col("d") * F.col("y")).alias("sd_o"))
-    groups = y.groupBy("group_b").agg(F.sum("y").alias("s_all"), F.sum(F.col("y") * F.col("y")).alias("q_all"))
-    out = grid(facts.cards).join(sizes.withColumnRenamed("card", "card_a"), "card_a", "left").join(sums.withColumnRenamed("card", "card_a"), ["card_a", "group_b"], "left").join(groups, "group_b", "left")
-    return out.crossJoin(F.broadcast(valid.agg(F.count("*").alias("n_all")))).fillna(0)
+def arm_sums(facts: Facts, pack: int) -> DataFrame:
+    """card_a, group_b with n, s (sum), q (sum of squares) for all, held and singly offered drafts, and d, sd of the treated."""
+    both = lambda x: (F.col(f"{x}_s1") + F.col(f"{x}_s0")).alias(f"{x}_o")
+    return arm_table(facts, pack).select(
+        "card_a", "group_b", "n_h", "s_h", "q_h", *map(both, "nsq"), F.col("n_s1").alias("d_o"), F.col("s_s1").alias("sd_o"), "n_all", "s_all", "q_all"
+    )
 
 
 def sufficient_stats(facts: Facts) -> DataFrame:
     """card_a, group_b, z with n, sum_d, sum_y, sum_y_sq, sum_dy."""
-    a = arm_sums(facts, valid_drafts(facts.picks), OUTCOME)
+    a = arm_sums(facts, OUTCOME)
     zero = F.lit(0).cast("long")
     one = F.struct(F.lit(1).alias("z"), F.col("n_o").alias("n"), F.col("d_o").alias("sum_d"), F.col("s_o").alias("sum_y"), F.col("q_o").alias("sum_y_sq"), F.col("sd_o").alias("sum_dy"))
     less = lambda x: F.col(f"{x}_all") - F.col(f"{x}_h") - F.col(f"{x}_o")
@@ -57,7 +46,7 @@ def wald(n1: Column, d1: Column, y1: Column, q1: Column, dy1: Column, n0: Column
 
 def reference_effects(facts: Facts) -> DataFrame:
     """One row per card and group: effect, error, z, p and the card's accounting."""
-    a = arm_sums(facts, valid_drafts(facts.picks), OUTCOME)
+    a = arm_sums(facts, OUTCOME)
     less = lambda x: F.col(f"{x}_all") - F.col(f"{x}_h") - F.col(f"{x}_o")
     est = wald(F.col("n_o"), F.col("d_o"), F.col("s_o"), F.col("q_o"), F.col("sd_o"), less("n"), less("s"), less("q"))
     kept = a.where((F.col("n_o") >= 2) & (less("n") >= 2) & (F.col("d_o") > 0)).select("card_a", "group_b", F.lit(ASSIGNMENT).alias("pack"), *[c.alias(k) for k, c in est.items()])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import Z_95
+from ..functions.stats import Z_95, t_half_width
 
 METRICS = ("rmse", "mae", "ccc", "accuracy95")
 #: +1 where more is better.
@@ -109,8 +109,11 @@ def rank_spearman(scores: DataFrame) -> DataFrame:
     return both.where("variant_a < variant_b").groupBy("metric", "variant_a", "variant_b").agg((F.covar_pop("rank_a", "rank_b") / F.nullif(F.stddev_pop("rank_a") * F.stddev_pop("rank_b"), F.lit(0.0))).alias("rho"))
 
 
-def value_per_quanta(rows: DataFrame, x: str, y: str, *, bins: int = 5, quantile: bool = True, last: bool = False) -> DataFrame:
-    """Mean and standard error of ``y`` in bins of ``x``; the last, closed bin is left out unless asked for."""
+def value_per_quanta(rows: DataFrame, x: str, y: str, *, bins: int = 5, quantile: bool = True, last: bool = False, level: float | None = None) -> DataFrame:
+    """Mean and standard error of ``y`` in bins of ``x``; the last, closed bin is left out unless asked for.
+
+    ``level`` adds the half width of the t interval of the mean.
+    """
     if quantile:
         edges = rows.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("edges"))
     else:
@@ -120,7 +123,10 @@ def value_per_quanta(rows: DataFrame, x: str, y: str, *, bins: int = 5, quantile
     inside = [(F.col(x) >= F.get("edges", i)) & ((F.col(x) < F.get("edges", i + 1)) if i < bins - 1 else (F.col(x) <= F.get("edges", i + 1))) for i in range(bins)]
     bin_no = F.coalesce(*[F.when(c, i) for i, c in enumerate(inside)])
     out = placed.withColumn("bin", bin_no).where(F.col("bin") < (bins if last else bins - 1)).groupBy("bin")
-    return out.agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("sem_y")).orderBy("bin")
+    out = out.agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("sem_y"))
+    if level is not None:
+        out = out.withColumn("half_y", t_half_width(F.col("sem_y"), F.col("n"), level))
+    return out.orderBy("bin")
 
 
 def set_summary(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import draw
+from ..functions.stats import draw, upper_tail
 from .fdr import benjamini_hochberg
 from .metrics import METRICS, MOMENTS, ORIENTATION, centred, finite, from_moments, moment_columns, usable
 
@@ -85,11 +85,12 @@ def disagreements(wide: DataFrame) -> DataFrame:
     return wide.where(~((a("rmse") != "~") & (a("rmse") == a("mae")) & (a("mae") == a("ccc")) & (a("ccc") == a("accuracy95"))))
 
 
-def rank_separation(pairs: DataFrame, *, r: float = 0.2, threshold: float = 2.0, n_boot: int = 1000, seed: int = 0, value: str = "late", error: str = "se_late") -> DataFrame:
+def rank_separation(pairs: DataFrame, *, r: float = 0.2, threshold: float = 2.0, n_boot: int = 1000, seed: int = 0, value: str = "late", error: str = "se_late", fdr: float | None = None) -> DataFrame:
     """``pairs`` (card_a, group_b, value, error) with rank, z and keep.
 
     A row stays if it is more than ``threshold`` standard errors away from the bootstrap
-    mean of the value ``r`` of the ranks below or above.
+    mean of the value ``r`` of the ranks below or above; with ``fdr``, if its two-sided tail is
+    rejected by Benjamini-Hochberg at that level.
     """
     rows = pairs.where(finite(F.col(value)) & finite(F.col(error))).select("card_a", "group_b", F.col(value).alias("v"), F.col(error).alias("se"))
     n = rows.count()
@@ -106,20 +107,34 @@ def rank_separation(pairs: DataFrame, *, r: float = 0.2, threshold: float = 2.0,
         out = out.join(stats.select((F.col("rank") + step).alias("rank"), F.col("mean").alias(f"mean_{name}"), F.col("sd").alias(f"sd_{name}")), "rank", "left")
     se = F.when(F.col("se") > 0, F.col("se")).otherwise(1e-9)
     z = [F.coalesce(F.abs(F.col("v") - F.col(f"mean_{x}")) / F.sqrt(se * se + F.col(f"sd_{x}") * F.col(f"sd_{x}")), F.lit(0.0)) for x in ("back", "fore")]
-    return out.withColumn("z", F.greatest(*z)).select("card_a", "group_b", "rank", "z", (F.col("z") > threshold).alias("keep"))
+    out = out.withColumn("z", F.greatest(*z))
+    if fdr is None:
+        out = out.withColumn("reject", F.col("z") > threshold)
+    else:
+        out = benjamini_hochberg(out.withColumn("p", 2 * upper_tail(F.col("z"))), "p", [F.lit(0)], ["rank"], fdr)
+    return out.select("card_a", "group_b", "rank", "z", F.col("reject").alias("keep"))
 
 
-def rsc_sensitivity(scoring: DataFrame, values: tuple[float, ...], *, vary: str = "r", fixed: float = 1.96, n_boot: int = 1000, seed: int = 0) -> DataFrame:
-    """For each r (or threshold): share of pairs kept, and rank agreement of the scores with those on all pairs."""
+def rsc_sensitivity(scoring: DataFrame, values: tuple[float, ...], *, vary: str = "r", fixed: float = 1.96, n_boot: int = 1000, seed: int = 0, by: str | None = None) -> DataFrame:
+    """For each r (or threshold): share of pairs kept, and rank agreement of the scores with those on all pairs.
+
+    ``by`` names a column of sets (few): pairs are ranked and filtered within each, and scored together.
+    """
     from .metrics import method_scores, rank_spearman
 
-    pairs = scoring.select("card_a", "group_b", "late", "se_late").distinct()
+    keys = ["card_a", "group_b", *([by] if by else [])]
+    sets = [r[0] for r in scoring.select(by).distinct().collect()] if by else [None]
     base = method_scores(scoring).withColumn("variant", F.lit("a"))
     out = None
     for x in values:
         r, threshold = (x, fixed) if vary == "r" else (fixed, x)
-        kept = rank_separation(pairs, r=r, threshold=threshold, n_boot=n_boot, seed=seed)
-        some = scoring.join(kept.where("keep").select("card_a", "group_b"), ["card_a", "group_b"], "left_semi")
+        kept = None
+        for name in sets:
+            pairs = (scoring.where(F.col(by) == name) if by else scoring).select("card_a", "group_b", "late", "se_late").distinct()
+            one = rank_separation(pairs, r=r, threshold=threshold, n_boot=n_boot, seed=seed)
+            one = one.withColumn(by, F.lit(name)) if by else one
+            kept = one if kept is None else kept.unionByName(one)
+        some = scoring.join(kept.where("keep").select(*keys), keys, "left_semi")
         rho = rank_spearman(base.unionByName(method_scores(some).withColumn("variant", F.lit("b"))))
         share = kept.agg(F.avg(F.col("keep").cast("double")).alias("remaining"))
         one = share.crossJoin(rho.agg(*[F.max(F.when(F.col("metric") == m, F.col("rho"))).alias(m) for m in METRICS])).withColumn("value", F.lit(float(x)))

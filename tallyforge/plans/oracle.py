@@ -156,14 +156,33 @@ def _literal_cards() -> str:
     return f"WITH lit(name, colors, face, cost, cmc, type_line, rarity) AS (VALUES {rows}), sym AS (SELECT *, {symbols} AS s FROM lit)"
 
 
-_RSC = f"""WITH {EFFECTS},
+_Z = "greatest(coalesce(abs(v - b.mean) / sqrt((CASE WHEN se > 0 THEN se ELSE 1e-9 END) ** 2 + b.sd ** 2), 0), coalesce(abs(v - f.mean) / sqrt((CASE WHEN se > 0 THEN se ELSE 1e-9 END) ** 2 + f.sd ** 2), 0))"
+_RANKED = f"""
 v AS (SELECT card_a, group_b, late AS v, se_late AS se, row_number() OVER (ORDER BY late, card_a, group_b) - 1 AS rank, count(*) OVER () AS n FROM effects),
 dr AS (SELECT rep, ('0x' || substring(md5('0:' || rep || ':' || rank), 1, 8))::BIGINT % n AS rank FROM v CROSS JOIN range({BOOT}) r(rep)),
 ov AS (SELECT rep, v.v, row_number() OVER (PARTITION BY rep ORDER BY v.v) - 1 AS rank FROM dr JOIN v USING (rank)),
 rs AS (SELECT rank, avg(v) AS mean, stddev_samp(v) AS sd FROM ov GROUP BY rank),
-zz AS (SELECT v.card_a, v.group_b, v.rank, greatest(coalesce(abs(v - b.mean) / sqrt((CASE WHEN se > 0 THEN se ELSE 1e-9 END) ** 2 + b.sd ** 2), 0), coalesce(abs(v - f.mean) / sqrt((CASE WHEN se > 0 THEN se ELSE 1e-9 END) ** 2 + f.sd ** 2), 0)) AS z
-  FROM v LEFT JOIN rs b ON b.rank = v.rank - floor(n * 0.2)::BIGINT LEFT JOIN rs f ON f.rank = v.rank + floor(n * 0.2)::BIGINT)
-SELECT card_a, group_b, rank, round(z, 6) + 0.0 AS z, z > 2 AS keep FROM zz"""
+par AS (SELECT unnest([0.2, 0.4]::DOUBLE[]) AS step),
+zz AS (SELECT step, v.card_a, v.group_b, v.rank, n, {_Z} AS z FROM v CROSS JOIN par LEFT JOIN rs b ON b.rank = v.rank - floor(n * step)::BIGINT LEFT JOIN rs f ON f.rank = v.rank + floor(n * step)::BIGINT)"""
+_RSC = f"""WITH {EFFECTS}, {_RANKED} SELECT card_a, group_b, rank, round(z, 6) + 0.0 AS z, z > 2 AS keep FROM zz WHERE step = 0.2"""
+_RSC_FDR = f"""WITH {EFFECTS}, {_RANKED},
+tz AS (SELECT *, z / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * z / sqrt(2.0)) AS t FROM zz WHERE step = 0.2), ps AS (SELECT *, 2 * {_TAIL} AS p FROM tz),
+rk AS (SELECT *, row_number() OVER (ORDER BY p, rank) AS r FROM ps)
+SELECT card_a, group_b, rank, round(z, 6) + 0.0 AS z, r <= coalesce(max(CASE WHEN p <= 0.3 * r / n THEN r END) OVER (), 0) AS keep FROM rk"""
+_SWEEP = f"""WITH {SCORING}, {_RANKED},
+share AS (SELECT step AS value, avg((z > 0.5)::INT) AS remaining FROM zz GROUP BY step),
+m AS (SELECT -1.0::DOUBLE AS step, method, {scored()} FROM rows_ GROUP BY method UNION ALL SELECT step, method, {scored()} FROM rows_ JOIN zz USING (card_a, group_b) WHERE z > 0.5 GROUP BY step, method),
+l AS ({" UNION ALL ".join(f"SELECT step AS value, method, '{m}' AS metric, round({m}, 9) AS x FROM m WHERE {m} IS NOT NULL" for m in _ORIENT)}),
+r AS (SELECT *, rank() OVER (PARTITION BY metric, value ORDER BY x) + (count(*) OVER (PARTITION BY metric, value, x) - 1) / 2.0 AS rk FROM l),
+rho AS (SELECT b.value, a.metric, covar_pop(a.rk, b.rk) / nullif(stddev_pop(a.rk) * stddev_pop(b.rk), 0) AS rho FROM r a JOIN r b ON a.metric = b.metric AND a.method = b.method AND a.value < 0 AND b.value > 0 GROUP BY ALL)
+SELECT value, round(remaining, 6) + 0.0 AS remaining, {", ".join(f"round(max(rho) FILTER (metric = '{m}'), 6) + 0.0 AS {m}" for m in _ORIENT)} FROM share LEFT JOIN rho USING (value) GROUP BY value, remaining"""
+
+_EXCLUSION = f"""WITH {FRAME}, fx AS (SELECT f.*, dense_rank() OVER (ORDER BY {", ".join(CORE)}) AS bucket FROM rel f WHERE "T" = 0),
+b AS (SELECT card_a, bucket, group_b, count(*) FILTER (not_offered = 0) AS n1, count(*) FILTER (not_offered = 1) AS n0, avg(y) FILTER (not_offered = 1) AS m0 FROM fx JOIN ycnt USING (draft_id) GROUP BY ALL),
+t AS (SELECT fx.card_a, ycnt.group_b, ycnt.y, b.m0 FROM fx JOIN ycnt USING (draft_id) JOIN b ON b.card_a = fx.card_a AND b.bucket = fx.bucket AND b.group_b = ycnt.group_b WHERE fx.not_offered = 0 AND b.n0 > 0),
+m AS (SELECT card_a, group_b, count(*) AS n, avg(y) AS m1, avg(m0) AS m0, var_samp(y) AS v1, var_samp(m0) AS v0 FROM t GROUP BY ALL),
+s AS (SELECT card_a, group_b, sum(n1)::BIGINT AS n_z1t0, coalesce(sum(n1) FILTER (n1 > 0 AND n0 > 0), 0)::BIGINT AS n_matched, sum(n0)::BIGINT AS n_z0_pool, coalesce(sum(n0) FILTER (n1 > 0 AND n0 > 0), 0)::BIGINT AS n_z0_used, count(*) FILTER (n1 > 0 AND n0 > 0) AS n_buckets FROM b GROUP BY ALL),
+o AS (SELECT s.*, 1 - n_matched / nullif(n_z1t0, 0)::DOUBLE AS drop_ratio, n_z0_used / nullif(n_buckets, 0)::DOUBLE AS mean_bucket, CASE WHEN n >= 2 THEN m1 END AS mean_y_z1, CASE WHEN n >= 2 THEN m0 END AS mean_y_z0, v1 AS var_y_z1, v0 AS var_y_z0, sqrt(v1) AS sd_y_z1, sqrt(v0) AS sd_y_z0, CASE WHEN n >= 2 THEN m1 - m0 END AS mean_diff, sqrt((v1 + v0) / 2) AS pooled_sd, (m1 - m0) / nullif(sqrt((v1 + v0) / 2), 0) AS smd, abs((m1 - m0) / nullif(sqrt((v1 + v0) / 2), 0)) AS abs_smd FROM s LEFT JOIN m USING (card_a, group_b))"""
 
 _YS = ", ".join(f'coalesce(max(y) FILTER (group_b = \'{g}\'), 0) AS "Y_{g}"' for g in "BGRUW")
 
@@ -187,13 +206,8 @@ SQL: dict[str, str] = {
     "balance_smd": f"WITH {BALANCE} SELECT card_a, group_b, n_z1, n_z0, n_valid, n_invalid, n_incomplete, n_offered, {q('mean_x_z1', 'mean_x_z0', 'var_x_z1', 'var_x_z0', 'sd_x_z1', 'sd_x_z0', 'mean_diff', 'pooled_sd', 'smd', 'abs_smd')} FROM bal",
     "diag_quantiles": f"WITH {BALANCE} SELECT round(quantile_cont(abs_smd, 0.5), 6) AS q50, round(quantile_cont(abs_smd, 0.95), 6) AS q95, round(quantile_cont(abs_smd, 0.99), 6) AS q99, count(abs_smd) AS n FROM bal",
     "card_quantiles": f"WITH {BALANCE}, per AS (SELECT card_a, avg(abs_smd) AS mean, median(abs_smd) AS median, quantile_cont(abs_smd, 0.95) AS q95, max(abs_smd) AS max, count(abs_smd) AS n FROM bal GROUP BY card_a) SELECT round(median(mean), 6) AS median_mean, round(median(median), 6) AS median_median, round(median(q95), 6) AS median_q95, round(median(max), 6) AS median_max, sum(n)::BIGINT AS n FROM per",
-    "exact_match_exclusion": f"""WITH {FRAME}, fx AS (SELECT f.*, dense_rank() OVER (ORDER BY {", ".join(CORE)}) AS bucket FROM rel f WHERE "T" = 0),
-b AS (SELECT card_a, bucket, group_b, count(*) FILTER (not_offered = 0) AS n1, count(*) FILTER (not_offered = 1) AS n0, avg(y) FILTER (not_offered = 1) AS m0 FROM fx JOIN ycnt USING (draft_id) GROUP BY ALL),
-t AS (SELECT fx.card_a, ycnt.group_b, ycnt.y, b.m0 FROM fx JOIN ycnt USING (draft_id) JOIN b ON b.card_a = fx.card_a AND b.bucket = fx.bucket AND b.group_b = ycnt.group_b WHERE fx.not_offered = 0 AND b.n0 > 0),
-m AS (SELECT card_a, group_b, count(*) AS n, avg(y) AS m1, avg(m0) AS m0, var_samp(y) AS v1, var_samp(m0) AS v0 FROM t GROUP BY ALL),
-s AS (SELECT card_a, group_b, sum(n1)::BIGINT AS n_z1t0, coalesce(sum(n1) FILTER (n1 > 0 AND n0 > 0), 0)::BIGINT AS n_matched, sum(n0)::BIGINT AS n_z0_pool, coalesce(sum(n0) FILTER (n1 > 0 AND n0 > 0), 0)::BIGINT AS n_z0_used, count(*) FILTER (n1 > 0 AND n0 > 0) AS n_buckets FROM b GROUP BY ALL),
-o AS (SELECT s.*, 1 - n_matched / nullif(n_z1t0, 0)::DOUBLE AS drop_ratio, n_z0_used / nullif(n_buckets, 0)::DOUBLE AS mean_bucket, CASE WHEN n >= 2 THEN m1 END AS mean_y_z1, CASE WHEN n >= 2 THEN m0 END AS mean_y_z0, v1 AS var_y_z1, v0 AS var_y_z0, sqrt(v1) AS sd_y_z1, sqrt(v0) AS sd_y_z0, CASE WHEN n >= 2 THEN m1 - m0 END AS mean_diff, sqrt((v1 + v0) / 2) AS pooled_sd, (m1 - m0) / nullif(sqrt((v1 + v0) / 2), 0) AS smd, abs((m1 - m0) / nullif(sqrt((v1 + v0) / 2), 0)) AS abs_smd FROM s LEFT JOIN m USING (card_a, group_b))
-SELECT card_a, group_b, 8::BIGINT AS n_covariates, n_z1t0, n_matched, n_z0_pool, n_z0_used, n_buckets, {q('drop_ratio', 'mean_bucket', 'mean_y_z1', 'mean_y_z0', 'var_y_z1', 'var_y_z0', 'sd_y_z1', 'sd_y_z0', 'mean_diff', 'pooled_sd', 'smd', 'abs_smd')} FROM o""",
+    "exact_match_exclusion": f"{_EXCLUSION} SELECT card_a, group_b, 8::BIGINT AS n_covariates, n_z1t0, n_matched, n_z0_pool, n_z0_used, n_buckets, {q('drop_ratio', 'mean_bucket', 'mean_y_z1', 'mean_y_z0', 'var_y_z1', 'var_y_z0', 'sd_y_z1', 'sd_y_z0', 'mean_diff', 'pooled_sd', 'smd', 'abs_smd')} FROM o",
+    "exclusion_summary": f"{_EXCLUSION} SELECT count(*) AS n_pairs, round(avg((drop_ratio < 0.5)::INT), 6) + 0.0 AS share_kept, round(quantile_cont(abs_smd, 0.5), 6) + 0.0 AS q50, round(quantile_cont(abs_smd, 0.95), 6) + 0.0 AS q95 FROM o",
     "satt": f"WITH {SCORING} SELECT card_a, group_b, round(satt, 6) + 0.0 AS value FROM satts",
     "satt_offered": f"WITH {SCORING} SELECT card_a, group_b, round(satt_offered, 6) + 0.0 AS value FROM satts",
     "match_cov_k3": f"""WITH {FRAME}, sc AS (SELECT card_a, draft_id, "T" AS t, {", ".join(f"CASE WHEN stddev_pop({c}) OVER w > 1e-12 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0 END AS z{i}" for i, c in enumerate(CORE))} FROM rel WINDOW w AS (PARTITION BY card_a)),
@@ -212,6 +226,8 @@ SELECT cards.card AS card_a, groups.group_b, value FROM cards CROSS JOIN groups
     "significance_matrix": f"{MATRIX} SELECT method_a, method_b, metric, n_pairs, n_clusters, symbol, {q('p', 'q')} FROM matrix",
     "disagreement_filter": f"{MATRIX}, wide AS (SELECT method_a, method_b, n_pairs, n_clusters, {', '.join(f'max(symbol) FILTER (metric = {chr(39)}{m}{chr(39)}) AS {m}' for m in _ORIENT)} FROM matrix GROUP BY ALL) SELECT * FROM wide WHERE NOT (rmse <> '~' AND rmse = mae AND mae = ccc AND ccc = accuracy95)",
     "rank_separation": _RSC,
+    "rank_separation_fdr": _RSC_FDR,
+    "rsc_sensitivity": _SWEEP,
     "rank_spearman": f"""WITH {SCORING}, m AS (SELECT 'v' || (no % 2) AS variant, method, {scored()} FROM rows_ JOIN cards ON card = card_a GROUP BY ALL),
 l AS ({" UNION ALL ".join(f"SELECT variant, method, '{m}' AS metric, round({m}, 9) AS x FROM m WHERE {m} IS NOT NULL" for m in _ORIENT)}),
 r AS (SELECT *, rank() OVER (PARTITION BY metric, variant ORDER BY x) + (count(*) OVER (PARTITION BY metric, variant, x) - 1) / 2.0 AS rk FROM l)

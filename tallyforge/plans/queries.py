@@ -83,7 +83,7 @@ def pack_length_hist(x: Facts) -> DataFrame:
 
 @query
 def draft_completeness(x: Facts) -> DataFrame:
-    return facts.lengths(x.picks)
+    return facts.drafts(x)
 
 
 @query
@@ -93,7 +93,7 @@ def incomplete_rate(x: Facts) -> DataFrame:
 
 @query
 def prior_holders(x: Facts) -> DataFrame:
-    return facts.holders(x.picks, facts.valid_drafts(x.picks))
+    return facts.held_of(x)
 
 
 @query
@@ -103,17 +103,17 @@ def draft_accounting(x: Facts) -> DataFrame:
 
 @query
 def outcome_counts(x: Facts) -> DataFrame:
-    return facts.counts_by_group(x.picks, x.cards, facts.valid_drafts(x.picks), facts.OUTCOME)
+    return facts.counts_of(x, facts.OUTCOME)
 
 
 @query
 def split_halves(x: Facts) -> DataFrame:
-    return facts.lengths(x.picks).select("draft_id", facts.split_half(F.col("draft_id"), SPLIT_SEED).alias("half"))
+    return facts.drafts(x).select("draft_id", facts.split_half(F.col("draft_id"), SPLIT_SEED).alias("half"))
 
 
 @query
 def history_features(x: Facts) -> DataFrame:
-    return features.history(x, facts.valid_drafts(x.picks))
+    return features.history(x, facts.valid_of(x))
 
 
 @query
@@ -145,7 +145,13 @@ def card_quantiles(x: Facts) -> DataFrame:
 @query
 def exact_match_exclusion(x: Facts) -> DataFrame:
     groups = features.groups_of(x)
-    return exclusion.matched_contrast(features.frame(x, groups), groups)
+    return exclusion.matched_contrast(exclusion.sparse_buckets(x, groups), groups)
+
+
+@query
+def exclusion_summary(x: Facts) -> DataFrame:
+    groups = features.groups_of(x)
+    return exclusion.drop_summary(exclusion.matched_contrast(exclusion.sparse_buckets(x, groups), groups))
 
 
 @query
@@ -202,10 +208,24 @@ def net_report(x: Facts) -> DataFrame:
 
 @query
 def propensity_tuning(x: Facts) -> DataFrame:
-    """Held-out Brier scores of boosted propensities over a small grid."""
+    """Held-out Brier scores of boosted propensities over a small grid, pooled over cards."""
     return models.tune(features.frame(x, features.groups_of(x)), [], {"trees": [20, 50], "depth": [2, 3]})
 
 
+@query
+def outcome_tuning(x: Facts) -> DataFrame:
+    """Held-out squared errors of boosted control outcomes over a small grid, pooled over cards and groups."""
+    groups = features.groups_of(x)
+    return models.tune(features.frame(x, groups), groups, {"trees": [10, 20], "depth": [2]}, profile="gbm_y")
+
+
+@query
+def forest_tuning(x: Facts) -> DataFrame:
+    """Held-out R-loss of the causal forest for two leaf sizes, pooled over cards and groups."""
+    groups = features.groups_of(x)
+    return models.tune(features.frame(x, groups), groups, {"trees": [10], "leaf": [20, 60]}, profile="forest")
+
+
 def scoring(x: Facts) -> DataFrame:
     """Reference effects with the estimates that need no model, stored before they are scored."""
     truth = stored(iv.reference_effects(x).select("card_a", "group_b", "late", "se_late"), "effects")
@@ -270,6 +290,12 @@ def rank_separation(x: Facts) -> DataFrame:
     return resample.rank_separation(stored(iv.reference_effects(x), "effects"), n_boot=BOOT)
 
 
+@query
+def rank_separation_fdr(x: Facts) -> DataFrame:
+    """The pairs whose two-sided tails are rejected under false-discovery control."""
+    return resample.rank_separation(stored(iv.reference_effects(x), "effects"), n_boot=BOOT, fdr=0.3)
+
+
 @query
 def rsc_sensitivity(x: Facts) -> DataFrame:
     return resample.rsc_sensitivity(scoring(x), (0.2, 0.4), n_boot=BOOT, fixed=0.5)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import os
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import stored
 from .tables import Facts
 
 PACK_PREFIX = "pack_card_"
@@ -33,12 +30,47 @@ def card_columns(df: DataFrame, expected: list[str] | None = None) -> list[str]:
     return cards
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, *, located: bool = False) -> DataFrame:
     """A wide draft log (CSV, plain or gzipped), every cell a string, blank cells null.
 
-    ``pool_`` columns are left out of the scan by column pruning.
+    ``pool_`` columns are left out of the scan by column pruning. ``located`` adds where a row
+    stands (``_file``, ``_block``, ``_row``), from which ``placed`` makes its place.
+    """
+    log = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    if not located:
+        return log
+    return log.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+
+
+def placed(log: DataFrame) -> DataFrame:
+    """``row_pos``, the place of a located row over all files in order of path, in place of where it stands.
+
+    Rows of a block are numbered in order within one task, so its number of rows and first number
+    are all that is needed: three values a block of the log come to the driver.
+    """
+    blocks = log.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_row").alias("first")).collect()
+    shifts, total = [], 0
+    for r in sorted(blocks, key=lambda r: (r["_file"], r["_block"])):
+        shifts.append((r["_file"], r["_block"], total - r["first"]))
+        total += r["n"]
+    known = log.sparkSession.createDataFrame(shifts, "_file string, _block long, _shift long")
+    return log.join(F.broadcast(known), ["_file", "_block"]).withColumn("row_pos", F.col("_row") + F.col("_shift")).drop("_file", "_block", "_row", "_shift")
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with its rows' numbers from 0 in order of ``by``, without a global window.
+
+    A range exchange deals the order over partitions; one number a partition gives the offsets.
     """
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    order = stored(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = sorted((r["p"], r["n"]) for r in order.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    known = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return order.withColumn("_part", part).join(F.broadcast(known), "_part").withColumn(name, F.col("_start") + place).drop("_at", "_part", "_start")
 
 
 def runs(df: DataFrame) -> DataFrame:
@@ -99,29 +131,6 @@ def build_or_read(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def resolve(name: str, committed: str, local: str, *, prefer_committed: bool = True, fail_duplicate: bool = True) -> str:
-    """The file ``name`` in one of two roots; in both, an error or the preferred one."""
-    found = [os.path.join(root, name) for root in (committed, local) if os.path.exists(os.path.join(root, name))]
-    if len(found) == 2 and fail_duplicate:
-        raise ValueError(f"{name} is in both {committed} and {local}")
-    if not found:
-        return os.path.join(local, name)
-    return found[0 if prefer_committed else -1]
-
-
-@dataclass
-class Config:
-    data_dir: str
-    results_dir: str
-    prefer_committed_data: bool = True
-    fail_duplicate: bool = True
-
-    @classmethod
-    def load(cls, path: str) -> Config:
-        with open(path, encoding="utf-8") as f:
-            return cls(**json.load(f)["paths"])
-
-
 def write_estimates(estimates: DataFrame, path: str) -> None:
     """Estimates partitioned by method and card, so that one card can be redone alone."""
     estimates.write.mode("overwrite").partitionBy("method", "card_a").parquet(path)

@@ -6,7 +6,8 @@ card. Card attributes are arithmetic on the brand's number.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ class Facts:
     picks: DataFrame
     offers: DataFrame
     cards: DataFrame
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from these facts, built and stored at first use: several operators read it."""
+        if name not in self.kept:
+            self.kept[name] = stored(build(), name)
+        return self.kept[name]
 
 
 def order_picks(spark: SparkSession, sf_dir: str) -> DataFrame:

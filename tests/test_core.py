@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyforge.operators import facts, fdr, features, iv, learners, metrics, models, resample
+from tallyforge.functions import stats
+from tallyforge.operators import exclusion, facts, fdr, features, iv, learners, metrics, models, resample
 from tallyforge.operators.estimators import match_cov, nearest, per_card, ridge_imputation, scaled
 from tallyforge.plans import oracle, queries
 from tallyforge.report import cell, scores_table
@@ -36,7 +37,7 @@ def values(df):
     return sorted([tuple(norm(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False)], key=str)
 
 
-QUICK = ("reference_effects", "iv_sufficient_stats", "pick_stats", "unknown_picks", "pack_length_hist", "draft_accounting", "history_features", "estimation_frame", "balance_smd", "exact_match_exclusion", "satt_offered", "match_cov_k3", "method_scores", "bh_reject", "bootstrap_intervals", "significance_matrix", "rank_spearman", "group_labels", "mana_pips", "mana_value", "grid_decode")
+QUICK = ("reference_effects", "iv_sufficient_stats", "pick_stats", "unknown_picks", "pack_length_hist", "draft_accounting", "history_features", "estimation_frame", "balance_smd", "exact_match_exclusion", "satt_offered", "match_cov_k3", "method_scores", "bh_reject", "bootstrap_intervals", "significance_matrix", "rank_spearman", "group_labels", "mana_pips", "mana_value", "grid_decode", "exclusion_summary", "rank_separation_fdr")
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -103,16 +104,6 @@ def test_card_json(spark, tmp_path):
     assert [tuple(r) for r in drafts.read_groups(spark, str(tmp_path / "g.json")).collect()] == [("A", "R_Creature")]
 
 
-def test_two_roots(tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "b").mkdir()
-    (tmp_path / "a/f").write_text("")
-    assert drafts.resolve("f", str(tmp_path / "a"), str(tmp_path / "b")) == str(tmp_path / "a/f")
-    (tmp_path / "b/f").write_text("")
-    with pytest.raises(ValueError):
-        drafts.resolve("f", str(tmp_path / "a"), str(tmp_path / "b"))
-
-
 def test_runs_and_halves(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), ("a", 3)], "draft_id string, row_pos int")
     assert drafts.runs(rows).select("draft_id").distinct().count() == 3
@@ -324,3 +315,40 @@ def test_registered_bootstraps_have_all_draws(spark):
     found = [r["p"] for r in queries.QUERIES["significance_matrix"](spark, SF).collect() if r["p"] is not None]
     # One of six pairs can be significant alone.
     assert found and min(found) < 0.05 / 6
+
+
+def test_buckets_of_sets_of_colors_equal_those_of_rows(x):
+    groups = features.groups_of(x)
+    key = lambda b: sorted(map(str, exclusion.matched_contrast(b, groups).withColumn("z", F.round("smd", 9)).drop("smd", "abs_smd", "mean_diff", "pooled_sd", "mean_y_z1", "mean_y_z0", "var_y_z1", "var_y_z0", "sd_y_z1", "sd_y_z0").orderBy("card_a", "group_b").collect()))
+    assert key(exclusion.sparse_buckets(x, groups)) == key(exclusion.dense_buckets(features.frame(x, groups), groups))
+
+
+def test_t_interval(spark):
+    assert [round(stats.t_quantile(0.975, n), 4) for n in (1, 2, 10, 100)] == [12.7062, 4.3027, 2.2281, 1.984]
+    rows = spark.createDataFrame([(float(i), float(i * i)) for i in range(20)], "x double, y double")
+    out = metrics.value_per_quanta(rows, "x", "y", bins=2, level=0.95, last=True).collect()
+    assert [r["n"] for r in out] == [10, 10] and out[0]["half_y"] == pytest.approx(stats.t_quantile(0.975, 9) * out[0]["sem_y"])
+    even = metrics.value_per_quanta(rows, "x", "y", bins=4, quantile=False, last=True).collect()
+    assert sum(r["n"] for r in even) == 20
+
+
+@pytest.mark.parametrize(("profile", "space"), [("logit", {"c": [0.01, 1.0]}), ("gbm_y", {"trees": [1, 30]}), ("forest", {"trees": [4], "leaf": [20, 300]})])
+def test_tuning_takes_the_least_pooled_loss(spark, profile, space):
+    frame = synthetic(spark, 900)
+    two = frame.unionByName(frame.withColumn("card_a", F.lit("other")))
+    rows = models.tune(two, ["g"], space, profile=profile).collect()
+    assert len(rows) == 2 and [r["best"] for r in rows].count(True) == 1 and {r["n_cards"] for r in rows} == {2}
+    assert min(rows, key=lambda r: r["loss"])["best"] and all(r["n_rows"] > 0 for r in rows)
+    one = {r["point"]: r for r in models.tune(frame, ["g"], space, profile=profile).collect()}
+    assert all(r["n_rows"] > one[r["point"]]["n_rows"] for r in rows)
+    if profile == "gbm_y":
+        assert next(r for r in rows if r["best"])["point"] == 1
+    with pytest.raises(ValueError):
+        models.tuned(frame, ["g"], "none", [{}])
+
+
+def test_sweep_within_sets(spark):
+    rows = scoring_rows(spark)
+    both = rows.withColumn("set_code", F.lit("A")).unionByName(rows.withColumn("set_code", F.lit("B")))
+    out = resample.rsc_sensitivity(both, (0.2,), fixed=0.1, n_boot=50, by="set_code").first()
+    assert out["remaining"] == resample.rsc_sensitivity(rows, (0.2,), fixed=0.1, n_boot=50).first()["remaining"]
