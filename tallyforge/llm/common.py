@@ -37,6 +37,10 @@ def _forget(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Removes the shuffle files of a query when it ends; nothing reads them again after a table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one operator run, written under the shared folder.
 
@@ -53,14 +57,20 @@ class Scratch:
         self.n += 1
         path = f"{self.base}/t{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(schema).parquet(path)
         kept._scratch_path = path
         return kept
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def no_bigger(spark: SparkSession, df: DataFrame, rows: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tallyforge.llm import nearcopies
+from tallyforge.llm.simhash import shingle_hashes
 
 
 def sets_of(text):
@@ -38,9 +40,11 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("near", [1, nearcopies.NEAR])
-def test_near_copies(spark, near, monkeypatch):
-    monkeypatch.setattr(nearcopies, "NEAR", near)
+@pytest.mark.parametrize("block", [5, nearcopies.BLOCK])
+def test_near_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "LOOK", 4 * block)
+    monkeypatch.setattr(nearcopies, "LARGEST", 8 * block)
     monkeypatch.setattr(nearcopies, "FLUSH", 50)
     monkeypatch.setattr(nearcopies, "CHUNK", 1000)
     rng = random.Random(5)
@@ -97,3 +101,27 @@ def test_repeated_lines(spark):
     rows = list(enumerate([f"{' '.join([line] * 100)} {body()}", f"{' '.join([line] * 100)} {body()}", f"{text} {passage}", f"{text} {' '.join([passage] * 60)}"]))
     found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == brute_force(rows)[0] == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def test_recall_near_the_threshold():
+    """Of over 2,000 pairs at 0.8 to 0.85 at least 0.98 meet in a table and pass the distance."""
+    rng = random.Random(3)
+    n = found = 0
+    while n < 2_100:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([50, 100, 250]))]
+        how = rng.randrange(3)
+        if how == 0:
+            other = edited(rng, words, max(1, round(len(words) * rng.uniform(0.017, 0.026))))
+        elif how == 1:
+            other = " ".join(words[: round(len(words) * rng.uniform(0.8, 0.87))])
+        else:
+            other = " ".join([*words, *(f"y{i}" for i in range(round(len(words) * rng.uniform(0.17, 0.24))))])
+        a, b = (np.unique(shingle_hashes(t, 5)) for t in (" ".join(words), other))
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        if not 0.8 <= common / (len(a) + len(b) - common) <= 0.85:
+            continue
+        n += 1
+        (x, xs), (y, ys) = (tuple(np.frombuffer(p, dtype="<u4") for p in nearcopies.wide_fingerprint(s)) for s in (a, b))
+        met = any(set(k) & set(m) for k, m in zip(nearcopies.ball(x, xs).tolist(), nearcopies.ball(y, ys).tolist(), strict=True))
+        found += met and np.bitwise_count(x ^ y).sum() <= nearcopies.DISTANCE
+    assert found >= 0.98 * n
