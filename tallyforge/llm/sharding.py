@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, read, text_crc32
@@ -27,8 +27,12 @@ from .common import Scratch, read, text_crc32
 SHARDS = 40
 OVERHEAD = 16
 ROWS_PER_PART = 20_000
+#: Partitions that are dealt out at least.
+LEAST_PARTS = 64
 MAX_PARTS = 4_096
 MAX_RANGES = 256
+#: Keys of repeated rows up to which they are broadcast (three numbers each).
+BROADCAST_REPEATS = 100_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -62,54 +66,83 @@ def communication_matrix(part_sizes: list[int], shard_sizes: list[int], seed: in
     return out
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, seed: int = 23) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot."""
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Equality of the key that rows are told apart by: id, checksum and size."""
+    return a["id"].eqNullSafe(b["id"]) & (a["crc"] == b["crc"]) & (a["size"] == b["size"])
+
+
+def planned(docs: DataFrame, scratch: Scratch, shards: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """``id, crc, size, repeated, shard, slot`` of every row of ``docs``, and the keys that several rows share, if any."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "shard")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
-    thin = scratch.keep(docs.select("doc_id", size.alias("size"), text_crc32(F.col("text")).alias("text_crc32")))
+    thin = docs.select(F.col("doc_id").alias("id"), text_crc32(F.col("text")).alias("crc"), size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
+    thin = scratch.keep(thin)
     n = thin.count()
-    parts = max(1, min(MAX_PARTS, n // ROWS_PER_PART))
+    # Rows that repeat are told apart by their number in the stored table, so that they are dealt out like others.
+    again = scratch.keep(thin.groupBy("id", "crc", "size").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    repeats = again.count()
+    if repeats:
+        known = again.select(*(F.col(c).alias(c) for c in ("id", "crc", "size")), F.lit(True).alias("repeated"))
+        known = F.broadcast(known) if repeats <= BROADCAST_REPEATS else known
+        thin = thin.join(known, same_row(thin, known), "left").select(thin["id"], thin["crc"], thin["size"], F.coalesce("repeated", F.lit(False)).alias("repeated"), "row")
+    else:
+        thin = thin.withColumn("repeated", F.lit(False))
+    salt = F.when(F.col("repeated"), F.col("row")).otherwise(F.lit(0))
+    h = lambda k: F.xxhash64("id", "crc", salt, F.lit(seed + k))
+
+    parts = max(1, min(n, max(LEAST_PARTS, min(MAX_PARTS, n // ROWS_PER_PART))))
     ranges = max(1, min(MAX_RANGES, n // (shards * ROWS_PER_PART)))
-    h = lambda k: F.xxhash64("doc_id", "text_crc32", F.lit(seed + k))
     thin = thin.withColumn("part", F.pmod(h(0), F.lit(parts)).cast("int"))
-
     sizes = dict(thin.groupBy("part").agg(F.count("*").alias("n")).collect())
     sizes = {p: sizes[p] for p in sorted(sizes)}
     matrix = communication_matrix(list(sizes.values()), [n // shards + (j < n % shards) for j in range(shards)], seed)
     ends = spark.createDataFrame([(p, [int(x) for x in row]) for p, row in zip(sizes, matrix.cumsum(axis=1), strict=True)], "part int, ends array<long>")
 
-    local = Window.partitionBy("part").orderBy(h(1), "doc_id", "text_crc32", "size")
+    local = Window.partitionBy("part").orderBy(h(1), "id", "crc", "size", "row")
     dealt = thin.withColumn("at", F.row_number().over(local) - 1).join(F.broadcast(ends), "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
     order = h(2)
-    dealt = dealt.select("doc_id", "size", "text_crc32", "shard", order.alias("order"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(ranges)).cast("int").alias("range"))
-    dealt = scratch.keep(dealt)
+    dealt = scratch.keep(dealt.select("id", "crc", "size", "repeated", "row", "shard", order.alias("order"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(ranges)).cast("int").alias("range")))
 
     counts = dealt.groupBy("shard", "range").agg(F.count("*").alias("n"))
     starts = counts.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).drop("n")
-    last = Window.partitionBy("shard", "range").orderBy("order", "doc_id", "text_crc32", "size")
+    last = Window.partitionBy("shard", "range").orderBy("order", "id", "crc", "size", "row")
     # At most shards * MAX_RANGES rows, so safe to broadcast.
     out = dealt.withColumn("rank", F.row_number().over(last) - 1).join(F.broadcast(starts), ["shard", "range"])
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank")).alias("slot"))
+    return out.select("id", "crc", "size", "repeated", "shard", (F.col("start") + F.col("rank")).alias("slot")), again if repeats else None
+
+
+def shard(docs: DataFrame, *, shards: int = SHARDS, seed: int = 23) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot."""
+    plan, _ = planned(docs, Scratch(docs.sparkSession, "shard"), shards, seed)
+    return plan.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
-def sharded_documents(docs: DataFrame, **options) -> DataFrame:
+def sharded_documents(docs: DataFrame, *, shards: int = SHARDS, seed: int = 23) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (columns of these names are replaced).
 
     Rows equal in doc_id and text are interchangeable: the n-th of them in the plan goes to
-    the n-th of them in ``docs``.
+    the n-th of them in ``docs``. Texts are exchanged once, those of repeated rows twice.
     """
-    plan = shard(docs, **options)
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
-    plan = plan.withColumn("_nth", nth("doc_id", "text_crc32", "size")).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "_nth", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    scratch = Scratch(docs.sparkSession, "sharded")
+    plan, again = planned(docs, scratch, shards, seed)
+    plan = scratch.keep(plan)
     docs = docs.drop("shard", "slot")
-    names = docs.columns
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
-    keyed = docs.withColumn("_crc", text_crc32(F.col("text"))).withColumn("_size", size).withColumn("_id", F.col("doc_id"))
-    keyed = keyed.withColumn("_nth", nth("_id", "_crc", "_size"))
-    hit = keyed["_id"].eqNullSafe(plan["_id"]) & (keyed["_crc"] == plan["_crc"]) & (keyed["_size"] == plan["_size"]) & (keyed["_nth"] == plan["_nth"])
-    return keyed.join(plan, hit).select(*[keyed[c] for c in names], F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    # The documents' own columns travel in a struct, so that no name can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_crc32(F.col("text")).alias("crc"), size_of(F.col("text")).alias("size"))
+    once = plan.where(~F.col("repeated"))
+    out = rows.join(once, same_row(rows, once)).select("row", "shard", "slot")
+    if again is not None:
+        again = F.broadcast(again) if again.count() <= BROADCAST_REPEATS else again
+        nth = F.row_number().over(Window.partitionBy("id", "crc", "size").orderBy("id"))
+        mine = rows.join(again, same_row(rows, again), "left_semi").withColumn("nth", nth)
+        theirs = plan.where("repeated").withColumn("nth", nth)
+        more = mine.join(theirs, same_row(mine, theirs) & (mine["nth"] == theirs["nth"]))
+        out = out.unionByName(more.select("row", "shard", "slot"))
+    return out.select("row.*", "shard", "slot")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
