@@ -23,7 +23,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, no_bigger, read, unit
+from .common import Scratch, no_bigger, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -38,6 +38,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def drawn(seed: int) -> Column:
+    """A number strictly between 0 and 1 for each row, from the digest of seed, id and text, so that SQL can draw it too."""
+    row = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    digits = F.conv(F.substring(F.md5(row.cast("binary")), 1, 13), 16, 10).cast("double")
+    return (digits + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def quality_weight(quality: Column) -> Column:
     """Documents labelled good come earlier in the key order, those labelled poor later."""
     return F.when(quality >= 1, F.lit(2.0)).when(quality <= 0, F.lit(0.5)).otherwise(F.lit(1.0))
@@ -83,12 +90,12 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, seed: int = 17, wei
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), drawn(seed).alias("u"))
     if labels is None:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     else:
         rows = rows.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
-    key = -F.log(unit(F.xxhash64("doc_id", "text_hash", F.lit(seed)))) / quality_weight(F.col("quality"))
+    key = -F.log(F.col("u")) / quality_weight(F.col("quality"))
     thin = scratch.keep(rows.select("doc_id", "source", "size", "text_hash", key.alias("key")))
     n_bins = max(1, min(MAX_BINS, thin.count() // ROWS_PER_BIN))
     thin = thin.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * n_bins))
@@ -125,14 +132,15 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, **options)
     """
     plan = mix(docs, labels, **options)
     copies = (F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.sum(copies).alias("_mix_sum"), F.count("*").alias("_mix_rows"))
+    plan = plan.groupBy("doc_id", "text_hash").agg(F.sum(copies).alias("sum"), F.count("*").alias("n"))
     # Rows that repeat take equal shares, rounded up, of what they take together.
-    plan = plan.withColumn("_mix_copies", F.ceil(F.col("_mix_sum") / F.col("_mix_rows")).cast("int")).where("_mix_copies > 0")
-    hit = docs["doc_id"].eqNullSafe(plan["_mix_id"]) & (F.xxhash64(docs["text"]) == plan["_mix_hash"])
-    out = docs.join(plan, hit)
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    plan = plan.withColumn("copies", F.ceil(F.col("sum") / F.col("n")).cast("int")).where("copies > 0").select("doc_id", "text_hash", "copies")
+    # The documents' own columns travel in a struct, so that no name can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    out = rows.join(plan, rows["id"].eqNullSafe(plan["doc_id"]) & (rows["hash"] == plan["text_hash"]))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")

@@ -44,4 +44,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": DECONTAMINATION}
+#: Each source in order of its rows' exponential keys, with prefix sums over the whole source.
+MIXING = r"""
+WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+-ln((('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / CASE WHEN quality >= 1 THEN 2.0 WHEN quality <= 0 THEN 0.5 ELSE 1.0 END AS key
+FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (ARRAY[5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER t AS k, coalesce(sum(3 * source_size) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+sum(w) OVER (t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, sum(source_size) OVER () AS total FROM s WINDOW t AS (ORDER BY source_size / w::DOUBLE, w, source)),
+l AS (SELECT min_by((total - held)::DOUBLE / free::DOUBLE, k) AS level FROM o WHERE w * ((total - held)::DOUBLE / free::DOUBLE) <= 3 * source_size),
+g AS (SELECT source, source_size, least(w * level, 3.0 * source_size) AS target FROM s CROSS JOIN l),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
+r AS (SELECT *, round(target - epochs * source_size)::BIGINT AS rest FROM h),
+p AS (SELECT d.*, r.source_size, r.target, r.epochs, r.rest, sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size ROWS UNBOUNDED PRECEDING) - size AS prefix FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * epochs + greatest(0, least(size, rest - prefix)))::BIGINT AS taken FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": DECONTAMINATION, "op9_mixing": MIXING}
