@@ -90,20 +90,22 @@ class Forest:
         p = sample[at] @ r
         return r, cut, self.grow(sample, at[p <= cut + self.margin], depth + 1), self.grow(sample, at[p >= cut - self.margin], depth + 1)
 
-    def leaves(self, rows: np.ndarray) -> list[list[int]]:
-        """The leaves of each unit row, in order."""
-        out: list[list[int]] = [[] for _ in range(len(rows))]
+    def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of unit rows and their leaves, in order of both."""
+        places, numbers = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
         todo = [(root, np.arange(len(rows))) for root in self.roots]
         while todo:
             node, at = todo.pop()
             if isinstance(node, int):
-                for i in at.tolist():
-                    out[i].append(node)
+                places.append(at)
+                numbers.append(np.full(len(at), node, dtype=np.int32))
             elif len(at):
                 r, cut, left, right = node
                 p = rows[at] @ r[: rows.shape[1]]
                 todo += [(left, at[p <= cut + self.margin]), (right, at[p >= cut - self.margin])]
-        return [sorted(x) for x in out]
+        place, number = np.concatenate(places), np.concatenate(numbers)
+        order = np.lexsort((number, place))
+        return place[order], number[order]
 
 
 def stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -122,16 +124,17 @@ def stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def compared(rows: np.ndarray, weight: np.ndarray, block: np.ndarray, leaves: list[list[int]], leaf: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def compared(rows: np.ndarray, weight: np.ndarray, block: np.ndarray, place: np.ndarray, own: np.ndarray, leaf: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Weighted links of each row that this leaf owns, and each row's local component.
 
-    ``block``: if it has two values, only rows of different blocks are compared.
+    ``place`` and ``own`` are the leaves of each row. ``block``: if it has two values, only rows
+    of different blocks are compared.
     """
     n, u = len(rows), units(rows)
-    earlier = [[x for x in own if x < leaf] for own in leaves]
-    ids, column = np.unique([x for own in earlier for x in own], return_inverse=True)
+    earlier = own < leaf
+    ids, column = np.unique(own[earlier], return_inverse=True)
     member = np.zeros((n, len(ids)), dtype=np.float32)
-    member[np.repeat(np.arange(n), list(map(len, earlier))), column] = 1
+    member[place[earlier], column] = 1
     across = len(np.unique(block)) > 1
     links = np.zeros(n, dtype=np.int64)
     label = np.arange(n)
@@ -173,7 +176,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, trees: int =
     forest = Forest(units(sample), n / max(1, len(picked)), cosine, trees) if picked else None
     shared = spark.sparkContext.broadcast(forest)
     blocks = [max(1, int(-(-s // BLOCK))) for s in forest.sizes] if forest else []
-    dealt_blocks = spark.sparkContext.broadcast(blocks)
+    sizes = np.array(blocks, dtype=np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,31 +184,34 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, trees: int =
             lengths = np.diff(data.offsets.to_numpy())
             flat = data.flatten().to_numpy(zero_copy_only=False).astype("<f8" if data.type.value_type == pa.float64() else "<f4")
             starts = np.cumsum([0, *lengths])
-            cids, counts = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
-            keys, firsts, seconds, own, src = [], [], [], [], []
             for length in np.unique(lengths).tolist():
-                at = np.nonzero(lengths == length)[0]
-                rows = units(np.stack([flat[starts[i] : starts[i] + length] for i in at]))
-                for i, leaves in zip(at.tolist(), shared.value.leaves(rows), strict=True):
-                    for leaf in leaves:
-                        b = dealt_blocks.value[leaf]
-                        mine = int(cids[i]) * 2654435761 % (1 << 32) % b
-                        for other in range(b):
-                            keys.append(leaf)
-                            firsts.append(min(mine, other))
-                            seconds.append(max(mine, other))
-                            own.append((length, mine, leaves))
-                            src.append(i)
-            for a in range(0, len(src), 8192):
-                part = slice(a, a + 8192)
-                cols = [pa.array(keys[part], pa.int32()), pa.array(firsts[part], pa.int32()), pa.array(seconds[part], pa.int32()), pa.array([x[0] for x in own[part]], pa.int32()), pa.array([x[1] for x in own[part]], pa.int32()), pa.array([x[2] for x in own[part]], pa.list_(pa.int32())), pa.array(cids[src[part]]), pa.array(counts[src[part]]), pa.array([flat[starts[i] : starts[i + 1]].tobytes() for i in src[part]], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["leaf", "i", "j", "dim", "block", "leaves", "cid", "n", "vec"])
+                at = np.flatnonzero(lengths == length)
+                data = flat[starts[at][:, None] + np.arange(length)]
+                place, leaf = shared.value.leaves(units(data))
+                ends = np.cumsum(np.bincount(place, minlength=len(at)))
+                own = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(leaf))
+                vecs = pa.array([x.tobytes() for x in data], pa.binary())
+                cid, n = batch.column("cid").take(pa.array(at)), batch.column("n").take(pa.array(at))
+                # A vector goes to its block's pair with every block of the leaf.
+                b = sizes[leaf]
+                mine = (cid.to_numpy()[place].astype("<u8") * np.uint64(2654435761) >> np.uint64(16)).astype(np.int64) % b
+                copy = np.repeat(np.arange(len(place)), b)
+                other = np.arange(len(copy)) - np.repeat(np.cumsum(b) - b, b)
+                for i in range(0, len(copy), 8192):
+                    c, o = copy[i : i + 8192], other[i : i + 8192]
+                    of, m = pa.array(place[c]), mine[c]
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, (leaf[c], np.minimum(m, o).astype("<i4"), np.maximum(m, o).astype("<i4"), np.full(len(c), length, "<i4"), m.astype("<i4"))), own.take(of), cid.take(of), n.take(of), vecs.take(of)],
+                        ["leaf", "i", "j", "dim", "block", "leaves", "cid", "n", "vec"],
+                    )
 
     def compare(table: pa.Table) -> pa.Table:
         dim, cid = table["dim"][0].as_py(), table["cid"].to_numpy()
         data = b"".join(table["vec"].to_pylist())
         rows = np.frombuffer(data, dtype="<f4" if len(data) == 4 * dim * len(cid) else "<f8").reshape(len(cid), dim)
-        links, label = compared(rows, table["n"].to_numpy(), table["block"].to_numpy(), table["leaves"].to_pylist(), table["leaf"][0].as_py(), cosine)
+        leaves = table["leaves"].combine_chunks()
+        own, place = leaves.flatten().to_numpy(), np.repeat(np.arange(len(leaves)), leaves.value_lengths().to_numpy())
+        links, label = compared(rows, table["n"].to_numpy(), table["block"].to_numpy(), place, own, table["leaf"][0].as_py(), cosine)
         some, moved = np.nonzero(links)[0], np.nonzero(label != np.arange(len(label)))[0]
         ends = [pa.array(np.concatenate([cid[some], cid[moved]])), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cid[label[moved]])]), pa.array(np.concatenate([links[some], np.zeros(len(moved), dtype=np.int64)]))]
         return pa.Table.from_arrays(ends, ["a", "b", "links"])
@@ -217,9 +223,8 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, trees: int =
     thin = scratch.keep(classes.select("cid", "k1", "k2", "rep", "n").join(roots, "cid", "left").join(links, "cid", "left"))
     least = scratch.keep(thin.where("root is not null").groupBy("root").agg(F.min("rep").alias("least")))
     named = thin.join(least, "root", "left").select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
-    named = scratch.keep(named.withColumn("usable", F.lit(True)))
-    found = keyed.drop("embedding").join(named, ["k1", "k2", "usable"], "left")
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    found = keyed.where("usable").drop("embedding").join(scratch.keep(named), ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    return found.unionAll(keyed.where(~F.col("usable")).select("vec_id", F.lit(0).cast("long"), F.col("vec_id").alias("component_id")))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
