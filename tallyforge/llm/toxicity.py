@@ -8,8 +8,12 @@ logistic curve over three figures (bytes saved in all, most in one window, numbe
 windows), fitted on the training rows, calibrates the score; 0.7 is the threshold.
 
 Training takes at most about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows (expected
-numbers of a hash sample) and of each a piece of ``PIECE`` characters at a hashed place; this
-bounds what the driver gathers. Scoring reads whole texts.
+numbers of a hash sample of doc_ids, one row each) with whole texts of at most ``LONGEST``
+characters; this bounds what the driver gathers. Scoring reads whole texts.
+
+Dictionaries trained on toxic texts as they are do not tell them apart: most of such a text is
+like any other, and what a window saves by the toxic dictionary is within what it saves by
+chance (README has figures). So the toxic dictionary is trained on those contexts only.
 
 Defined cases: null and empty texts have one empty window, which saves nothing; without
 training rows of both kinds every score is 0; of several labels of a doc_id the highest
@@ -35,7 +39,8 @@ from .langid import held_out
 
 TOXIC_ROWS = 1_500
 CLEAN_ROWS = 3_000
-PIECE = 6_000
+#: Characters of a training text at most; longer labelled texts train nothing.
+LONGEST = 20_000
 WINDOW = 128
 STRIDE = 96
 LEVEL = 9
@@ -116,9 +121,9 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     bad, good = contexts(toxic), contexts(clean)
     a, b = (Counter(w for _, w, _ in x) for x in (bad, good))
     support = max(4, round(LEAST_CONTEXTS * len(toxic)))
-    apart = {w for w, n in a.items() if len(w) > 3 and n >= support and math.log((n + 0.5) / len(bad)) - math.log((b[w] + 0.5) / len(good)) > LOG_ODDS}
+    apart = {w for w, n in a.items() if w and n >= support and math.log((n + 0.5) / len(bad)) - math.log((b[w] + 0.5) / len(good)) > LOG_ODDS}
     model = Model(
-        ordinary=trained(CLEAN_BYTES, [t[i : i + 400].lower().encode() for t in clean for i in range(0, len(t), 400)][:20_000]),
+        ordinary=trained(CLEAN_BYTES, [t[i : i + 400].lower().encode() for t in clean for i in range(0, len(t), 400)]),
         toxic=trained(TOXIC_BYTES, [f" {w} ".encode() for _, w, _ in sorted(bad) if w in apart]),
     )
     distance = Distance(model.ordinary, model.toxic)
@@ -134,9 +139,8 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[
     share = F.when(F.col("toxic"), min(1.0, TOXIC_ROWS / max(1, sizes.get(True, 0)))).otherwise(min(1.0, CLEAN_ROWS / max(1, sizes.get(False, 0))))
     # Bounded by TOXIC_ROWS + CLEAN_ROWS, so safe to broadcast.
     sample = marked.where(unit(F.xxhash64("doc_id", F.lit(5))) < share)
-    cut = F.crc32(F.concat(F.lit("piece "), F.col("doc_id").cast("string")).cast("binary")) % F.greatest(F.lit(1), F.char_length("text") - PIECE + 1)
-    text = F.substring("text", (cut + 1).cast("int"), F.lit(PIECE))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", text.alias("text")).collect()
+    texts = docs.select("doc_id", "text").where(F.char_length("text") <= LONGEST)
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return tuple(list(dict.fromkeys(r["text"] for r in rows if r["toxic"] == kind)) for kind in (True, False))
 
