@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns find e-mail and IP addresses, card and phone numbers. The field labels the words
-of a text by kind from the shapes of a word and its neighbours. It is trained by gradient
-ascent from the small table ``EXAMPLES``, and decoded by Viterbi in numpy batches. Words of
-letters alone are outside by the model's definition, so the chain falls apart at them into
-islands, which are decoded exactly and together, in lockstep. Spans that the field finds are
-added where no pattern found anything.
+of a text by kind from the shapes of a word and its neighbours. Words of letters alone are
+outside by the model's definition, in training and in decoding, so the chain falls apart at
+them into islands between outside labels. It is trained by gradient ascent on the islands of
+the small table ``EXAMPLES``, and decoded exactly by Viterbi in numpy batches, many islands in
+lockstep. Spans that the field finds are added where no pattern found anything; a card has to
+pass Luhn, the parts of an address have to be at most 255.
 
 Defined cases: null and empty texts have no spans; texts are scanned whole, whatever their
 length; rows that repeat get equal results; an empty table gives no rows. Other columns are
@@ -80,6 +81,8 @@ TRAINING_STEPS = 300
 RATE = 0.5
 PENALTY = 0.02
 MAX_WORDS = 300_000
+#: Characters of a word that is remembered, at most.
+LONG_WORD = 256
 
 
 def shape(word: str) -> str:
@@ -91,7 +94,7 @@ def shape(word: str) -> str:
     if not core or core.isalpha():
         return PLAIN
     out: list[str] = []
-    for c in core[:64]:
+    for c in core:
         kind = "d" if c.isascii() and c.isdigit() else "a" if c.isalpha() else c
         if out and out[-1][0] == kind and kind in "ad":
             out[-1] += kind
@@ -106,19 +109,38 @@ def features(prev: str, this: str, after: str) -> list[str]:
     return [f"0{this}", f"-{prev}", f"+{after}", f"t{this[0]}", f"n{min(digits, 9)}", f"@{'@' in this}.{this.count('.') > 0}", f".{min(this.count('.'), 4)}", f"a{'a' in this}", f"-d{this.count('-')}"]
 
 
+def islands_of(shapes: list[str]) -> list[list[int]]:
+    """Runs of places whose words are more than letters."""
+    out: list[list[int]] = []
+    for j, s in enumerate(shapes):
+        if s != PLAIN:
+            if out and out[-1][-1] == j - 1:
+                out[-1].append(j)
+            else:
+                out.append([j])
+    return out
+
+
 class Field:
     """A trained linear-chain conditional random field."""
 
     def __init__(self):
         self.index: dict[str, int] = {}
-        chains = [self.example(e) for e in EXAMPLES]
+        chains = [island for e in EXAMPLES for island in self.example(e)]
         width, k = len(self.index), len(LABELS)
         self.weights, self.moves = np.zeros((width, k)), np.zeros((k, k))
         for _ in range(TRAINING_STEPS):
             grad_w, grad_m = -PENALTY * self.weights, -PENALTY * self.moves
             for rows, gold in chains:
                 unary = np.array([self.weights[r].sum(axis=0) for r in rows])
+                unary[0] += self.moves[0]
+                unary[-1] += self.moves[:, 0]
                 one, two = marginals(unary, self.moves)
+                # Moves from and to the outside labels around the island.
+                grad_m[0] -= one[0]
+                grad_m[:, 0] -= one[-1]
+                grad_m[0, gold[0]] += 1
+                grad_m[gold[-1], 0] += 1
                 one[np.arange(len(gold)), gold] -= 1
                 for r, d in zip(rows, one, strict=True):
                     np.subtract.at(grad_w, r, d)
@@ -129,15 +151,20 @@ class Field:
         self.known: dict[tuple[str, str, str], np.ndarray] = {}
         self.shapes: dict[str, str] = {}
 
-    def example(self, text: str) -> tuple[list[list[int]], np.ndarray]:
+    def example(self, text: str) -> list[tuple[list[list[int]], np.ndarray]]:
+        """The islands of an example: features of each word, and labels."""
         words, gold = [], []
         for tagged, plain in re.findall(r"\{([^}]*)\}|([^\s{}]+)", text):
             kind, *inside = tagged.split() if tagged else ("O", plain)
             words += inside
             gold += [LABELS.index(kind)] * len(inside)
-        s = [PLAIN, *map(shape, words), PLAIN]
-        rows = [[self.index.setdefault(f, len(self.index)) for f in features(*x)] for x in zip(s, s[1:], s[2:], strict=False)]
-        return rows, np.array(gold)
+        shapes = list(map(shape, words))
+        around = [PLAIN, *shapes, PLAIN]
+        out = []
+        for run in islands_of(shapes):
+            rows = [[self.index.setdefault(f, len(self.index)) for f in features(*around[j : j + 3])] for j in run]
+            out.append((rows, np.array([gold[j] for j in run])))
+        return out
 
     def unary(self, around: tuple[str, str, str]) -> np.ndarray:
         """Scores of the labels for a word's shape between its neighbours' shapes."""
@@ -146,7 +173,9 @@ class Field:
             if len(self.known) > MAX_WORDS:
                 self.known.clear()
             rows = [self.index[f] for f in features(*around) if f in self.index]
-            found = self.known[around] = self.weights[rows].sum(axis=0)
+            found = self.weights[rows].sum(axis=0)
+            if sum(map(len, around)) <= LONG_WORD:
+                self.known[around] = found
         return found
 
     def shape(self, word: str) -> str:
@@ -154,7 +183,9 @@ class Field:
         if found is None:
             if len(self.shapes) > MAX_WORDS:
                 self.shapes.clear()
-            found = self.shapes[word] = shape(word)
+            found = shape(word)
+            if len(word) <= LONG_WORD:
+                self.shapes[word] = found
         return found
 
     def decode(self, islands: list[list[np.ndarray]]) -> list[list[int]]:
@@ -223,7 +254,7 @@ def emails(text: str) -> Iterator[tuple[str, int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, in order of kind, then start."""
     found = list(emails(text))
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p := q.lstrip("0")) < 4 and int(p or 0) < 256 for q in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -235,8 +266,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def plausible(kind: str, text: str) -> bool:
     """What a span of the field must have at least."""
-    digits = sum(c.isdigit() for c in text)
-    return {"email": "@" in text and "." in text, "ip": text.count(".") == 3, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+    if kind == "email":
+        return "@" in text and "." in text
+    if kind == "ip":
+        parts = re.findall(r"[0-9]+", text)
+        return len(parts) == 4 and text.count(".") == 3 and all(len(q := p.lstrip("0")) < 4 and int(q or 0) < 256 for p in parts)
+    digits = "".join(c for c in text if c.isascii() and c.isdigit())
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15
 
 
 def field_spans(texts: list[str], model: Field) -> list[list[tuple[str, int, int]]]:
@@ -244,17 +280,10 @@ def field_spans(texts: list[str], model: Field) -> list[list[tuple[str, int, int
     islands, places = [], []
     for i, text in enumerate(texts):
         shapes = list(map(model.shape, text.split()))
-        odd = [j for j, s in enumerate(shapes) if s != PLAIN]
-        if not odd:
-            continue
-        shapes = [PLAIN, *shapes, PLAIN]
-        run: list[int] = []
-        for j in [*odd, len(shapes) + 1]:
-            if run and j != run[-1] + 1:
-                islands.append([model.unary(tuple(shapes[x : x + 3])) for x in run])
-                places.append((i, run[0]))
-                run = []
-            run.append(j)
+        around = [PLAIN, *shapes, PLAIN]
+        for run in islands_of(shapes):
+            islands.append([model.unary(tuple(around[j : j + 3])) for j in run])
+            places.append((i, run[0]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     spots: dict[int, list[tuple[int, int]]] = {}
     for (i, first), path in zip(places, model.decode(islands), strict=True):

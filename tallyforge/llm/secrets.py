@@ -27,7 +27,7 @@ from .common import documents, map_arrow, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MIN_RUN = 20
+MIN_RUN = 16
 MAX_CHARS_PER_TOKEN = 2.0
 
 # The patterns of the base kinds.
@@ -41,7 +41,7 @@ DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 #: Numbers, and words (a capital at most in front, or capitals only) with short numbers, joined.
-NAMED = re.compile(r"(?:[0-9]+|[+/_=-]+)+|(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[0-9]{1,4}(?![0-9]))?)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[0-9]{1,4}(?![0-9]))?)*[+/_=-]*")
+NAMED = re.compile(r"[0-9+/_=-]+|(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[0-9]{1,4}(?![0-9]))?)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[0-9]{1,4}(?![0-9]))?)*[+/_=-]*")
 
 
 @cache

@@ -152,3 +152,62 @@ def test_languages_without_anything_to_learn(spark):
 @pytest.mark.parametrize("operator", [secrets.find_secrets, pii.find_pii, tokens.token_counts])
 def test_empty_tables(spark, operator):
     assert operator(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
+#: Sentences unlike those trained on; what the field has to add to the patterns is in braces.
+HELD_OUT = (
+    "you can reach me under {(646) 555-0193} in the evening",
+    "fax us on {212-555-0101} or write",
+    "his number is {(303) 555-7788}, he said",
+    "ring {415-555-2020} and ask for the manager",
+    "the old line {(718) 555-3344} is dead",
+    "desk phone {305-555-9012} works today",
+    "my amex is {3782 822463 10005} until june",
+    "billed to {3714-496353-98431} yesterday",
+    "the code 5105105105105106 fails and stays out",
+    "card 1234 5678 9012 3456 is not a number of a card",
+    "we met on 2019-03-04 at 18:30 in room 12-B",
+    "chapter 3-14 of 200, pages 10-20 and 44",
+    "it costs 1,299.00 or 3.5 per cent of 40",
+    "release 4.11.2 fixed bug 88213 and 9001",
+    "coordinates 48.85, 2.35 and height 35",
+    "they won 3-1 against 11 men in 1997",
+    "item 7 (of 9) ships on 5/6/2021",
+)
+
+
+def test_field_on_held_out_sentences():
+    right = found = wanted = 0
+    for sentence in HELD_OUT:
+        gold = {m.group(1) for m in re.finditer(r"\{([^}]*)\}", sentence)}
+        text = sentence.replace("{", "").replace("}", "")
+        first = pii.base_spans(text)
+        spans = [s for s in pii.field_spans([text], pii.field())[0] if not any(a < s[2] and s[1] < b for _, a, b in first)]
+        got = {text[a:b] for _, a, b in spans}
+        right, found, wanted = right + len(got & gold), found + len(got), wanted + len(gold)
+    assert right >= 0.8 * wanted and right >= 0.9 * found, (right, found, wanted)
+
+
+RUN_PARTS = ["1", "0", "a", "Z", "x9Q", "+1", "-", ".", "@", "a@b.", " ", "1.", "AKIA", "token=", "f0", "'s", "é", "中", "(1"]
+
+
+@pytest.mark.parametrize("part", RUN_PARTS)
+def test_long_runs_end(part):
+    """Runs of 300,000 characters and more go through every operator on one text within seconds."""
+    import time
+
+    text = part * (300_000 // len(part)) + "xQ"
+    begun = time.perf_counter()
+    secrets.random_spans(text, secrets.base_spans(text))
+    pii.base_spans(text)
+    pii.field_spans([text], pii.field())
+    assert time.perf_counter() - begun < 10
+    pii.base_spans("0" * 5000 + ".1.1.1")
+
+
+def test_states_can_be_forgotten_within_a_word(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_STATES", 50)
+    made = tokens.Counter(public_tokenizers.path(tokens.VOCABULARY))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(3000)), "xyz" * 500]
+    assert made.counts(texts) == [len(library.encode(t).ids) for t in texts]
