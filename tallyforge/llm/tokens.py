@@ -13,7 +13,7 @@ are what merging their bytes gives, and so has each of its prefixes. When a byte
 last token of the new prefix follows from, for every suffix that can still begin a token, the
 last token before that suffix. These form the state; a transition carries the number of
 tokens by which the count changes. States are built as words need them and are forgotten
-together at ``MAX_STATES``; words seen before are not run again.
+together at ``MAX_STATES``, within a word too; words seen before are not run again.
 
 Defined cases: null and empty texts have no tokens; the special string ``<|endoftext|>`` is
 one token, as the library has it by default; texts are read whole; rows that repeat get equal
@@ -41,6 +41,8 @@ LANE = 512
 AGREE = 16
 MAX_STATES = 300_000
 MAX_WORDS = 400_000
+#: Characters of a word that is remembered, at most.
+LONG_WORD = 256
 
 END, SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, UNKNOWN = range(8)
 # The contractions of the pre-tokenizer's pattern.
@@ -198,11 +200,14 @@ class Counter:
     def spelled(self, token: str) -> bytes:
         return bytes(self.byte[c] for c in token)
 
-    def forget(self) -> None:
-        self.states: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.of: list[tuple] = [((0, -1, 0),)]
+    def forget(self, kept: tuple = ((0, -1, 0),)) -> int:
+        """Drop all states but the first and ``kept``, whose new number is returned."""
+        first = ((0, -1, 0),)
+        self.of: list[tuple] = [first] if kept == first else [first, kept]
+        self.states: dict[tuple, int] = {s: i for i, s in enumerate(self.of)}
         self.parts: dict[tuple[int, int, int], tuple[int, int, int]] = {}
         self.moves: dict[int, int] = {}
+        return len(self.of) - 1
 
     def merged(self, data: bytes) -> list[int]:
         """The tokens of a short byte sequence, by its merges in order of rank."""
@@ -252,12 +257,13 @@ class Counter:
     def word(self, word: str) -> int:
         """The number of tokens of one word."""
         state = total = 0
-        if len(self.of) > MAX_STATES:
-            self.forget()
         moves, data = self.moves, word.encode()
         for byte in data:
             move = moves.get(state | byte)
             if move is None:
+                if len(self.of) > MAX_STATES:
+                    state = self.forget(self.of[state >> 8]) << 8
+                    moves = self.moves
                 move = self.move(state >> 8, byte)
             state = move & ~255
             total += move & 255
@@ -295,10 +301,10 @@ class Counter:
         words = [stream[a:b] for a, b, ok in zip(starts.tolist(), starts[1:].tolist(), real.tolist(), strict=False) if ok]
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        known = self.words
+        known, long = self.words, {}
         for w in set(words).difference(known):
-            known[w] = self.word(w)
-        n = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            (known if len(w) <= LONG_WORD else long)[w] = self.word(w)
+        n = np.fromiter((known[w] if w in known else long[w] for w in words) if long else map(known.__getitem__, words), dtype=np.int64, count=len(words))
         part = np.searchsorted(ends, starts[real])
         total += np.bincount(np.asarray(owner)[part], weights=n, minlength=len(texts)).astype(np.int64)
         return total.tolist()
