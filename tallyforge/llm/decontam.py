@@ -109,15 +109,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
-    items = scratch.keep(benchmark.select(F.col("item_id").cast("string").alias("item_id"), word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+    # Items of equal words hit together, once.
+    items = scratch.keep(items.groupBy("words").agg(F.collect_set("item_id").alias("ids")))
     lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(window))).distinct().collect())
     prints = None
     for n in lengths:
-        some = items.where(F.least(F.size("words"), F.lit(window)) == n).select("item_id", F.explode(winnowed(F.col("words"), n)).alias("f"))
+        some = items.where(F.least(F.size("words"), F.lit(window)) == n).select("ids", F.explode(winnowed(F.col("words"), n)).alias("f"))
         prints = some if prints is None else prints.unionAll(some)
     if prints is None:
-        prints = items.select("item_id", F.explode(winnowed(F.col("words"), window)).alias("f"))
-    prints = scratch.keep(prints.select("item_id", F.col("f.len").alias("len"), F.col("f.hash").alias("hash"), F.col("f.pos").alias("at"), F.col("f.context").alias("item")))
+        prints = items.select("ids", F.explode(winnowed(F.col("words"), window)).alias("f"))
+    prints = scratch.keep(prints.select("ids", F.col("f.len").alias("len"), F.col("f.hash").alias("hash"), F.col("f.pos").alias("at"), F.col("f.context").alias("item")))
     prints = no_bigger(spark, prints, BROADCAST_ROWS)
 
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(let(word_hashes(F.col("text")), lambda w: marked(w, lengths, F.xxhash64("doc_id", "text")))).alias("f"))
@@ -139,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         F.max(F.when(~real, F.col("pos"))).cast("long").alias("n_words"),
         F.sum(F.when(~real, 1)).alias("copies"),
         F.sort_array(F.collect_set(span)).alias("spans"),
-        F.sort_array(F.collect_set("item_id")).alias("items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
     )
     by_doc = by_doc.withColumn("n_hit", covered(F.col("spans")))
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
