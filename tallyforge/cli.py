@@ -13,6 +13,7 @@ from . import workflow
 from .operators import models
 from .plans.queries import QUERIES
 from .session import session
+from .sources.sinks import load_profiles
 
 
 def read_methods(path: str) -> list[str]:
@@ -51,6 +52,7 @@ def parser() -> argparse.ArgumentParser:
     estimates = command("build-baseline-estimates", "set_code", "methods_path", split=True)
     estimates.add_argument("--idx", type=int)
     estimates.add_argument("--filter")
+    estimates.add_argument("--profiles", help="JSON file of learner settings")
     command("independence-diagnostic", "set_code")
     command("instrument-diagnostic", "set_code")
     slots = command("slot-diagnostic", "set_code")
@@ -82,7 +84,7 @@ def main(args: list[str] | None = None) -> None:
     if given.command == "build-reference-effects":
         workflow.build_reference_effects(spark, space, given.set_code, split=given.split, least_picked=given.least_picked, most_ratio=given.most_ratio)
     elif given.command == "build-baseline-estimates":
-        workflow.build_baseline_estimates(spark, space, given.set_code, read_methods(given.methods_path), idx=given.idx, name_filter=given.filter, split=given.split)
+        workflow.build_baseline_estimates(spark, space, given.set_code, read_methods(given.methods_path), idx=given.idx, name_filter=given.filter, split=given.split, profiles=load_profiles(given.profiles, models.PROFILES) if given.profiles else None)
     elif given.command == "independence-diagnostic":
         workflow.independence_diagnostic(spark, space, given.set_code)
     elif given.command == "instrument-diagnostic":

@@ -25,6 +25,8 @@ def enrich(pairs: DataFrame, estimates: DataFrame, *, require_finite: bool = Fal
     The checks count violations in one job each and bring one number to the driver.
     """
     keys = ["card_a", "group_b"]
+    if clash := set(pairs.columns) & set(estimates.columns) - set(keys):
+        raise ValueError(f"pairs and estimates share columns {sorted(clash)}")
     if estimates.groupBy("method", *keys).count().where("count > 1").limit(1).count():
         raise ValueError("a method has a pair twice")
     wanted = pairs.select(*keys).distinct().crossJoin(F.broadcast(estimates.select("method").distinct()))

@@ -226,10 +226,15 @@ def forest_tuning(x: Facts) -> DataFrame:
     return models.tune(features.frame(x, groups), groups, {"trees": [10], "leaf": [20, 60]}, profile="forest")
 
 
-def scoring(x: Facts) -> DataFrame:
-    """Reference effects with the estimates that need no model, stored before they are scored."""
+def effects_and_estimates(x: Facts) -> tuple[DataFrame, DataFrame]:
+    """Reference effects, stored, and the estimates that need no model."""
     truth = stored(iv.reference_effects(x).select("card_a", "group_b", "late", "se_late"), "effects")
-    estimates = naive(x).unionByName(naive(x, offered_only=True)).unionByName(metrics.null_baselines(truth))
+    return truth, naive(x).unionByName(naive(x, offered_only=True)).unionByName(metrics.null_baselines(truth))
+
+
+def scoring(x: Facts) -> DataFrame:
+    """Reference effects with their estimates, stored before they are scored."""
+    truth, estimates = effects_and_estimates(x)
     return stored(truth.join(estimates, ["card_a", "group_b"], "left"), "scoring")
 
 
@@ -240,7 +245,8 @@ def null_baselines(x: Facts) -> DataFrame:
 
 @query
 def enrich_pairs(x: Facts) -> DataFrame:
-    return scoring(x)
+    """The same join with its checks: every method has every pair once."""
+    return metrics.enrich(*effects_and_estimates(x))
 
 
 @query

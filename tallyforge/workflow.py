@@ -103,7 +103,7 @@ def build_reference_effects(spark: SparkSession, space: Workspace, code: str, *,
     return spark.read.parquet(path)
 
 
-def build_baseline_estimates(spark: SparkSession, space: Workspace, code: str, methods: list[str], *, idx: int | None = None, name_filter: str | None = None, split: int | None = None) -> DataFrame:
+def build_baseline_estimates(spark: SparkSession, space: Workspace, code: str, methods: list[str], *, idx: int | None = None, name_filter: str | None = None, split: int | None = None, profiles: dict[str, dict] | None = None) -> DataFrame:
     """Estimates of ``methods`` for the pairs of the reference effects, over the upper half of the drafts if ``split`` is given.
 
     ``idx`` takes one card, by its place among the sorted ones whose name holds ``name_filter``; only its part of the table is written.
@@ -125,7 +125,7 @@ def build_baseline_estimates(spark: SparkSession, space: Workspace, code: str, m
     parts = [estimators.naive(x, offered_only=m == "satt_offered") for m in methods if m in ("satt", "satt_offered")]
     parts += [CLOSED[m](frame, groups) for m in methods if m in CLOSED]
     if fitted := [m for m in methods if m in models.ESTIMATORS or m in models.NETS]:
-        parts.append(models.estimate(frame, groups, fitted))
+        parts.append(models.estimate(frame, groups, fitted, profiles))
     out = parts[0].select("method", "card_a", "group_b", "value")
     for more in parts[1:]:
         out = out.unionByName(more.select(*out.columns))

@@ -47,7 +47,11 @@ def test_commands(spark, config):
     assert effects.count() == 16 and effects.columns[0] == "set_code"
     run("build-baseline-estimates", "AAA", str(root / "methods"))
     assert table("estimates.AAA").groupBy("method").count().where("count = 16").count() == 4
-    run("build-baseline-estimates", "AAA", str(root / "methods"), "--idx", "1", "--filter", "Red")
+    value = lambda: {(r["card_a"], r["group_b"]): r["value"] for r in table("estimates.AAA").where("method = 'sipw_logit'").collect()}
+    before = value()
+    (root / "profiles.json").write_text(json.dumps({"logit": {"c": 1e-9}}))
+    run("build-baseline-estimates", "AAA", str(root / "methods"), "--idx", "1", "--filter", "Red", "--profiles", str(root / "profiles.json"))
+    assert 0 < sum(abs(v - before[k]) > 1e-9 for k, v in value().items()) <= 2, "one card has other settings"
     assert table("estimates.AAA").count() == 64, "one card is replaced, not added"
     run("independence-diagnostic", "AAA")
     run("instrument-diagnostic", "AAA")
