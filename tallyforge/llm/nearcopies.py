@@ -63,7 +63,7 @@ ROUND = 8
 #: Leaders that each bucket tries in the first round.
 LEADERS = 3
 #: Entries of one part of a table, all together.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 #: Fingerprints whose balls are written together.
 FLUSH = 4096
 #: Pairs compared at a time.
@@ -255,7 +255,7 @@ def compared(rows: pa.Table, similarity: float) -> pa.RecordBatch:
     Near pairs of different roots are verified on their sets, nearest first, until the roots are joined.
     """
     bucket, pair, own, soft, ident, root = (rows.column(k).to_numpy() for k in range(6))
-    words, packed = words_of(rows.column(6)), rows.column(7).to_pylist()
+    words, packed = words_of(rows.column(6)), rows.column(7).chunk(0)
     end, after = runs(bucket, pair), runs(bucket, pair, root)
     begins = np.unique(np.searchsorted(end, end))
     across = np.repeat(np.maximum.reduceat(own, begins) != np.minimum.reduceat(own, begins), np.diff(np.r_[begins, len(own)]))
@@ -275,7 +275,7 @@ def compared(rows: pa.Table, similarity: float) -> pa.RecordBatch:
         key = (int(ident[i]), int(ident[j]))
         if x == y or key in failed:
             continue
-        one, two = (known.setdefault(k, np.frombuffer(packed[k], dtype="<u8")) for k in (i, j))
+        one, two = (known.setdefault(k, np.frombuffer(packed[k].as_buffer(), dtype="<u8")) for k in (i, j))
         if min(len(one), len(two)) < similarity * max(len(one), len(two)):
             continue
         common = len(np.intersect1d(one, two, assume_unique=True))
