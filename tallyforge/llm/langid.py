@@ -45,7 +45,8 @@ def letters() -> np.ndarray:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a document is held out of training; one without id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
