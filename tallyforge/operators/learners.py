@@ -170,14 +170,17 @@ class Forest:
 
 
 class ThreeHeads:
-    """A shared layer with a treatment head and two outcome heads, several outcomes at once.
+    """Two shared layers, a treatment head and two outcome heads, several outcomes at once.
 
-    Trained by Adam on the squared losses of the observed arms plus the log loss of the
-    treatment; stops early on a validation part kept in the arms' proportions.
+    Trained by Adam with clipped gradients on the squared losses of the observed arms plus the log
+    loss of the treatment. The rate halves when the validation loss (rows kept in the arms'
+    proportions) has not fallen for ``plateau`` epochs; training stops after ``patience`` such
+    epochs, and the best weights stay.
     """
 
-    def __init__(self, hidden: int = 32, epochs: int = 120, rate: float = 3e-3, batch: int = 512, patience: int = 15, seed: int = 42):
-        self.hidden, self.epochs, self.rate, self.batch, self.patience, self.seed = hidden, epochs, rate, batch, patience, seed
+    def __init__(self, trunk: int = 64, head: int = 32, epochs: int = 200, rate: float = 1e-3, least_rate: float = 1e-5, plateau: int = 3, patience: int = 10, batch: int = 512, share: float = 0.1, clip: float = 1.0, seed: int = 42):
+        self.trunk, self.head, self.epochs, self.rate, self.least_rate = trunk, head, epochs, rate, least_rate
+        self.plateau, self.patience, self.batch, self.share, self.clip, self.seed = plateau, patience, batch, share, clip, seed
 
     def fit(self, x: np.ndarray, t: np.ndarray, y: np.ndarray) -> ThreeHeads:
         rng = np.random.default_rng(self.seed)
@@ -186,41 +189,68 @@ class ThreeHeads:
         self.y_mean, y_sd = y.mean(axis=0), y.std(axis=0)
         self.y_sd = np.where(y_sd > 1e-12, y_sd, 1.0)
         z, v = (x - self.mean) / self.sd, (y - self.y_mean) / self.y_sd
-        h, k = self.hidden, y.shape[1]
-        shapes = {"a": (x.shape[1], h), "ab": (h,), "p": (h, 1), "pb": (1,), "m0": (h, k), "m0b": (k,), "m1": (h, k), "m1b": (k,)}
-        self.w = {n: rng.standard_normal(s) / np.sqrt(s[0]) if len(s) == 2 else np.zeros(s) for n, s in shapes.items()}
+        h, g, k = self.trunk, self.head, y.shape[1]
+        shapes = {"a": (x.shape[1], h), "b": (h, h), "p": (h, 1), "g0": (h, g), "m0": (g, k), "g1": (h, g), "m1": (g, k)}
+        self.w = {n: rng.standard_normal(s) * np.sqrt(2 / s[0]) for n, s in shapes.items()} | {f"{n}_": np.zeros(s[1]) for n, s in shapes.items()}
         held = np.zeros(len(t), dtype=bool)
         for arm in (0, 1):
             at = rng.permutation(np.nonzero(t == arm)[0])
-            held[at[: len(at) // 5]] = True
+            held[at[: max(1, round(self.share * len(at)))]] = True
         train, first, second = np.nonzero(~held)[0], {n: 0.0 for n in self.w}, {n: 0.0 for n in self.w}
-        best, kept, waited, step, rate = np.inf, self.w, 0, 0, self.rate
+        kept, waited, step, self.lr = self.w, 0, 0, self.rate
+        self.best_loss, self.best_epoch, self.drops, self.train_first, self.train_best = np.inf, 0, 0, np.nan, np.inf
         for self.epochs_run in range(1, self.epochs + 1):
             order = rng.permutation(train)
             for a in range(0, len(order), self.batch):
                 step += 1
-                for n, g in self._gradients(z[order[a : a + self.batch]], t[order[a : a + self.batch]], v[order[a : a + self.batch]]).items():
-                    first[n] = 0.9 * first[n] + 0.1 * g
-                    second[n] = 0.999 * second[n] + 0.001 * g * g
-                    self.w[n] = self.w[n] - rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
-            loss = self._loss(z[held], t[held], v[held])
-            if loss < best - 1e-5:
-                best, kept, waited = loss, dict(self.w), 0
-            else:
-                waited += 1
-                rate *= 0.5 if waited % 5 == 0 else 1.0
-                if waited >= self.patience:
-                    break
+                some = order[a : a + self.batch]
+                grads = self._gradients(z[some], t[some], v[some])
+                norm = np.sqrt(sum((q * q).sum() for q in grads.values()))
+                for n, q in grads.items():
+                    q = q * min(1.0, self.clip / max(norm, 1e-12))
+                    first[n] = 0.9 * first[n] + 0.1 * q
+                    second[n] = 0.999 * second[n] + 0.001 * q * q
+                    self.w[n] = self.w[n] - self.lr * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
+            fitted, loss = self._loss(z[train], t[train], v[train]), self._loss(z[held], t[held], v[held])
+            self.train_first = fitted if self.epochs_run == 1 else self.train_first
+            if not np.isfinite(loss):
+                break
+            if loss < self.best_loss - 1e-5:
+                self.best_loss, self.best_epoch, self.train_best, kept, waited = loss, self.epochs_run, fitted, dict(self.w), 0
+                continue
+            waited += 1
+            if waited % self.plateau == 0 and self.lr > self.least_rate:
+                self.lr, self.drops = max(self.least_rate, self.lr / 2), self.drops + 1
+            if waited >= self.patience:
+                break
+        self.diverged = not np.isfinite(loss)
         self.w = kept
-        trivial = self._loss_of(np.full(held.sum(), t[~held].mean()), v[held] * 0, v[held] * 0, t[held], v[held])
-        self.best_loss, self.trivial_loss = best, trivial
+        nothing = np.zeros_like(v[held])
+        self.trivial_loss = self._loss_of(np.full(held.sum(), t[~held].mean()), nothing, nothing, t[held], v[held])
         # A net that cannot beat the mean outcome and the mean treatment says nothing.
-        self.useful = bool(best < trivial * 1.02)
+        self.degenerate = not self.best_loss < self.trivial_loss * 1.02
+        self.useful = not (self.degenerate or self.diverged)
         return self
 
-    def _forward(self, z):
-        h = np.maximum(z @ self.w["a"] + self.w["ab"], 0)
-        return h, sigmoid(h @ self.w["p"] + self.w["pb"])[:, 0], h @ self.w["m0"] + self.w["m0b"], h @ self.w["m1"] + self.w["m1b"]
+    def report(self) -> dict[str, float]:
+        """What the fit went through."""
+        return {
+            "epochs_run": self.epochs_run, "best_epoch": self.best_epoch, "hit_cap": float(self.epochs_run == self.epochs), "lr_final": self.lr, "n_lr_drops": self.drops,
+            "train_loss_first": self.train_first, "train_loss_best": self.train_best, "val_loss_best": self.best_loss, "val_loss_trivial": self.trivial_loss,
+            "degenerate": float(self.degenerate), "diverged": float(self.diverged), "useful": float(self.useful),
+        }
+
+    def _layer(self, x: np.ndarray, name: str) -> np.ndarray:
+        return x @ self.w[name] + self.w[f"{name}_"]
+
+    def _forward(self, z: np.ndarray) -> dict[str, np.ndarray]:
+        out = {"z": z, "h1": np.maximum(self._layer(z, "a"), 0)}
+        out["h2"] = np.maximum(self._layer(out["h1"], "b"), 0)
+        out["p"] = sigmoid(self._layer(out["h2"], "p"))[:, 0]
+        for arm in "01":
+            out[f"g{arm}"] = np.maximum(self._layer(out["h2"], f"g{arm}"), 0)
+            out[f"m{arm}"] = self._layer(out[f"g{arm}"], f"m{arm}")
+        return out
 
     @staticmethod
     def _loss_of(p, m0, m1, t, v) -> float:
@@ -229,19 +259,28 @@ class ThreeHeads:
         return float(((own - v) ** 2).mean() - (t * np.log(p) + (1 - t) * np.log(1 - p)).mean())
 
     def _loss(self, z, t, v) -> float:
-        _, p, m0, m1 = self._forward(z)
-        return self._loss_of(p, m0, m1, t, v)
+        out = self._forward(z)
+        return self._loss_of(out["p"], out["m0"], out["m1"], t, v)
 
     def _gradients(self, z, t, v) -> dict[str, np.ndarray]:
-        h, p, m0, m1 = self._forward(z)
+        out, grads = self._forward(z), {}
         n, k = len(t), v.shape[1]
-        dp = (p - t)[:, None] / n
-        d0 = 2 * (m0 - v) * (t == 0)[:, None] / (n * k)
-        d1 = 2 * (m1 - v) * (t == 1)[:, None] / (n * k)
-        dh = (dp @ self.w["p"].T + d0 @ self.w["m0"].T + d1 @ self.w["m1"].T) * (h > 0)
-        return {"a": z.T @ dh, "ab": dh.sum(0), "p": h.T @ dp, "pb": dp.sum(0), "m0": h.T @ d0, "m0b": d0.sum(0), "m1": h.T @ d1, "m1b": d1.sum(0)}
+
+        def back(name: str, below: np.ndarray, above: np.ndarray) -> np.ndarray:
+            """Gradients of a layer from those of its output; returns those of its input."""
+            grads[name], grads[f"{name}_"] = below.T @ above, above.sum(axis=0)
+            return above @ self.w[name].T
+
+        shared = back("p", out["h2"], (out["p"] - t)[:, None] / n)
+        for arm in "01":
+            error = 2 * (out[f"m{arm}"] - v) * (t == int(arm))[:, None] / (n * k)
+            inner = back(f"m{arm}", out[f"g{arm}"], error) * (out[f"g{arm}"] > 0)
+            shared = shared + back(f"g{arm}", out["h2"], inner)
+        below = back("b", out["h1"], shared * (out["h2"] > 0))
+        back("a", z, below * (out["h1"] > 0))
+        return grads
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Propensity and both arms' outcomes."""
-        _, p, m0, m1 = self._forward((x - self.mean) / self.sd)
-        return p, m0 * self.y_sd + self.y_mean, m1 * self.y_sd + self.y_mean
+        out = self._forward((x - self.mean) / self.sd)
+        return out["p"], out["m0"] * self.y_sd + self.y_mean, out["m1"] * self.y_sd + self.y_mean

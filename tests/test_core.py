@@ -269,7 +269,7 @@ def test_grids_and_views():
 def test_model_reports(spark):
     frame = synthetic(spark, 900)
     report = {r["figure"]: r["value"] for r in models.net_report(frame, ["g"]).collect()}
-    assert report["n_rows"] == 900 and report["fitted"] == 1 and report["epochs"] >= 1
+    assert report["n_rows"] == 900 and report["fitted"] == 1 and report["epochs_run"] >= report["best_epoch"] >= 1 and len(report) == 17
     diag = {r["figure"]: r["value"] for r in models.forest_diagnostics(frame, "g").collect()}
     assert diag["tau_att"] == pytest.approx(2, abs=0.6) and diag["r_loss"] > 0
     assert models.tune(frame, [], {"trees": [5, 10]}).count() == 2
@@ -352,3 +352,15 @@ def test_sweep_within_sets(spark):
     both = rows.withColumn("set_code", F.lit("A")).unionByName(rows.withColumn("set_code", F.lit("B")))
     out = resample.rsc_sensitivity(both, (0.2,), fixed=0.1, n_boot=50, by="set_code").first()
     assert out["remaining"] == resample.rsc_sensitivity(rows, (0.2,), fixed=0.1, n_boot=50).first()["remaining"]
+
+
+def test_net_recovers_an_effect():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((4000, 8))
+    t = (rng.random(4000) < 1 / (1 + np.exp(1 - x[:, 0]))).astype(float)
+    y = 2 * t + x @ rng.standard_normal(8) + 0.5 * rng.standard_normal(4000)
+    net = learners.ThreeHeads().fit(x, t, np.column_stack([y, -y]))
+    _, m0, m1 = net.predict(x[t == 1])
+    assert (y[t == 1] - m0[:, 0]).mean() == pytest.approx(2, abs=0.2) and (m1 - m0).mean(axis=0).tolist() == pytest.approx([2, -2], abs=0.2)
+    told = net.report()
+    assert told["useful"] and told["best_epoch"] <= told["epochs_run"] <= 200 and told["lr_final"] == pytest.approx(1e-3 / 2 ** told["n_lr_drops"])
