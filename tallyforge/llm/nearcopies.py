@@ -52,7 +52,7 @@ FAMILY = 256
 #: Complete distance up to which a pair with a leader is verified in a large family.
 SURE = 152
 #: Classes of a family that is compared whole, at most.
-LARGEST = 8192
+LARGEST = 4096
 #: Distance in 64 other bits up to which a pair of a bucket is looked at further; 10 are expected at similarity 0.8.
 GLANCE = 20
 #: The same for pairs with a leader, at the distance of a family.
