@@ -31,7 +31,7 @@ from .common import Scratch, read, unit
 from .components import connected_components
 
 COSINE = 0.95
-TREES = 6
+TREES = 4
 SAMPLE = 32_768
 LEAF = 768
 #: Sampled vectors in a leaf at least.
