@@ -67,17 +67,6 @@ def counts_by_group(picks: DataFrame, cards: DataFrame, valid: DataFrame, pack:
     return window.join(valid, "draft_id", "left_semi").groupBy("draft_id", "group_b").agg(F.count("*").alias("y"))
 
 
-def first_offers(facts: Facts, valid: DataFrame, *, exactly_one: bool) -> DataFrame:
-    """draft_id, card, d: cards in the assignment offer and whether each was taken.
-
-    ``exactly_one``: only cards of which the pack held a single copy count as offered.
-    """
-    shown = (F.col("n_first") == 1) if exactly_one else (F.col("n_first") > 0)
-    offers = facts.offers.where((F.col("pack") == ASSIGNMENT) & shown).select("draft_id", "card")
-    offers = offers.join(valid, "draft_id", "left_semi").join(takers(facts.picks), "draft_id")
-    return offers.select("draft_id", "card", (F.col("taken") == F.col("card")).cast("int").alias("d"))
-
-
 def held_of(facts: Facts) -> DataFrame:
     """``holders`` of the facts, stored."""
     return facts.once("held", lambda: holders(facts.picks, valid_of(facts)))

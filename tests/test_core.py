@@ -2,6 +2,7 @@
 
 import json
 import math
+import zlib
 
 import duckdb
 import numpy as np
@@ -15,7 +16,7 @@ from tallyforge.functions import stats
 from tallyforge.operators import exclusion, facts, fdr, features, iv, learners, metrics, models, resample
 from tallyforge.operators.estimators import match_cov, nearest, per_card, ridge_imputation, scaled
 from tallyforge.plans import oracle, queries
-from tallyforge.report import cell, scores_table
+from tallyforge.report import cell, scores_table, sensitivity_table, spearman_table
 from tallyforge.sources import drafts
 from tallyforge.sources.tables import Facts, order_facts, pack_offers
 from tallyforge.streaming.merge import merge_batches, merged
@@ -364,3 +365,35 @@ def test_net_recovers_an_effect():
     assert (y[t == 1] - m0[:, 0]).mean() == pytest.approx(2, abs=0.2) and (m1 - m0).mean(axis=0).tolist() == pytest.approx([2, -2], abs=0.2)
     told = net.report()
     assert told["useful"] and told["best_epoch"] <= told["epochs_run"] <= 200 and told["lr_final"] == pytest.approx(1e-3 / 2 ** told["n_lr_drops"])
+
+
+def test_stored_results(spark, tmp_path):
+    from tallyforge.sources import sinks
+
+    built = []
+    build = lambda: built.append(1) or spark.range(3)
+    assert [drafts.build_or_read(spark, f"{tmp_path}/t", build).count() for _ in range(2)] == [3, 3] and len(built) == 1
+    rows = spark.createDataFrame([("m", "Card, A", "g", 1.5), ("m", "B", "g", None), ("n", "B", "g", 2.0)], "method string, card_a string, group_b string, value double")
+    drafts.write_estimates(rows, f"{tmp_path}/e")
+    assert drafts.read_estimates(spark, f"{tmp_path}/e").count() == 3
+    rows.where("method = 'n'").write.mode("append").partitionBy("method", "card_a").parquet(f"{tmp_path}/e")
+    with pytest.raises(ValueError):
+        drafts.read_estimates(spark, f"{tmp_path}/e")
+    sinks.write_csv(rows, f"{tmp_path}/c")
+    assert spark.read.csv(f"{tmp_path}/c", header=True).where("card_a = 'Card, A'").first()["value"] == "1.5"
+    assert drafts.shard_name("satt", "ABC", "Card, A") == f"satt.ABC.{zlib.crc32(b'Card, A'):08x}.csv"
+
+
+def test_tables_of_ranks_and_sweeps(spark):
+    rho = spark.createDataFrame([("rmse", "a", "b", 0.5), ("mae", "a", "b", None)], "metric string, variant_a string, variant_b string, rho double")
+    text = spearman_table(rho)
+    assert "rmse & a & b & 0.50" in text and "mae & a & b & --" in text
+    sweep = spark.createDataFrame([(0.4, 0.25, 1.0, None, 0.5, 0.1), (0.2, 0.5, 1.0, 1.0, 1.0, 1.0)], "value double, remaining double, rmse double, mae double, ccc double, accuracy95 double")
+    lines = sensitivity_table(sweep).splitlines()
+    assert lines[4].startswith("0.2 & 50.00") and lines[5].startswith("0.4 & 25.00 & 1.00 & --")
+
+
+def test_tails(spark):
+    zs = spark.createDataFrame([(0.0,), (1.0,), (2.5,), (6.0,)], "z double")
+    for z, exact, near in zs.select("z", stats.exact_upper_tail(F.col("z")), stats.upper_tail(F.col("z"))).collect():
+        assert exact == pytest.approx(0.5 * math.erfc(z / math.sqrt(2))) and near == pytest.approx(exact, abs=2e-7)
