@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,32 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 #: Bytes of text that one numpy block holds at most (a single longer text is its own block).
 BLOCK_BYTES = 4 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
-
-    Only a local master may go without it (tests); it then gets a folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="tallyforge-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    atexit.register(_forget, own)
-    return f"file://{own}"
-
-
-def _forget(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
 #: Removes the shuffle files of a query when it ends; nothing reads them again after a table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,7 +28,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
