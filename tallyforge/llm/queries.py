@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codes import op11_vector_codes
 from .decontam import op7_decontamination
 from .embeddings import op10_embeddings
 from .langid import op2_language_id
 from .mixing import op9_mixing
 from .pii import op4_pii
+from .quality import op13_quality
+from .search import op12_search
 from .secrets import op1_secrets
 from .sharding import op5_sharding
 from .simhash import op3_simhash
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_search": op12_search,
+    "op13_quality": op13_quality,
 }
 
 #: Windows of 13 words (or a whole shorter item) found by joining every window with every other.
@@ -61,4 +67,37 @@ p AS (SELECT d.*, r.source_size, r.target, r.epochs, r.rest, sum(size) OVER (PAR
 SELECT doc_id, size, source_size, round(target, 6) AS target, (size * epochs + greatest(0, least(size, rest - prefix)))::BIGINT AS taken FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": DECONTAMINATION, "op9_mixing": MIXING}
+#: Every document's score for every item, in doubles only where the logarithm is taken.
+SEARCH = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM benchmark),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+p AS MATERIALIZED (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term) CROSS JOIN g),
+m AS (SELECT r, doc_id, 50 + (50 * len(t) * n_docs) // n_terms AS m FROM d CROSS JOIN g WHERE len(t) > 0),
+s AS (SELECT q, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM (SELECT q, unnest(t) AS term FROM b) JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY q, r),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN b USING (q) WHERE rank <= 50
+"""
+
+
+def _codes(rounds: int = 6) -> str:
+    """The rounds of the codebooks, one after the other, all distances computed."""
+    usable = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    distance = "list_sum(list_transform(list_zip(p.z, b.z), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS z FROM embeddings WHERE {usable})",
+        "p AS MATERIALIZED (SELECT r, k, z[k * (len(z) // 8) + 1 : (k + 1) * (len(z) // 8)] AS z FROM v CROSS JOIN range(8) t(k))",
+        "b0 AS MATERIALIZED (SELECT k, e - 1 AS e, z FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, z) AS e FROM v WHERE vec_id IS NOT NULL) USING (r) WHERE e <= 16)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, k, min_by(e, (d, e)) AS e, min(d) AS d FROM (SELECT p.r, p.k, b.e, {distance} AS d FROM p JOIN b{i} b ON p.k = b.k) GROUP BY r, k)")
+        if i < rounds:
+            sums = f"SELECT k, e, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p.k, a.e, unnest(p.z) AS x, unnest(range(len(p.z))) AS j FROM p JOIN a{i} a ON p.r = a.r AND p.k = a.k) GROUP BY ALL"
+            parts.append(f"b{i + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(c.z, b.z) AS z FROM b{i} b LEFT JOIN (SELECT k, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS z FROM ({sums}) GROUP BY k, e) c ON b.k = c.k AND b.e = c.e)")
+    parts.append(f"c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    parts.append(f"h AS (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(parts)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (r) CROSS JOIN h"
+
+
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": DECONTAMINATION, "op9_mixing": MIXING, "op11_vector_codes": _codes(), "op12_search": SEARCH}
