@@ -6,7 +6,8 @@ two halves' posting lists cost. It is fitted on at most ``SAMPLE`` documents, wh
 are hashed to ``BUCKETS``; what it learns, the price of each term on either side of each cut, sends every
 document of the table down the tree. The index has a row a document (shard, doc_id, n, terms, tfs),
 ordered by shard in every file, a shard being what one task found for one cluster, and for each
-shard and term the number of documents and the largest share of the term's weight that a document gets.
+shard its terms with the number of documents and the largest share of the term's weight that one gets.
+Terms are kept in one string a row and numbers in one binary value, which Spark passes on as they are.
 
 A query's bound for a shard is the sum of its terms' weights times these shares: no document in the
 shard scores more. Shards are visited in three rounds, by falling bound: the first 1/16, up to 1/4, the
@@ -39,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, no_bigger, read, texts_of
@@ -160,10 +161,10 @@ def sampled(docs: DataFrame) -> list[np.ndarray]:
 
 @dataclass
 class Index:
-    """``rows``: shard, doc_id, n, terms, tfs, a row a document with terms. ``bounds``: shard, term, df, share, rows that add up.
+    """``rows``: shard, doc_id, n, terms, tfs, a row a document with terms. ``bounds``: shard, terms, dfs, shares.
 
-    A shard that comes in several batches has a row of each; its shares then add up to more than the
-    largest, which is a bound as well.
+    A shard that comes in several batches has several rows of bounds; its shares then add up to more than
+    the largest, which is a bound as well.
     """
 
     rows: DataFrame
@@ -182,6 +183,22 @@ def share(tf, m):
     return (1_000_000_000 * tf) // (1_000 * tf + 20 * m)
 
 
+def listed(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of a column of joined terms, and how many there are in each row."""
+    lists = pc.split_pattern(column, " ")
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """32-bit numbers as one binary value a row."""
+    ends = np.cumsum(sizes)
+    return pa.array([values[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)], pa.binary())
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32)
+
+
 def build_index(docs: DataFrame) -> Index:
     """The index of the documents, as two stored tables."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
@@ -202,40 +219,37 @@ def build_index(docs: DataFrame) -> Index:
                 tfs = np.fromiter((v for c in counts for v in c.values()), dtype=np.int32, count=len(terms))
                 if len(known) > 500_000:
                     known.clear()
-                flat = np.empty(len(terms), dtype=np.int64)
-                for i, t in enumerate(terms):
-                    b = known.get(t)
-                    if b is None:
-                        b = bucket(t)
-                        if len(t) <= 40:
-                            known[t] = b
-                    flat[i] = b
+                for t in set(terms).difference(known):
+                    known[t] = bucket(t)
+                flat = np.fromiter(map(known.__getitem__, terms), dtype=np.int64, count=len(terms))
                 leaf = cuts.value.leaves(flat, np.repeat(np.arange(len(rows)), sizes), len(rows)) if rows else np.empty(0, dtype=np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(task * 2**DEPTH + leaf, pa.int64()), batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([c.total() for c in counts], pa.int64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(tfs)),
+                        pa.array([b" ".join(c) for c in counts], pa.binary()).cast(pa.string()), packed(tfs, sizes),
                     ],
                     ["shard", "doc_id", "n", "terms", "tfs"],
                 )
 
-    routed = docs.select("doc_id", "text").mapInArrow(run, f"shard long, doc_id {kind}, n long, terms array<string>, tfs array<int>")
+    routed = docs.select("doc_id", "text").mapInArrow(run, f"shard long, doc_id {kind}, n long, terms string, tfs binary")
     rows = scratch.keep(routed.sortWithinPartitions("shard"))
     total = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     n_docs, n_terms = total["docs"], total["terms"]
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, sizes = batch.column("terms"), pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+            terms, sizes = listed(batch.column("terms"))
             m = length_factor(batch.column("n").to_numpy(zero_copy_only=False), n_docs, n_terms)
-            part = share(batch.column("tfs").flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(m, sizes))
-            owner = np.repeat(batch.column("shard").to_numpy(zero_copy_only=False), sizes)
-            found = pa.table({"shard": owner, "term": terms.flatten(), "share": part}).group_by(["shard", "term"]).aggregate([("share", "max"), ("share", "count")])
-            found = found.select(["shard", "term", "share_count", "share_max"]).rename_columns(["shard", "term", "df", "share"])
-            yield from found.combine_chunks().to_batches()
-
-    bounds = rows.select("shard", "n", "terms", "tfs").mapInArrow(bound, "shard long, term string, df long, share long")
+            part = share(unpacked(batch.column("tfs")).astype(np.int64), np.repeat(m, sizes))
+            shards = batch.column("shard").to_numpy(zero_copy_only=False)
+            found = pa.table({"shard": np.repeat(shards, sizes), "term": terms, "share": part}).group_by(["shard", "term"], use_threads=False).aggregate([("share", "max"), ("share", "count")]).sort_by("shard")
+            own, sizes = np.unique(found["shard"].to_numpy(), return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), found["term"].combine_chunks())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pc.binary_join(lists, " "), packed(found["share_count"].to_numpy().astype(np.int32), sizes), packed(found["share_max"].to_numpy().astype(np.int32), sizes)], ["shard", "terms", "dfs", "shares"]
+            )
+
+    bounds = rows.select("shard", "n", "terms", "tfs").mapInArrow(bound, "shard long, terms string, dfs binary, shares binary")
     return Index(rows, scratch.keep(bounds), n_docs, n_terms)
 
 
@@ -271,13 +285,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def best_of(batch: pa.RecordBatch, vocabulary: pa.Array, weights: np.ndarray, lists: list[np.ndarray], floor: np.ndarray, index: tuple[int, int], k: int) -> tuple[list[np.ndarray], ...]:
     """For the queries that visit each row: (query, row, score) of the ``k`` best in this batch."""
     rank = pc.rank(batch.column("doc_id"), null_placement="at_end", tiebreaker="first").to_numpy(zero_copy_only=False)
-    terms, tfs = batch.column("terms"), batch.column("tfs")
-    sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+    terms, sizes = listed(batch.column("terms"))
     owner = np.repeat(np.arange(batch.num_rows), sizes)
-    term = pc.fill_null(pc.index_in(terms.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    term = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
     hit = np.flatnonzero(term >= 0)
     hit = hit[np.argsort(term[hit], kind="stable")]
-    term, owner, tf = term[hit], owner[hit], tfs.flatten().to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+    term, owner, tf = term[hit], owner[hit], unpacked(batch.column("tfs"))[hit].astype(np.int64)
     m = length_factor(batch.column("n").to_numpy(zero_copy_only=False), *index)
     # Weights are below 2 ** 16 and shares below 2 ** 20, so sums of millions of terms are exact in float64.
     impact = (weights[term] * share(tf, m[owner])).astype(np.float64)
@@ -326,6 +339,52 @@ def weight_of(df: int, n_docs: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
+def frequencies(index: Index, words: list[str]) -> dict[str, int]:
+    """In how many documents each of the given terms is; the words of a block are bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, total = pa.array(words, pa.string()), np.zeros(len(words), dtype=np.int64)
+        for batch in batches:
+            place = pc.fill_null(pc.index_in(listed(batch.column("terms"))[0], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            hit = place >= 0
+            np.add.at(total, place[hit], unpacked(batch.column("dfs"))[hit])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["at", "df"])
+
+    found = index.bounds.select("terms", "dfs").mapInArrow(run, "at long, df long").groupBy("at").agg(F.sum("df").alias("df"))
+    return {words[r["at"]]: r["df"] for r in found.collect()}
+
+
+def bounds_of(index: Index, block: list[tuple[int, list[str]]], weight: dict[str, int]) -> DataFrame:
+    """_at, shard, bound: what a document of a shard scores at most for a query of the block, where that is not 0."""
+    words = sorted(weight)
+    place = {t: i for i, t in enumerate(words)}
+    pairs = np.array([(place[t], i) for i, (_, terms) in enumerate(block) for t in terms if t in place], dtype=np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    weights = np.array([weight[t] for t in words], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, first = pa.array(words, pa.string()), np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                terms, sizes = listed(some.column("terms"))
+                term = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(term >= 0)
+                owner, term = np.repeat(np.arange(some.num_rows), sizes)[hit], term[hit]
+                worth = weights[term] * unpacked(some.column("shares"))[hit]
+                # Each term of a shard meets the queries that have it.
+                n = first[term + 1] - first[term]
+                query = pairs[np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(n.sum()), 1]
+                total = np.bincount(np.repeat(owner, n) * len(block) + query, weights=np.repeat(worth, n), minlength=some.num_rows * len(block))
+                cell = np.flatnonzero(total)
+                shards = some.column("shard").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(cell % len(block), pa.int32()), pa.array(shards[cell // len(block)]), pa.array(total[cell].astype(np.int64))], ["_at", "shard", "bound"])
+
+    found = index.bounds.select("shard", "terms", "shares").mapInArrow(run, "_at int, shard long, bound long")
+    return found.groupBy("_at", "shard").agg(F.sum("bound").alias("bound"))
+
+
 def first_k(rows: DataFrame, k: int) -> DataFrame:
     """The first ``k`` rows of each query with their ranks: by score, then doc_id, none last."""
     order = Window.partitionBy("_at").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
@@ -336,13 +395,8 @@ def search_block(index: Index, block: list[tuple[int, list[str]]], k: int) -> Da
     """_at, rank, doc_id, score for the queries of a block, stored."""
     spark = index.rows.sparkSession
     scratch = Scratch(spark, "visits")
-    wanted = spark.createDataFrame([(i, t) for i, (_, terms) in enumerate(block) for t in terms], "_at int, term string")
-    # Terms of a block are bounded, so their frequencies come to the driver and their rows of the index are broadcast.
-    met = index.bounds.join(F.broadcast(wanted.select("term").distinct()), "term")
-    df = {r["term"]: r["df"] for r in met.groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    weight = {t: weight_of(n, index.n_docs) for t, n in df.items()}
-    priced = spark.createDataFrame([(i, t, weight[t]) for i, (_, terms) in enumerate(block) for t in terms if t in weight], "_at int, term string, weight long")
-    bound = index.bounds.join(F.broadcast(priced), "term").groupBy("_at", "shard").agg(F.sum(F.col("weight") * F.col("share")).alias("bound")).where("bound > 0")
+    weight = {t: weight_of(n, index.n_docs) for t, n in frequencies(index, sorted({t for _, terms in block for t in terms})).items()}
+    bound = bounds_of(index, block, weight)
     by = Window.partitionBy("_at")
     place = F.row_number().over(by.orderBy(F.desc("bound"), "shard")) - 1
     bound = scratch.keep(bound.select("_at", "shard", "bound", (place / F.count("*").over(by)).alias("part")))
