@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -106,3 +107,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+class Taken:
+    """The stretches that some (start, end) spans take, to ask of others whether they overlap any."""
+
+    def __init__(self, spans: Iterator[tuple[int, int]] | list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        """Whether a span shares a place with any; spans are not empty."""
+        i = bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a

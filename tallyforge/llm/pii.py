@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, texts_of
+from .common import Taken, documents, map_arrow, texts_of
 from .secrets import count_of, listed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -80,6 +80,10 @@ WORD = re.compile(r"\S+")
 TRAINING_STEPS = 300
 RATE = 0.5
 PENALTY = 0.02
+SCALE = 1 << 20
+#: Words of islands that are decoded in lockstep, padding included, and of an island that is decoded in segments.
+LANES = 1 << 20
+LONG_ISLAND = 4_096
 MAX_WORDS = 300_000
 #: Characters of a word that is remembered, at most.
 LONG_WORD = 256
@@ -148,6 +152,8 @@ class Field:
                 np.add.at(grad_m, (gold[:-1], gold[1:]), 1)
             self.weights += RATE / len(chains) * grad_w
             self.moves += RATE / len(chains) * grad_m
+        # Whole numbers add up to the same in any order, so all ways of decoding agree.
+        self.weights, self.moves = (np.rint(SCALE * x).astype(np.int64) for x in (self.weights, self.moves))
         self.known: dict[tuple[str, str, str], np.ndarray] = {}
         self.shapes: dict[str, str] = {}
 
@@ -192,9 +198,16 @@ class Field:
         """The best labels of each island, outside labels before and after it."""
         order = sorted(range(len(islands)), key=lambda i: -len(islands[i]))
         out: list[list[int]] = [[] for _ in islands]
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            longest = len(islands[some[0]])
+        at = 0
+        while at < len(order):
+            longest = len(islands[order[at]])
+            if longest > LONG_ISLAND:
+                out[order[at]] = self.decode_long(np.array(islands[order[at]]))
+                at += 1
+                continue
+            # Islands come by length, so few lanes are padded by much.
+            some = order[at : at + max(1, LANES // longest)]
+            at += len(some)
             lengths = np.array([len(islands[i]) for i in some])
             best = self.moves[0] + np.array([islands[i][0] for i in some])
             back = np.zeros((longest, len(some), len(LABELS)), dtype=np.int8)
@@ -211,6 +224,53 @@ class Field:
                 out[i] = path[::-1]
         return out
 
+    def decode_long(self, unary: np.ndarray) -> list[int]:
+        """The same for one long island (a row of ``unary`` a word), in segments of about the root of its length.
+
+        All segments go in lockstep: first for every label before them, which gives the best scores at
+        their ends one after the other, then from these scores with the ways back, which are followed
+        from every label at the end, joined, and followed once more.
+        """
+        n, k = unary.shape
+        size = int(np.sqrt(n))
+        # The rest, under a segment, comes first; before the island only the outside label is possible.
+        head = n % size
+        best = np.full(k, -(1 << 50), dtype=unary.dtype)
+        best[0] = 0
+        first = np.zeros((head, k), dtype=np.int8)
+        for t in range(head):
+            step = best[:, None] + self.moves
+            first[t], best = step.argmax(axis=0), step.max(axis=0) + unary[t]
+        segments = unary[head:].reshape(-1, size, k)
+        through = self.moves[None] + segments[:, 0, None, :]
+        for t in range(1, size):
+            through = (through[:, :, :, None] + self.moves).max(axis=2) + segments[:, t, None, :]
+        entry = np.empty((len(segments), k), dtype=unary.dtype)
+        for s, m in enumerate(through):
+            entry[s] = best
+            best = (best[:, None] + m).max(axis=0)
+        back = np.empty((size, len(segments), k), dtype=np.int8)
+        for t in range(size):
+            step = entry[:, :, None] + self.moves
+            back[t], entry = step.argmax(axis=1), step.max(axis=1) + segments[:, t]
+        came = np.tile(np.arange(k, dtype=np.int8), (len(segments), 1))
+        for t in range(size - 1, -1, -1):
+            came = np.take_along_axis(back[t], came, axis=1)
+        ends = np.empty(len(segments), dtype=np.int64)
+        label = int((best + self.moves[:, 0]).argmax())
+        for s in range(len(segments) - 1, -1, -1):
+            ends[s] = label
+            label = int(came[s, label])
+        path, rows, at = np.empty((len(segments), size), dtype=np.int8), np.arange(len(segments)), ends
+        for t in range(size - 1, -1, -1):
+            path[:, t] = at
+            at = back[t, rows, at]
+        out = []
+        for t in range(head - 1, -1, -1):
+            out.append(label)
+            label = int(first[t, label])
+        return out[::-1] + path.ravel().tolist()
+
 
 def marginals(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the labels, and expected numbers of moves, by forward and backward sums."""
@@ -319,7 +379,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
         base, every = [], []
         for text, more in zip(texts, field_spans(texts, model.value), strict=True):
             first = base_spans(text)
-            more = [s for s in more if not any(a < s[2] and s[1] < b for _, a, b in first)]
+            taken = Taken((a, b) for _, a, b in first)
+            more = [s for s in more if not taken.overlaps(*s[1:])]
             base.append(as_rows(first))
             every.append(as_rows(sorted(first + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(every, pa.list_(span))], ["doc_id", "base", "all"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, texts_of
+from .common import Taken, documents, map_arrow, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -41,7 +41,8 @@ DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 #: Numbers, and words (a capital at most in front, or capitals only) with short numbers, joined.
-NAMED = re.compile(r"[0-9+/_=-]+|(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[0-9]{1,4}(?![0-9]))?)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[0-9]{1,4}(?![0-9]))?)*[+/_=-]*")
+#: A run splits into its words in one way only, and nothing that matched is given back, so time is linear.
+NAMED = re.compile(r"[0-9+/_=-]+|[+/_=-]*+(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+(?:[+/_=-]++(?:(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+|[0-9]{1,12}+))*+[+/_=-]*+")
 
 
 @cache
@@ -74,9 +75,9 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def random_spans(text: str, known: list[tuple[int, str, int]], vocabulary: str = VOCABULARY, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, str, int]]:
     """Runs that fail the token-efficiency test and do not overlap a known span."""
-    out = []
+    out, taken = [], Taken((a, b) for a, _, b in known)
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in known) and is_random(m[0], vocabulary, most):
+        if not taken.overlaps(*m.span()) and is_random(m[0], vocabulary, most):
             out.append((m.start(), "random", m.end()))
     return out
 

@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyforge.llm import pii, secrets, tokens
+from tallyforge.llm import common, pii, secrets, tokens
 from tallyforge.llm.langid import held_out, identified, identify
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
@@ -211,3 +212,86 @@ def test_states_can_be_forgotten_within_a_word(library, monkeypatch):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdefghij") for _ in range(3000)), "xyz" * 500]
     assert made.counts(texts) == [len(library.encode(t).ids) for t in texts]
+
+
+NAME_PARTS = ["_", "-", "/", "=", "+", "1234", "2024-01-05-", "12", "7", "release", "Name", "ABC", "xQ", "a", "aB3", "123456789012", "1234567890123", "__"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(NAME_PARTS), max_size=9))
+def test_names_are_what_they_were(parts):
+    """The linear pattern against the plain form of its language."""
+    run = "".join(parts)
+    word, sep = r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[0-9]{1,4})?", r"[+/_=-]"
+    plain = re.fullmatch(rf"[0-9+/_=-]+|{sep}*{word}(?:{sep}+(?:{word}|[0-9]{{1,12}}))*{sep}*", run)
+    assert bool(secrets.NAMED.fullmatch(run)) == bool(plain)
+
+
+def test_long_texts_of_mixed_parts_stay_in_time_and_memory():
+    """Texts of a megabyte, of words, numbers, dates and secrets in any mix, beside thousands of short ones."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    makers = [
+        lambda: "_1234" * 4_000 + "_xQ ", lambda: "release-" + "2024-01-05-" * 4_000 + "xQ ", lambda: " ".join(map(str, rng.integers(0, 10**6, 6_000))) + " ", lambda: "token=abcdefgh1 Zk9qXv3LrT8wQy2NbHs7Jd4F " * 1_000,
+        lambda: "".join(rng.choice(list("aB3_-/=9."), 40_000)) + " ", lambda: "a.b@c.de 10.0.0.1 4111 1111 1111 1111 +1 555 010 4477 (212) 555-0147 " * 600,
+    ]
+    for _ in range(4):
+        text = ""
+        while len(text) < 1_000_000:
+            text += makers[rng.integers(len(makers))]()
+        tracemalloc.start()
+        begun = time.perf_counter()
+        base = secrets.base_spans(text)
+        added = secrets.random_spans(text, base)
+        assert all(not (a < y and x < b) for x, _, y in added[:50] for a, _, b in base)
+        pii.field_spans([text, *["see 12 of 34 now"] * 5_000], pii.field())
+        took, peak = time.perf_counter() - begun, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert took < 60 and peak < 500e6, (took, peak)
+
+
+def test_a_long_run_of_numbers_beside_short_texts():
+    import tracemalloc
+
+    text = " ".join(map(str, range(300_000)))
+    pii.field()
+    tracemalloc.start()
+    found = pii.field_spans([text, *["call (212) 555-0147 or 12 34"] * 5_000], pii.field())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and len(found) == 5_001 and len({tuple(f) for f in found[1:]}) == 1
+
+
+def test_segments_decode_like_single_steps():
+    """Whole-number scores with many ties, of every length around the segments' size."""
+    model, rng = pii.field(), np.random.default_rng(6)
+    for n in (1, 2, 3, 4, 8, 9, 15, 16, 17, 63, 64, 65, 1000):
+        unary = rng.integers(-2, 3, (n, len(pii.LABELS))) * (1 << 19)
+        assert model.decode_long(unary) == model.decode([list(unary)])[0]
+
+
+def test_overlaps_of_sorted_stretches():
+    rng = np.random.default_rng(8)
+    spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 300, 40), rng.integers(1, 12, 40), strict=True)]
+    taken = common.Taken(spans)
+    for a in range(310):
+        for n in (1, 5):
+            assert taken.overlaps(a, a + n) == any(x < a + n and a < y for x, y in spans)
+
+
+def test_long_texts_are_hashed_once_in_decontamination(spark):
+    """Time is linear in a text: nothing above the rows of its fingerprints reads it."""
+    import time
+
+    from tallyforge.llm.decontam import contamination
+
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string")
+    took = []
+    for n in (1_000, 100_000, 400_000):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
+        begun = time.perf_counter()
+        assert contamination(docs, bench).first()["n_words"] == n
+        took.append(time.perf_counter() - begun)
+    assert took[2] < 6 * took[1] + 5, took
