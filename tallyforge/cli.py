@@ -23,7 +23,7 @@ def read_methods(path: str) -> list[str]:
 
 
 def estimators() -> list[str]:
-    return ["satt", "satt_offered", *workflow.CLOSED, *models.ESTIMATORS, *models.NETS]
+    return list(dict.fromkeys(["satt", "satt_offered", *workflow.CLOSED, *workflow.OVER_CELLS, *models.REGISTRY]))
 
 
 def parser() -> argparse.ArgumentParser:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..sources.tables import Facts
+from .cells import from_frame
 from .facts import OUTCOME, arm_table
-from .features import CORE, covariates
+from .features import covariates
+from .neighbours import match_covariates
 
 
 def naive(facts: Facts, *, offered_only: bool = False) -> DataFrame:
@@ -95,21 +97,8 @@ def per_card(frame: DataFrame, columns: list[str], run: Callable[[pd.DataFrame],
 
 
 def match_cov(frame: DataFrame, groups: list[str], k: int = 3) -> DataFrame:
-    """Each treated draft against its k nearest controls in the scaled core covariates."""
-
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        t = pdf["T"].to_numpy() == 1
-        if not t.any() or t.all():
-            return [("match_cov_k3", g, None) for g in groups]
-        x = scaled(pdf[list(CORE)].fillna(0.0).to_numpy(dtype=float))
-        at = nearest(x[t], x[~t], min(k, int((~t).sum())))
-        out = []
-        for g in groups:
-            y = pdf[f"Y_{g}"].to_numpy(dtype=float)
-            out.append(("match_cov_k3", g, float((y[t] - y[~t][at].mean(axis=1)).mean())))
-        return out
-
-    return per_card(frame, [*CORE, *(f"Y_{g}" for g in groups)], run)
+    """Each treated draft of a frame against its k nearest controls in the scaled core covariates."""
+    return match_covariates(from_frame(frame, groups), k)
 
 
 def ridge_imputation(frame: DataFrame, groups: list[str], alpha: float = 1e-8) -> DataFrame:

@@ -186,6 +186,49 @@ o AS (SELECT s.*, 1 - n_matched / nullif(n_z1t0, 0)::DOUBLE AS drop_ratio, n_z0_
 
 _YS = ", ".join(f'coalesce(max(y) FILTER (group_b = \'{g}\'), 0) AS "Y_{g}"' for g in "BGRUW")
 
+def _newton(steps: int = 12) -> str:
+    """Logistic fits of all cards on their offered rows, as Newton steps with a Gaussian elimination each.
+
+    A step sums gradients and Hessians over ``ofr`` by card into an augmented matrix, which nine
+    eliminations solve; nothing of it is shared with the fits that it checks.
+    """
+    k = len(CORE) + 1
+    z = [f"z{i}" for i in range(k - 1)] + ["1.0"]
+    parts = [
+        f"""ofr AS MATERIALIZED (SELECT r.card_a, "T" AS t, {", ".join(f"({c} - avg({c}) OVER w) / CASE WHEN stddev_pop({c}) OVER w > 1e-12 THEN stddev_pop({c}) OVER w ELSE 1 END AS z{i}" for i, c in enumerate(CORE))} FROM rel r WHERE not_offered = 0 WINDOW w AS (PARTITION BY card_a))""",
+        f"""big AS (SELECT card_a, count(*) FILTER (not_offered = 0) / count(*)::DOUBLE AS share, {", ".join(f"avg({c}) FILTER (not_offered = 0) AS m{i}, stddev_pop({c}) FILTER (not_offered = 0) AS d{i}" for i, c in enumerate(CORE))} FROM rel GROUP BY card_a HAVING count(*) FILTER ("T" = 1) >= 5 AND count(*) FILTER ("T" = 0 AND not_offered = 0) >= 5)""",
+        f"w0 AS (SELECT card_a, [{', '.join(['0.0::DOUBLE'] * k)}] AS w FROM big)",
+    ]
+    for s in range(steps):
+        eta = " + ".join(f"w[{i + 1}] * {x}" for i, x in enumerate(z))
+        ridge = [1.0] * (k - 1) + [1e-9]
+        rows = ", ".join(
+            "[" + ", ".join([*(f"0.35 * sum(p * (1 - p) * {z[i]} * {z[j]})" + (f" + {ridge[i]}" if i == j else "") for j in range(k)), f"0.35 * sum((t - p) * {z[i]}) - {ridge[i]} * any_value(w[{i + 1}])"]) + "]" for i in range(k)
+        )
+        parts.append(f"e{s}_0 AS MATERIALIZED (SELECT card_a, any_value(w) AS w, [{rows}] AS m FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM ofr JOIN w{s} USING (card_a)) GROUP BY card_a)")
+        for j in range(1, k + 1):
+            pivot = f"list_transform(m[{j}], lambda x: x / m[{j}][{j}])"
+            parts.append(f"e{s}_{j} AS MATERIALIZED (SELECT card_a, w, list_transform(m, lambda r, i: CASE WHEN i = {j} THEN pv ELSE list_transform(list_zip(r, pv), lambda q: q[1] - r[{j}] * q[2]) END) AS m FROM (SELECT card_a, w, m, {pivot} AS pv FROM e{s}_{j - 1}))")
+        parts.append(f"w{s + 1} AS MATERIALIZED (SELECT card_a, list_transform(w, lambda x, i: x + m[i][{k + 1}]) AS w FROM e{s}_{k})")
+    eta = " + ".join([*(f"w[{i + 1}] * ({c} - m{i}) / CASE WHEN d{i} > 1e-12 THEN d{i} ELSE 1 END" for i, c in enumerate(CORE)), f"w[{k}]"])
+    parts.append(f'sco AS MATERIALIZED (SELECT r.card_a, r.draft_id, "T" AS t, share / (1 + exp(-({eta}))) AS e FROM rel r JOIN w{steps} USING (card_a) JOIN big USING (card_a))')
+    return ", ".join(parts)
+
+
+_PAIRS = "SELECT cards.card AS card_a, groups.group_b, value FROM cards CROSS JOIN groups LEFT JOIN e ON e.card_a = cards.card AND e.group_b = groups.group_b WHERE cards.card IN (SELECT card_a FROM units)"
+
+_WEIGHTED = f"""WITH {FRAME}, {_newton()}, o AS (SELECT card_a, draft_id, t, least(e, 0.999) / (1 - least(e, 0.999)) AS o FROM sco),
+n AS (SELECT card_a, count(*) FILTER (t = 1) AS n1, sum(o) FILTER (t = 0) AS o0 FROM o GROUP BY card_a),
+y AS (SELECT card_a, ycnt.group_b, sum(y) FILTER (t = 1) AS y1, sum(y * o) FILTER (t = 0) AS y0 FROM o JOIN ycnt USING (draft_id) GROUP BY ALL),
+e AS (SELECT card_a, group_b, round(coalesce(y1, 0) / n1 - coalesce(y0, 0) / o0, 6) + 0.0 AS value FROM y JOIN n USING (card_a))
+{_PAIRS}"""
+
+_MATCHED = f"""WITH {FRAME}, {_newton()}, s AS (SELECT card_a, draft_id, t, round(e * 1e7)::BIGINT AS e FROM sco),
+d AS (SELECT a.card_a, a.draft_id AS ti, b.draft_id AS ci, row_number() OVER (PARTITION BY a.card_a, a.draft_id ORDER BY abs(a.e - b.e), b.draft_id) AS r FROM s a JOIN s b ON a.card_a = b.card_a AND a.t = 1 AND b.t = 0),
+n AS (SELECT card_a, ti, group_b, avg(y) AS y0 FROM d JOIN ycnt ON draft_id = ci WHERE r <= 3 GROUP BY ALL),
+e AS (SELECT card_a, n.group_b, round(avg(y - y0), 6) + 0.0 AS value FROM n JOIN ycnt ON draft_id = ti AND ycnt.group_b = n.group_b GROUP BY ALL)
+{_PAIRS}"""
+
 SQL: dict[str, str] = {
     "reference_effects": f"WITH {EFFECTS} SELECT card_a, group_b, 1::BIGINT AS pack, {q('itt_y', 'itt_d', 'late', 'se_late', 'z_stat', 'p_value')}, n_valid, n_invalid, n_incomplete, n_no_outcome, n_offered, n_treated, horizon_total, horizon_mean, horizon_min, horizon_max FROM effects JOIN acc USING (card_a)",
     "iv_sufficient_stats": f"WITH {STATS} SELECT card_a, group_b, z::BIGINT AS z, n, sum_d, sum_y, sum_y_sq, sum_dy FROM stats",
@@ -215,6 +258,8 @@ d AS (SELECT a.card_a, a.draft_id AS ti, b.draft_id AS ci, row_number() OVER (PA
 n AS (SELECT card_a, ti, group_b, avg(y) AS y0 FROM d JOIN ycnt ON draft_id = ci WHERE r <= 3 GROUP BY ALL),
 e AS (SELECT card_a, n.group_b, round(avg(y - y0), 6) + 0.0 AS value FROM n JOIN ycnt ON draft_id = ti AND ycnt.group_b = n.group_b GROUP BY ALL)
 SELECT cards.card AS card_a, groups.group_b, value FROM cards CROSS JOIN groups LEFT JOIN e ON e.card_a = cards.card AND e.group_b = groups.group_b WHERE cards.card IN (SELECT card_a FROM units)""",
+    "sipw_logit": _WEIGHTED,
+    "match_ps_logit_k3": _MATCHED,
     "null_baselines": f"WITH {EFFECTS} SELECT 'null_zero' AS method, card_a, group_b, 0.0::DOUBLE AS value FROM effects UNION ALL SELECT 'null_mean', card_a, group_b, round((SELECT avg(late) FROM effects), 6) + 0.0 FROM effects",
     "enrich_pairs": f"WITH {SCORING} SELECT method, card_a, group_b, {q('late', 'se_late', 'value')} FROM scoring",
     "samplewise_errors": f"WITH {SCORING}, ids AS (SELECT card_a, group_b, row_number() OVER (ORDER BY card_a, group_b) - 1 AS sample_id FROM effects) SELECT sample_id, method, round(d * d, 6) + 0.0 AS sq_err, round(abs(d), 6) + 0.0 AS abs_err, CASE WHEN hs = 1 THEN cv END::BIGINT AS covered FROM rows_ JOIN ids USING (card_a, group_b)",

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cards as C
-from ..operators import balance, exclusion, facts, features, fdr, iv, metrics, models, resample
-from ..operators.estimators import match_cov, naive, ridge_imputation
+from ..operators import balance, cells, exclusion, facts, features, fdr, iv, metrics, models, neighbours, resample
+from ..operators.estimators import naive, ridge_imputation
 from ..sources.store import stored
 from ..sources.tables import Facts, order_facts
 
@@ -166,8 +166,17 @@ def satt_offered(x: Facts) -> DataFrame:
 
 @query
 def match_cov_k3(x: Facts) -> DataFrame:
-    groups = features.groups_of(x)
-    return match_cov(features.frame(x, groups), groups).drop("method")
+    return neighbours.match_covariates(cells.from_facts(x, features.groups_of(x))).drop("method")
+
+
+@query
+def sipw_logit(x: Facts) -> DataFrame:
+    return cells.weighted(cells.from_facts(x, features.groups_of(x))).drop("method")
+
+
+@query
+def match_ps_logit_k3(x: Facts) -> DataFrame:
+    return neighbours.match_scores(cells.from_facts(x, features.groups_of(x))).drop("method")
 
 
 @query

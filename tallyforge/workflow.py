@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cards as C
-from .operators import balance, estimators, exclusion, facts, features, iv, metrics, models
+from .operators import balance, cells, estimators, exclusion, facts, features, iv, metrics, models, neighbours
 from .sources import drafts
 from .sources.store import changed_at, stored
 from .sources.tables import Facts
 
-CLOSED = {"match_cov_k3": estimators.match_cov, "dm_impute_t_att_lin": estimators.ridge_imputation}
+#: Estimators over weighted cells of the facts, and over the frame without a model.
+OVER_CELLS = models.OVER_CELLS | {"match_cov_k3": lambda x, settings: neighbours.match_covariates(x)}
+CLOSED = {"dm_impute_t_att_lin": estimators.ridge_imputation}
 
 
 @dataclass
@@ -119,11 +121,14 @@ def build_baseline_estimates(spark: SparkSession, space: Workspace, code: str, m
     groups = features.groups_of(x)
     wanted = F.broadcast(pairs.select("card_a").distinct())
     frame = features.frame(x, groups).join(wanted, "card_a", "left_semi")
-    unknown = set(methods) - {"satt", "satt_offered", *CLOSED, *models.ESTIMATORS, *models.NETS}
+    unknown = set(methods) - {"satt", "satt_offered", *CLOSED, *OVER_CELLS, *models.REGISTRY}
     if unknown:
         raise ValueError(f"unknown estimators {sorted(unknown)}")
     parts = [estimators.naive(x, offered_only=m == "satt_offered") for m in methods if m in ("satt", "satt_offered")]
     parts += [CLOSED[m](frame, groups) for m in methods if m in CLOSED]
+    if summed := [m for m in methods if m in OVER_CELLS]:
+        counted = cells.only(cells.from_facts(x, groups), wanted)
+        parts += [OVER_CELLS[m](counted, (profiles or models.PROFILES)["logit"]) for m in summed]
     if fitted := [m for m in methods if m in models.ESTIMATORS or m in models.NETS]:
         parts.append(models.estimate(frame, groups, fitted, profiles))
     out = parts[0].select("method", "card_a", "group_b", "value")
