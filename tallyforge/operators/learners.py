@@ -13,6 +13,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def chosen_split(gain: np.ndarray) -> int:
+    """The first of the best gains, equal but for rounding, so that sums in another order choose alike; -1 if none is above 0."""
+    best = gain.max(initial=-1.0)
+    return int(np.argmax(gain.ravel() >= best * (1 - 1e-9))) if best > 1e-12 else -1
+
+
 class Logit:
     """L2 logistic regression on scaled columns; ``c`` is the inverse strength."""
 
@@ -68,8 +74,8 @@ class Tree:
             out = rng.permutation(width)[max(1, int(self.columns * width)) :]
             ok[out] = False
         gain = np.where(ok, ls**2 / np.where(ok, lw, 1) + (total - ls) ** 2 / np.where(ok, mass - lw, 1) - total**2 / mass, -1.0)
-        best = int(gain.argmax())
-        if gain.flat[best] <= 1e-12:
+        best = chosen_split(gain)
+        if best < 0:
             return me
         j, cut = divmod(best, BINS - 1)
         low = flat[at, j] - BINS * j <= cut

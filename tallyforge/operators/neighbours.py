@@ -12,7 +12,7 @@ go by draft_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,19 +238,26 @@ def match_scores(cells: Cells, k: int = 3, c: float = 0.35) -> DataFrame:
 
 def match_given(cells: Cells, of: dict[str, dict[str, list[float]]], k: int, method: str) -> DataFrame:
     """The same by fitted parameters; scores are compared to ``SCORE_DIGITS``."""
-    names, known = cells.names, parameters(cells, of)
-    whole = F.round(propensity(names) * F.lit(10.0**SCORE_DIGITS)).cast("long")
-    in_pool = cells.pool.join(known, "pool").select("card_a", whole.alias("e"), F.col("n"))
-    own = cells.own.where("n_t + n_h > 0").join(known.drop("pool"), "card_a").select("card_a", whole.alias("e"), (-F.col("n_t") - F.col("n_h")).alias("n"))
-    points = in_pool.unionByName(own).groupBy("card_a", "e").agg(F.sum("n").alias("n")).where("n > 0")
+    whole = F.round(propensity(cells.names) * F.lit(10.0**SCORE_DIGITS)).cast("long")
+    known = parameters(cells, of).drop("pool")
+    return match_scored(cells, lambda rows: rows.join(known, "card_a").select(*rows.columns, whole.alias("e")), list(of), k, method)
+
+
+def match_scored(cells: Cells, scored: Callable[[DataFrame], DataFrame], cards: list[str], k: int, method: str) -> DataFrame:
+    """The same by any score: ``scored`` adds ``e``, a whole number, to rows with card_a and the covariates of ``cards``."""
+    if not cards:
+        return all_pairs(cells, method).withColumn("value", F.lit(None).cast("double"))
+    names, fitted = cells.names, F.col("card_a").isin(*cards)
+    pool = F.broadcast(cells.cards.where(fitted)).join(cells.pool, "pool").select("card_a", "pool", *names, "n")
+    own = cells.own.where(fitted & (F.col("n_t") + F.col("n_h") > 0)).select("card_a", *names, (-F.col("n_t") - F.col("n_h")).alias("n"))
+    points = scored(pool).select("card_a", "e", "n").unionByName(scored(own).select("card_a", "e", "n")).groupBy("card_a", "e").agg(F.sum("n").alias("n")).where("n > 0")
     # A score is the name of its point, and the only coordinate.
     points = stored(boxed(stored(points, "scores"), "card_a", ("e",)).withColumn("point", F.col("e")), "points")
     controls = counts_in(points.groupBy("card_a", "box").agg(F.sum("n").alias("n")))
-    space = Space("card_a", ("e",), points, None, {card: (np.zeros(1), np.ones(1)) for card in of}, controls)
+    space = Space("card_a", ("e",), points, None, {card: (np.zeros(1), np.ones(1)) for card in cards}, controls)
     treated = queries_of(cells)
-    queries = stored(treated.join(known.drop("pool"), "card_a").select("card_a", "q", whole.cast("double").alias("e")), "queries")
+    queries = stored(scored(treated.where(fitted)).select("card_a", "q", F.col("e").cast("double").alias("e")), "queries")
     chosen = search(space, queries, k)
     # From the chosen scores back to the cells that have them.
-    scored = cells.pool.join(known, "pool").select("card_a", "pool", *names, whole.alias("point"))
-    wanted = scored.join(chosen.select("card_a", "point").distinct(), ["card_a", "point"])
+    wanted = scored(pool.drop("n")).withColumnRenamed("e", "point").join(chosen.select("card_a", "point").distinct(), ["card_a", "point"])
     return compared(cells, treated.join(queries.select("card_a", "q"), ["card_a", "q"], "left_semi"), chosen, wanted, k, method)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cards as C
-from ..operators import balance, cells, exclusion, facts, features, fdr, iv, metrics, models, neighbours, resample
+from ..operators import balance, boosted, cells, exclusion, facts, features, fdr, iv, metrics, models, neighbours, resample
 from ..operators.estimators import naive, ridge_imputation
 from ..sources.store import stored
 from ..sources.tables import Facts, order_facts
@@ -185,6 +185,40 @@ def dm_impute_t_att_lin(x: Facts) -> DataFrame:
     return ridge_imputation(features.frame(x, groups), groups).drop("method")
 
 
+def boosted_propensity(x: Facts) -> boosted.Propensity:
+    """The boosted propensity over core cells, fitted once for all queries that read it."""
+    if "boosted_propensity" not in x.kept:
+        x.kept["boosted_propensity"] = boosted.propensity(cells.from_facts(x, features.groups_of(x)), models.PROFILES["gbm_t"])
+    return x.kept["boosted_propensity"]
+
+
+def boosted_outcomes(x: Facts, *, robust: bool) -> DataFrame:
+    groups = features.groups_of(x)
+    full = cells.from_facts(x, groups, tuple(features.covariates(features.frame(x, groups))))
+    rest = x.once("boosted_residuals", lambda: boosted.outcome_residuals(full, boosted_propensity(x), models.PROFILES["gbm_y"]))
+    return boosted.imputed(full, rest, robust=robust).drop("method")
+
+
+@query
+def sipw_gbm(x: Facts) -> DataFrame:
+    return boosted.sipw(cells.from_facts(x, features.groups_of(x)), boosted_propensity(x)).drop("method")
+
+
+@query
+def match_ps_gbm_k3(x: Facts) -> DataFrame:
+    return boosted.match(cells.from_facts(x, features.groups_of(x)), boosted_propensity(x)).drop("method")
+
+
+@query
+def dm_impute_t_att_gbm(x: Facts) -> DataFrame:
+    return boosted_outcomes(x, robust=False)
+
+
+@query
+def dr_att_gbm(x: Facts) -> DataFrame:
+    return boosted_outcomes(x, robust=True)
+
+
 def modelled(name: str) -> None:
     def run(x: Facts) -> DataFrame:
         groups = features.groups_of(x)

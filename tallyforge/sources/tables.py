@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ class Facts:
     picks: DataFrame
     offers: DataFrame
     cards: DataFrame
-    kept: dict[str, DataFrame] = field(default_factory=dict)
+    kept: dict[str, Any] = field(default_factory=dict)
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table derived from these facts, built and stored at first use: several operators read it."""

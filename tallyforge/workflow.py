@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cards as C
-from .operators import balance, cells, estimators, exclusion, facts, features, iv, metrics, models, neighbours
+from .operators import balance, boosted, cells, estimators, exclusion, facts, features, iv, metrics, models, neighbours
 from .sources import drafts
 from .sources.store import changed_at, stored
 from .sources.tables import Facts
@@ -126,9 +126,12 @@ def build_baseline_estimates(spark: SparkSession, space: Workspace, code: str, m
         raise ValueError(f"unknown estimators {sorted(unknown)}")
     parts = [estimators.naive(x, offered_only=m == "satt_offered") for m in methods if m in ("satt", "satt_offered")]
     parts += [CLOSED[m](frame, groups) for m in methods if m in CLOSED]
-    if summed := [m for m in methods if m in OVER_CELLS]:
+    summed, trees = [m for m in methods if m in OVER_CELLS], [m for m in methods if m in models.BOOSTED]
+    if summed or trees:
         counted = cells.only(cells.from_facts(x, groups), wanted)
         parts += [OVER_CELLS[m](counted, (profiles or models.PROFILES)["logit"]) for m in summed]
+    if trees:
+        parts.append(boosted.estimates(counted, lambda: cells.only(cells.from_facts(x, groups, tuple(features.covariates(frame))), wanted), trees, profiles or models.PROFILES))
     if fitted := [m for m in methods if m in models.ESTIMATORS or m in models.NETS]:
         parts.append(models.estimate(frame, groups, fitted, profiles))
     out = parts[0].select("method", "card_a", "group_b", "value")
