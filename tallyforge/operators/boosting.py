@@ -70,6 +70,11 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)]).astype(np.uint8)
 
 
+def tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def packed(rows: DataFrame, names: tuple[str, ...], targets: list[str], edges: dict, base: dict) -> DataFrame:
     """Blocks of rows of one card: bins, weights n and sums s to train on, weights q and sums r to apply to, fitted values f.
 
@@ -91,24 +96,25 @@ def packed(rows: DataFrame, names: tuple[str, ...], targets: list[str], edges: d
             yield pd.DataFrame(out, columns=["card_a", "bins", "n", "s", "q", "r", "f"])
 
     fitted = rows.where(F.col("card_a").isin(*edges)) if edges else rows.limit(0)
-    return stored(fitted.sortWithinPartitions("card_a").mapInPandas(run, PACKED), "blocks")
+    # Small in bytes, long to work on: a fixed number of partitions keeps AQE from merging them into few tasks.
+    return stored(fitted.repartition(tasks(rows), "card_a", *names).sortWithinPartitions("card_a").mapInPandas(run, PACKED), "blocks")
 
 
-def places(tree: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
-    """The node of each row in one tree, ``depth`` splits down at most; node i has the children 2i + 1 and 2i + 2."""
-    node, at = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
+def places(trees: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each row in each target's tree (target, node, 3), ``depth`` splits down at most; node i has the children 2i + 1 and 2i + 2."""
+    every, at = np.arange(len(trees)), np.arange(len(bins))[:, None]
+    node = np.zeros((len(bins), len(trees)), dtype=np.int64)
     for _ in range(depth):
-        column = tree[node, 0].astype(np.int64)
-        node = np.where(column >= 0, 2 * node + 1 + (bins[at, column] > tree[node, 1]), node)
+        column = trees[every, node, 0].astype(np.int64)
+        node = np.where(column >= 0, 2 * node + 1 + (bins[at, column] > trees[every, node, 1]), node)
     return node
 
 
 def added(f: np.ndarray, trees: np.ndarray, bins: np.ndarray, rate: float, depth: int) -> np.ndarray:
     """Fitted values with these trees (tree, target, node, 3) as well."""
-    f = f.copy()
+    f, every = f.copy(), np.arange(f.shape[1])
     for tree in trees:
-        for g in range(f.shape[1]):
-            f[:, g] += rate * tree[g][places(tree[g], bins, depth), 2]
+        f += rate * tree[every, places(tree, bins, depth), 2]
     return f
 
 
@@ -135,36 +141,33 @@ def splits(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: tuple[i
     """By card and target, for each node of a level: column (-1 for none), cut, value, values of the two children."""
     width, total_bins, rate, depth, leaf = len(offsets) - 1, int(offsets[-1]), settings["rate"], settings["depth"], settings["leaf"]
     nodes, first = 1 << level, (1 << level) - 1
-    form = (3, nodes, total_bins)
+    form = (3 if binary else 2, nodes, total_bins)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[str, int], np.ndarray] = {}
+        total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for b in pdf.itertuples():
                 bins, n = np.frombuffer(b.bins, dtype=np.uint8).reshape(-1, width), np.frombuffer(b.n)
                 here = np.frombuffer(b.trees).reshape(-1, *shape, 3)
                 f, s = added(np.frombuffer(b.f).reshape(-1, shape[0]), here[:-1], bins, rate, depth), np.frombuffer(b.s).reshape(-1, shape[0])
                 flat = bins + offsets[:-1]
-                for g in range(shape[0]):
-                    at = places(here[-1][g], bins, level) - first
-                    live = (at >= 0) & (n != 0)
-                    slots = (at[live, None] * total_bins + flat[live]).ravel()
-                    m = n[live]
-                    if binary:
-                        p = sigmoid(f[live, g])
-                        weight, pull = m * np.maximum(p * (1 - p), LEAST_WEIGHT), s[live, g] - m * p
-                    else:
-                        weight, pull = m, s[live, g] - m * f[live, g]
-                    count = lambda v: np.bincount(slots, weights=np.repeat(v, width), minlength=nodes * total_bins).reshape(nodes, total_bins)  # noqa: E731, B023
-                    mine = total.setdefault((b.card_a, g), np.zeros(form))
-                    mine[0] += count(m)
-                    mine[1] += count(weight) if binary else 0
-                    mine[2] += count(pull)
-        yield pd.DataFrame([(card, g, v.tobytes()) for (card, g), v in total.items()], columns=["card_a", "g", "sums"])
+                at = places(here[-1], bins, level) - first
+                if binary:
+                    p = sigmoid(f)
+                    weight, pull = n[:, None] * np.maximum(p * (1 - p), LEAST_WEIGHT), s - n[:, None] * p
+                else:
+                    weight, pull = None, s - n[:, None] * f
+                # One range of numbers for all targets, nodes and bins; rows that stopped higher up are out.
+                row, g = np.nonzero((at >= 0) & (n[:, None] != 0))
+                slots = (((g * nodes + at[row, g]) * total_bins)[:, None] + flat[row]).ravel()
+                count = lambda v: np.bincount(slots, weights=np.repeat(v, width), minlength=shape[0] * nodes * total_bins).reshape(shape[0], nodes, total_bins)  # noqa: E731, B023
+                mine = np.stack([count(v) for v in (n[row], *([] if weight is None else [weight[row, g]]), pull[row, g])], axis=1)
+                total[b.card_a] = total.get(b.card_a, 0) + mine
+        yield pd.DataFrame([(card, g, v[g].tobytes()) for card, v in total.items() for g in range(shape[0])], columns=["card_a", "g", "sums"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         v = sum(np.frombuffer(b).reshape(form) for b in pdf["sums"])
-        n, w, wy = v[0], v[1] if binary else v[0], v[2]
+        n, w, wy = v[0], v[-2], v[-1]
         out = np.full((nodes, 5), -1.0)
         for q in range(nodes):
             one = slice(0, int(offsets[1]))
@@ -185,7 +188,8 @@ def splits(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: tuple[i
         return pd.DataFrame({"card_a": [pdf["card_a"].iloc[0]], "g": [int(pdf["g"].iloc[0])], "best": [out.tobytes()]})
 
     found = blocks.select("card_a", "bins", "n", "s", "f").join(state(blocks, trees), "card_a").mapInPandas(sums, "card_a string, g int, sums binary")
-    rows = found.groupBy("card_a", "g").applyInPandas(choose, "card_a string, g int, best binary").collect()
+    many = min(tasks(blocks), len(trees) * shape[0])
+    rows = found.repartition(many, "card_a", "g").groupBy("card_a", "g").applyInPandas(choose, "card_a string, g int, best binary").collect()
     return {(r["card_a"], r["g"]): np.frombuffer(bytes(r["best"])).reshape(nodes, 5) for r in rows}
 
 
