@@ -43,7 +43,8 @@ class Cells:
     ``pool``: pool, the covariates, n, ``s_<group>`` (sums of outcomes), over all drafts of a pool.
     ``own``: card_a, pool, the covariates and, with n_ and group sums, the card's drafts that were treated (t),
     offered but not treated (o) or held (h). ``cards``: card_a, pool. ``drafts`` makes a row a draft and
-    pool (pool, draft_id, covariates, ``Y_<group>``); ``gone``: card_a, draft_id that are no controls.
+    pool (pool, draft_id, covariates, ``Y_<group>``); ``gone``: card_a, draft_id that are no controls,
+    and whether they were ``treated`` (or held).
     """
 
     names: tuple[str, ...]
@@ -74,7 +75,7 @@ def from_facts(facts: Facts, groups: list[str], names: tuple[str, ...] = CORE) -
     arm = F.col("arm")
     kind = F.when(arm == "h", "h").when(arm.endswith("1"), "t").otherwise("o")
     marked = lambda: counted(relative(arms(facts).withColumnRenamed("card", "card_a").join(F.broadcast(sets), "card_a").join(per_draft(facts, groups), "draft_id")).fillna(0.0, list(names)), ["card_a", "pool", *names], groups, kind)
-    gone = arms(facts).where((arm == "h") | arm.endswith("1")).select(F.col("card").alias("card_a"), "draft_id")
+    gone = arms(facts).where((arm == "h") | arm.endswith("1")).select(F.col("card").alias("card_a"), "draft_id", (arm != "h").alias("treated"))
     return Cells(names, groups, facts.once(f"pool_{tag}", total), facts.once(f"own_{tag}", marked), sets.select("card_a", "pool"), drafts, gone)
 
 
@@ -84,7 +85,7 @@ def from_frame(frame: DataFrame, groups: list[str], names: tuple[str, ...] = COR
     kind = F.when(F.col("T") == 1, "t").otherwise("o")
     total = stored(rows.groupBy("pool", *names).agg(F.count("*").alias("n"), *[F.sum(f"Y_{g}").alias(f"s_{g}") for g in groups]), "pool")
     own = stored(counted(rows.where("T = 1 or not_offered = 0"), ["card_a", "pool", *names], groups, kind), "own")
-    gone = frame.where("T = 1").select("card_a", "draft_id")
+    gone = frame.where("T = 1").select("card_a", "draft_id", F.lit(True).alias("treated"))
     return Cells(names, groups, total, own, rows.select("card_a", "pool").distinct(), lambda: rows.select("pool", "draft_id", *names, *[f"Y_{g}" for g in groups]), gone)
 
 

@@ -229,6 +229,27 @@ n AS (SELECT card_a, ti, group_b, avg(y) AS y0 FROM d JOIN ycnt ON draft_id = ci
 e AS (SELECT card_a, n.group_b, round(avg(y - y0), 6) + 0.0 AS value FROM n JOIN ycnt ON draft_id = ti AND ycnt.group_b = n.group_b GROUP BY ALL)
 {_PAIRS}"""
 
+
+
+def _double_learning(folds: int = 5, alpha: float = 1.0) -> str:
+    """Ridge fits on the rows outside each fold by Gaussian elimination, residuals row by row, and their products."""
+    k, groups = len(CORE) + 1, COLORS
+    x, y = ["1.0", *(f"x{i}" for i in range(k - 1))], ["t", *(f"y{j}" for j in range(len(groups)))]
+    rows = ", ".join("[" + ", ".join([*(f"sum({x[i]} * {x[j]})" + (f" + {alpha}" if i == j and i else "") for j in range(k)), *(f"sum({x[i]} * {c})" for c in y)]) + "]" for i in range(k))
+    parts = [
+        f"""base AS MATERIALIZED (SELECT card_a, r.draft_id, "T"::DOUBLE AS t, ('0x' || substring(md5('42:' || r.draft_id), 1, 8))::BIGINT % {folds} AS fold, {", ".join(f"{c}::DOUBLE AS x{i}" for i, c in enumerate(CORE))}, {", ".join(f"coalesce(w.y{j}, 0)::DOUBLE AS y{j}" for j in range(len(groups)))}
+FROM rel r LEFT JOIN (SELECT draft_id, {", ".join(f"sum(y) FILTER (group_b = '{g}') AS y{j}" for j, g in enumerate(groups))} FROM ycnt GROUP BY draft_id) w ON w.draft_id = r.draft_id)""",
+        f"g0 AS MATERIALIZED (SELECT card_a, k, [{rows}] AS m FROM base JOIN (SELECT range AS k FROM range({folds})) ON fold <> k GROUP BY card_a, k)",
+    ]
+    for j in range(1, k + 1):
+        pivot = f"list_transform(m[{j}], lambda x: x / m[{j}][{j}])"
+        parts.append(f"g{j} AS MATERIALIZED (SELECT card_a, k, list_transform(m, lambda r, i: CASE WHEN i = {j} THEN pv ELSE list_transform(list_zip(r, pv), lambda q: q[1] - r[{j}] * q[2]) END) AS m FROM (SELECT card_a, k, m, {pivot} AS pv FROM g{j - 1}))")
+    rest = [f"{c} - ({' + '.join(f'm[{i + 1}][{k + 1 + n}] * {v}' for i, v in enumerate(x))}) AS r{n}" for n, c in enumerate(y)]
+    parts.append(f"rest AS MATERIALIZED (SELECT b.card_a, t, {', '.join(rest)} FROM base b JOIN g{k} g ON g.card_a = b.card_a AND g.k = b.fold)")
+    parts.append("e AS (" + " UNION ALL ".join(f"SELECT card_a, '{g}' AS group_b, round(sum(r{j + 1} * r0) / sum(r0 * r0), 6) + 0.0 AS value FROM rest GROUP BY card_a HAVING sum(t) >= 5 AND count(*) - sum(t) >= 5" for j, g in enumerate(groups)) + ")")
+    return f"WITH {FRAME}, {', '.join(parts)} {_PAIRS}"
+
+
 SQL: dict[str, str] = {
     "reference_effects": f"WITH {EFFECTS} SELECT card_a, group_b, 1::BIGINT AS pack, {q('itt_y', 'itt_d', 'late', 'se_late', 'z_stat', 'p_value')}, n_valid, n_invalid, n_incomplete, n_no_outcome, n_offered, n_treated, horizon_total, horizon_mean, horizon_min, horizon_max FROM effects JOIN acc USING (card_a)",
     "iv_sufficient_stats": f"WITH {STATS} SELECT card_a, group_b, z::BIGINT AS z, n, sum_d, sum_y, sum_y_sq, sum_dy FROM stats",
@@ -260,6 +281,7 @@ e AS (SELECT card_a, n.group_b, round(avg(y - y0), 6) + 0.0 AS value FROM n JOIN
 SELECT cards.card AS card_a, groups.group_b, value FROM cards CROSS JOIN groups LEFT JOIN e ON e.card_a = cards.card AND e.group_b = groups.group_b WHERE cards.card IN (SELECT card_a FROM units)""",
     "sipw_logit": _WEIGHTED,
     "match_ps_logit_k3": _MATCHED,
+    "dml": _double_learning(),
     "null_baselines": f"WITH {EFFECTS} SELECT 'null_zero' AS method, card_a, group_b, 0.0::DOUBLE AS value FROM effects UNION ALL SELECT 'null_mean', card_a, group_b, round((SELECT avg(late) FROM effects), 6) + 0.0 FROM effects",
     "enrich_pairs": f"WITH {SCORING} SELECT method, card_a, group_b, {q('late', 'se_late', 'value')} FROM scoring",
     "samplewise_errors": f"WITH {SCORING}, ids AS (SELECT card_a, group_b, row_number() OVER (ORDER BY card_a, group_b) - 1 AS sample_id FROM effects) SELECT sample_id, method, round(d * d, 6) + 0.0 AS sq_err, round(abs(d), 6) + 0.0 AS abs_err, CASE WHEN hs = 1 THEN cv END::BIGINT AS covered FROM rows_ JOIN ids USING (card_a, group_b)",

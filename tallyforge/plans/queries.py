@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cards as C
-from ..operators import balance, boosted, cells, exclusion, facts, features, fdr, iv, metrics, models, neighbours, resample
+from ..operators import balance, boosted, cells, exclusion, facts, features, fdr, grams, iv, metrics, models, neighbours, resample
 from ..operators.estimators import naive, ridge_imputation
 from ..sources.store import stored
 from ..sources.tables import Facts, order_facts
@@ -219,6 +219,11 @@ def dr_att_gbm(x: Facts) -> DataFrame:
     return boosted_outcomes(x, robust=True)
 
 
+@query
+def dml(x: Facts) -> DataFrame:
+    return grams.double_learning(cells.from_facts(x, features.groups_of(x))).drop("method")
+
+
 def modelled(name: str) -> None:
     def run(x: Facts) -> DataFrame:
         groups = features.groups_of(x)
@@ -228,7 +233,7 @@ def modelled(name: str) -> None:
     query(run)
 
 
-for _name in [n for n in (*models.ESTIMATORS, *models.NETS) if n != "dml"]:
+for _name in (*models.ESTIMATORS, *models.NETS):
     modelled(_name)
 
 
