@@ -168,27 +168,23 @@ def split_half(draft_id, seed: int = 0):
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draft_id.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 2
 
 
-def split_in_order(drafts: DataFrame, seed: int) -> DataFrame:
+#: Positions a task draws numbers for at once.
+SPAN = 1 << 20
+
+
+def split_in_order(drafts: DataFrame, seed: int, *, span: int = SPAN) -> DataFrame:
     """Halves from one sequential draw a draft in file order (``position`` from 0).
 
-    Rows come in ranges of positions; a task draws the numbers before its range once and drops them.
+    Positions are dealt in spans; a task jumps to the first number of its span and draws only that span.
     """
-    import random
-
     import pandas as pd
 
-    def run(batches):
-        rng, drawn = random.Random(seed), 0
-        for pdf in batches:
-            halves = []
-            for position in pdf["position"]:
-                while drawn < position:
-                    rng.random()
-                    drawn += 1
-                halves.append(int(rng.random() >= 0.5))
-                drawn += 1
-            yield pd.DataFrame({"draft_id": pdf["draft_id"], "half": halves})
+    from ..functions import twister
+
+    def run(key, pdf):
+        numbers = twister.draws(seed, key[0] * span, span)
+        return pd.DataFrame({"draft_id": pdf["draft_id"], "half": (numbers[(pdf["position"] - key[0] * span).to_numpy()] >= 0.5).astype("int32")})
 
     kind = drafts.schema["draft_id"].dataType.simpleString()
-    ordered = drafts.select("draft_id", "position").repartitionByRange("position").sortWithinPartitions("position")
-    return ordered.mapInPandas(run, f"draft_id {kind}, half int")
+    place = F.col("position").cast("long")
+    return drafts.select("draft_id", place.alias("position"), F.expr(f"cast(position as bigint) div {span}").alias("span")).groupBy("span").applyInPandas(run, f"draft_id {kind}, half int")
