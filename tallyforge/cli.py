@@ -13,7 +13,7 @@ from . import workflow
 from .operators import models
 from .plans.queries import QUERIES
 from .session import session
-from .sources.sinks import load_profiles
+from .sources.sinks import load_profiles, load_spaces
 
 
 def read_methods(path: str) -> list[str]:
@@ -53,12 +53,14 @@ def parser() -> argparse.ArgumentParser:
     estimates.add_argument("--idx", type=int)
     estimates.add_argument("--filter")
     estimates.add_argument("--profiles", help="JSON file of learner settings")
+    command("extract-baseline-features", "set_code")
     command("independence-diagnostic", "set_code")
     command("instrument-diagnostic", "set_code")
     slots = command("slot-diagnostic", "set_code")
     slots.add_argument("--least-picked", type=int, default=500)
     tuning = command("hp-tuning-sample", "set_code", "profile")
     tuning.add_argument("--seed", type=int, default=0)
+    tuning.add_argument("--space", help="JSON file of a search space: setting to its values, by profile")
     command("create-summary", "topic", "set_codes", "methods_path", split=True)
     return top
 
@@ -85,6 +87,8 @@ def main(args: list[str] | None = None) -> None:
         workflow.build_reference_effects(spark, space, given.set_code, split=given.split, least_picked=given.least_picked, most_ratio=given.most_ratio)
     elif given.command == "build-baseline-estimates":
         workflow.build_baseline_estimates(spark, space, given.set_code, read_methods(given.methods_path), idx=given.idx, name_filter=given.filter, split=given.split, profiles=load_profiles(given.profiles, models.PROFILES) if given.profiles else None)
+    elif given.command == "extract-baseline-features":
+        workflow.extract_facts(spark, space, given.set_code)
     elif given.command == "independence-diagnostic":
         workflow.independence_diagnostic(spark, space, given.set_code)
     elif given.command == "instrument-diagnostic":
@@ -92,7 +96,7 @@ def main(args: list[str] | None = None) -> None:
     elif given.command == "slot-diagnostic":
         workflow.slot_diagnostic(spark, space, given.set_code, least_picked=given.least_picked)
     elif given.command == "hp-tuning-sample":
-        workflow.tuning_sample(spark, space, given.set_code, given.profile, seed=given.seed)
+        workflow.tuning_sample(spark, space, given.set_code, given.profile, seed=given.seed, space_of=load_spaces(given.space, models.SPACES)[given.profile] if given.space else None)
     else:
         workflow.create_summary(spark, space, given.topic, given.set_codes.split(","), read_methods(given.methods_path), split=given.split)
 

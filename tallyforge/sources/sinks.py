@@ -1,16 +1,11 @@
-"""Writers of results: CSV tables, histograms, model profiles, summaries over sets."""
+"""Writers of results: CSV tables, histograms, model profiles; search spaces."""
 
 from __future__ import annotations
 
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Columns that a summary over sets leaves out, by beginning.
-MASKED = ("GSP", "LD", "Unnamed")
-
+from pyspark.sql import DataFrame
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
@@ -39,16 +34,10 @@ def load_profiles(path: str, known: dict[str, dict]) -> dict[str, dict]:
     return {n: s | found.get(n, {}) for n, s in known.items()}
 
 
-def summary(spark: SparkSession, paths: dict[str, str], estimates: dict[str, str]) -> DataFrame:
-    """Effects of several sets with their estimates, one frame with ``set_code``; masked columns go.
-
-    ``paths``: set code to its effects; ``estimates``: set code to its estimates by method.
-    """
-    out = None
-    for code, path in paths.items():
-        effects = spark.read.parquet(path)
-        effects = effects.drop(*[c for c in effects.columns if c.startswith(MASKED)])
-        methods = spark.read.parquet(estimates[code]).groupBy("card_a", "group_b").pivot("method").agg(F.first("value"))
-        one = effects.join(methods, ["card_a", "group_b"], "left").withColumn("set_code", F.lit(code))
-        out = one if out is None else out.unionByName(one.select(*[c for c in out.columns if c in one.columns]), allowMissingColumns=True)
-    return out
+def load_spaces(path: str, known: dict[str, dict]) -> dict[str, dict]:
+    """Search spaces of the tuner from a JSON file, in place of the known ones; unknown names, settings or empty value lists raise."""
+    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    for name, values in found.items():
+        if name not in known or set(values) - set(known[name]) or not all(isinstance(v, list) and v for v in values.values()):
+            raise ValueError(f"unknown or empty search space: {name} {values}")
+    return known | found

@@ -14,14 +14,15 @@ the estimates by method and card.
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cards as C
-from .operators import balance, boosted, cells, estimators, exclusion, facts, features, iv, metrics, models, neighbours
-from .sources import drafts
+from .operators import balance, boosted, cells, estimators, exclusion, facts, features, iv, models, neighbours
+from .sources import drafts, ingest, manifest
 from .sources.store import changed_at, stored
 from .sources.tables import Facts
 
@@ -79,19 +80,43 @@ def card_table(spark: SparkSession, metadata: str, groups: str) -> DataFrame:
     return drafts.read_groups(spark, groups).join(known, "card", "left")
 
 
-def set_facts(spark: SparkSession, space: Workspace, code: str, *, split: int | None = None, upper: bool = False) -> Facts:
-    """Facts of a set's log. Rows of a draft are those that stand together in the file.
+#: Format of the stored facts of a set; raise it when their columns or meaning change.
+FACTS_VERSION = 1
+FACT_TABLES = ("picks", "offers", "cards", "drafts", "lengths")
+
+
+def extract_facts(spark: SparkSession, space: Workspace, code: str) -> dict[str, DataFrame]:
+    """Facts of a set's log, stored under ``results_dir`` with a manifest: later commands read these and no CSV.
 
-    ``split`` seeds one draw a draft in file order; one half of the drafts is kept, ``upper`` the other.
+    They are built again when the log, the metadata or the groups have changed. Rows of a draft are those that stand
+    together in the file. The write of the lengths observes how many drafts are incomplete, and warns of too many.
     """
-    log = drafts.runs(drafts.placed(drafts.read_log(spark, space.log(spark, code), located=True)))
-    cards = stored(card_table(spark, space.find(spark, f"metadata/metadata.{code}.json"), space.find(spark, f"metadata/groups.{code}.json")), "cards")
-    if split is not None:
-        ids = log.groupBy("draft_id").agg(F.min("row_pos").alias("first"))
-        halves = facts.split_in_order(drafts.numbered(ids, "first", "position"), split)
-        log = log.join(halves.where(F.col("half") == int(upper)).select("draft_id"), "draft_id", "left_semi")
-    found = drafts.facts(log.drop("row_pos"), cards)
-    return Facts(stored(found.picks, "picks"), stored(found.offers, "offers"), cards)
+    log, metadata, groups = space.log(spark, code), space.find(spark, f"metadata/metadata.{code}.json"), space.find(spark, f"metadata/groups.{code}.json")
+    source = manifest.state_of(spark, log, metadata, groups)
+    at = lambda name: f"{space.result('facts', code)}/{name}"
+    if not all(manifest.fresh(spark, at(n), n, FACTS_VERSION, source) for n in FACT_TABLES):
+        save = lambda name, df, **more: manifest.save(df, at(name), name, FACTS_VERSION, source=source, **more)
+        picks, offers, ids = ingest.log_tables(drafts.read_log(spark, log, located=True))
+        picks = save("picks", picks)
+        save("offers", offers)
+        save("cards", card_table(spark, metadata, groups), checks={"no_name": F.col("card").isNull()})
+        save("drafts", ids)
+        save("lengths", facts.lengths(picks), facts={"n_drafts": F.count_if("reached"), "n_incomplete": F.count_if(F.expr("reached and not complete"))})
+        seen = manifest.manifest(spark, at("lengths"))["observed"]
+        if seen["n_incomplete"] > facts.ALARM * seen["n_drafts"]:
+            warnings.warn(f"{seen['n_incomplete']} of {seen['n_drafts']} drafts of {code} are incomplete", stacklevel=2)
+    return {n: manifest.load(spark, at(n), n, FACTS_VERSION) for n in FACT_TABLES}
+
+
+def set_facts(spark: SparkSession, space: Workspace, code: str, *, split: int | None = None, upper: bool = False) -> Facts:
+    """The stored facts of a set. ``split`` seeds one draw a draft in file order; one half of the drafts is kept, ``upper`` the other."""
+    found = extract_facts(spark, space, code)
+    x = Facts(found["picks"], found["offers"], found["cards"], {"drafts": found["lengths"]})
+    if split is None:
+        return x
+    half = stored(facts.split_in_order(found["drafts"], split).where(F.col("half") == int(upper)).select("draft_id"), "half")
+    out = ingest.half_of(x, half)
+    return Facts(stored(out.picks, "picks"), stored(out.offers, "offers"), out.cards, {"drafts": found["lengths"].join(half, "draft_id", "left_semi")})
 
 
 def build_reference_effects(spark: SparkSession, space: Workspace, code: str, *, split: int | None = None, least_picked: int = 500, most_ratio: float = 4.0) -> DataFrame:
@@ -181,22 +206,26 @@ def tuning_sample(spark: SparkSession, space: Workspace, code: str, profile: str
 
 
 def create_summary(spark: SparkSession, space: Workspace, topic: str, codes: list[str], methods: list[str], *, split: int | None = None) -> DataFrame:
-    """Effects of several sets with one column for each method; a method that lacks a pair or has one twice is an error."""
-    out = None
+    """Effects of several sets with one column for each method.
+
+    A method that lacks a pair or has one twice is an error, found by the pass that writes the summary; the summary that was there then stays.
+    """
+    out, given = None, [f"_n_{m}" for m in methods]
     for code in codes:
         effects = spark.read.parquet(space.result("ref", code, split))
         effects = effects.drop(*[c for c in effects.columns if c in ("GSP", "LD") or c.startswith("Unnamed")])
+        if clash := set(methods) & set(effects.columns):
+            raise ValueError(f"columns {sorted(clash)} are there already")
         if methods:
-            found = drafts.read_estimates(spark, space.result("estimates", code, split)).where(F.col("method").isin(methods))
-            if missing := set(methods) - {r[0] for r in found.select("method").distinct().collect()}:
-                raise ValueError(f"set {code} has no estimates of {sorted(missing)}")
-            found = found.join(effects.select("card_a", "group_b"), ["card_a", "group_b"], "left_semi")
-            wide = metrics.enrich(effects.select("card_a", "group_b"), found).groupBy("card_a", "group_b").pivot("method", methods).agg(F.first("value"))
-            if clash := set(methods) & set(effects.columns):
-                raise ValueError(f"columns {sorted(clash)} are there already")
-            effects = effects.join(wide, ["card_a", "group_b"])
+            found = spark.read.parquet(space.result("estimates", code, split)).where(F.col("method").isin(methods))
+            one = lambda m: F.col("method") == m
+            wide = found.groupBy("card_a", "group_b").agg(*[F.first(F.when(one(m), F.col("value")), ignorenulls=True).alias(m) for m in methods], *[F.count_if(one(m)).alias(n) for m, n in zip(methods, given)])
+            effects = effects.join(wide, ["card_a", "group_b"], "left").fillna(0, given)
         out = effects if out is None else out.unionByName(effects.select(*out.columns))
-    return written(spark, out, f"{space.results_dir}/{topic}")
+    path = f"{space.results_dir}/{topic}"
+    checks = {f"{m} lacks": F.col(n) == 0 for m, n in zip(methods, given)} | {f"{m} repeats": F.col(n) > 1 for m, n in zip(methods, given)}
+    manifest.publish(out, path, checks if methods else None, drop=given)
+    return spark.read.parquet(path)
 
 
 def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
