@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import BOOT, SAMPLE_CARDS, SPLIT_SEED
+from ..functions import twister
+from .queries import BOOT, SPLIT_SEED, part_cards_sql
 
 Z = 1.959963984540054
 COLORS = "WUBRG"
@@ -148,12 +149,23 @@ card_stats AS (SELECT card AS card_name, coalesce(p1p1_offered, 0) AS p1p1_offer
 """
 
 
-def _literal_cards() -> str:
-    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    many = lambda v: "NULL::VARCHAR[]" if v is None else "[" + ", ".join(map(text, v)) + "]::VARCHAR[]"
-    rows = ", ".join(f"({text(n)}, {many(c)}, {many(f)}, {text(m)}, {'NULL' if v is None else v}::DOUBLE, {text(t)}, {text(r)})" for n, c, f, m, v, t, r in SAMPLE_CARDS)
-    symbols = "list_filter(list_transform(string_split(replace(coalesce(cost, ''), '}', '{'), '{'), lambda x: trim(x)), lambda x: x <> '')"
-    return f"WITH lit(name, colors, face, cost, cmc, type_line, rarity) AS (VALUES {rows}), sym AS (SELECT *, {symbols} AS s FROM lit)"
+def _part_cards() -> str:
+    symbols = "list_filter(list_transform(string_split(replace(coalesce(mana_cost, ''), '}', '{'), '{'), lambda x: trim(x)), lambda x: x <> '')"
+    return f"WITH meta AS ({part_cards_sql('[{}]')}), sym AS (SELECT *, {symbols} AS s FROM meta)"
+
+
+def _sequence() -> str:
+    """The generator's words by its recurrence, 227 at a time, and the top bit of each number of two words."""
+    y = "y"
+    for shift in ("xor({}, {} >> 11)", "xor({}, ({} << 7) & 2636928640)", "xor({}, ({} << 15) & 4022730752)", "xor({}, {} >> 18)"):
+        y = shift.format(y, y)
+    mixed = "((w[k] & 2147483648) | (w[k + 1] & 2147483647))"
+    return f"""WITH RECURSIVE {FACTS}, size AS (SELECT count(*) AS n FROM drafts),
+gen AS (SELECT 0 AS i, {twister.seeded(SPLIT_SEED).tolist()}::UBIGINT[] AS w
+  UNION ALL SELECT i + 1, w[228:] || list_transform(range(1, 228), lambda k: xor(w[k + 397], xor({mixed} >> 1, (w[k + 1] & 1) * 2567483615::UBIGINT))) FROM gen, size WHERE i * 227 < 2 * n),
+words AS (SELECT (i - 1) * 227 + j AS place, w[398 + j] AS y FROM gen, range(227) r(j) WHERE i > 0),
+ids AS (SELECT draft_id, row_number() OVER (ORDER BY draft_id) - 1 AS position FROM drafts)
+SELECT draft_id, (({y}) >> 31)::BIGINT AS half FROM ids JOIN words ON place = 2 * position"""
 
 
 _Z = "greatest(coalesce(abs(v - b.mean) / sqrt((CASE WHEN se > 0 THEN se ELSE 1e-9 END) ** 2 + b.sd ** 2), 0), coalesce(abs(v - f.mean) / sqrt((CASE WHEN se > 0 THEN se ELSE 1e-9 END) ** 2 + f.sd ** 2), 0))"
@@ -301,8 +313,12 @@ r AS (SELECT *, rank() OVER (PARTITION BY metric, variant ORDER BY x) + (count(*
 SELECT a.metric, a.variant AS variant_a, b.variant AS variant_b, round(covar_pop(a.rk, b.rk) / nullif(stddev_pop(a.rk) * stddev_pop(b.rk), 0), 6) + 0.0 AS rho FROM r a JOIN r b ON a.metric = b.metric AND a.method = b.method AND a.variant < b.variant GROUP BY ALL""",
     "value_per_quanta": f"WITH {EFFECTS}, e AS (SELECT quantile_cont(se_late, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM effects), b AS (SELECT abs(late) AS size, se_late, CASE {' '.join(f'WHEN se_late < q[{i + 2}] THEN {i}' for i in range(4))} END AS bin FROM effects, e) SELECT bin::BIGINT AS bin, count(*) AS n, round(avg(se_late), 6) AS mean_x, round(avg(size), 6) AS mean_y, round(stddev_samp(size) / sqrt(count(*)), 6) AS sem_y FROM b WHERE bin IS NOT NULL GROUP BY bin",
     "set_summary": f"WITH {EFFECTS}, s AS (SELECT CASE WHEN no % 2 = 0 THEN 'EVN' ELSE 'ODD' END AS set_code, card_a, e.group_b FROM effects e JOIN cards ON card = card_a) SELECT set_code, count(*) AS n_pairs, count(DISTINCT card_a) AS n_cards, count(DISTINCT group_b) AS n_groups FROM s GROUP BY set_code UNION ALL SELECT 'All', count(*), count(DISTINCT card_a), count(DISTINCT group_b) FROM s",
-    "group_labels": f"{_literal_cards()} SELECT name, CASE WHEN len(coalesce(colors, face, [])) > 0 THEN array_to_string(coalesce(colors, face), '') ELSE 'C' END || '_' || CASE {' '.join(f'WHEN contains(type_line, {chr(39)}{t}{chr(39)}) THEN {chr(39)}{t}{chr(39)}' for t in ('Creature', 'Instant', 'Sorcery', 'Artifact', 'Enchantment', 'Land', 'Planeswalker'))} ELSE 'Other' END AS label FROM sym",
-    "mana_pips": f"{_literal_cards()} SELECT name, {', '.join(f'len(list_filter(flatten(list_transform(s, lambda x: string_split(x, {chr(39)}/{chr(39)}))), lambda x: x = {chr(39)}{c}{chr(39)}))::BIGINT AS pips_{c.lower()}' for c in COLORS)}, array_to_string(s, ' ') AS symbols FROM sym",
-    "mana_value": f"{_literal_cards()}, mv AS (SELECT *, coalesce(cmc, list_sum(list_transform(s, lambda x: coalesce(list_filter(list_transform(string_split(x, '/'), lambda y: try_cast(y AS DOUBLE)), lambda y: y IS NOT NULL)[1], CASE WHEN x = 'X' THEN 0.0 ELSE 1.0 END))), 0.0) AS mv FROM sym) SELECT name, round(mv, 6) AS mv, CASE WHEN mv BETWEEN 0 AND 1 THEN 'n_mv1' WHEN mv = 2 THEN 'n_mv2' WHEN mv = 3 THEN 'n_mv3' WHEN mv = 4 THEN 'n_mv4' WHEN mv = 5 THEN 'n_mv5' WHEN mv BETWEEN 6 AND 99 THEN 'n_mv6plus' END AS bucket, rarity IN ('rare', 'mythic') AS premium, contains(type_line, 'Land') AS land FROM mv",
-    "grid_decode": "SELECT range AS point, [50, 100, 200][(range // 8 % 3) + 1]::BIGINT AS trees, [5, 10, 20, 40][(range // 2 % 4) + 1]::BIGINT AS rate, [3, 5][(range % 2) + 1]::BIGINT AS depth FROM range(24)",
+    "group_labels": f"{_part_cards()} SELECT name, CASE WHEN len(coalesce(colors, face, []::VARCHAR[])) > 0 THEN array_to_string(coalesce(colors, face), '') ELSE 'C' END || '_' || CASE {' '.join(f'WHEN contains(type_line, {chr(39)}{t}{chr(39)}) THEN {chr(39)}{t}{chr(39)}' for t in ('Creature', 'Instant', 'Sorcery', 'Artifact', 'Enchantment', 'Land', 'Planeswalker'))} ELSE 'Other' END AS label FROM sym",
+    "mana_pips": f"{_part_cards()} SELECT name, {', '.join(f'len(list_filter(flatten(list_transform(s, lambda x: string_split(x, {chr(39)}/{chr(39)}))), lambda x: x = {chr(39)}{c}{chr(39)}))::BIGINT AS pips_{c.lower()}' for c in COLORS)}, array_to_string(s, ' ') AS symbols FROM sym",
+    "mana_value": f"{_part_cards()}, mv AS (SELECT *, coalesce(cmc, list_sum(list_transform(s, lambda x: coalesce(list_filter(list_transform(string_split(x, '/'), lambda y: try_cast(y AS DOUBLE)), lambda y: y IS NOT NULL)[1], CASE WHEN x = 'X' THEN 0.0 ELSE 1.0 END))), 0.0) AS mv FROM sym) SELECT name, round(mv, 6) AS mv, CASE WHEN mv BETWEEN 0 AND 1 THEN 'n_mv1' WHEN mv = 2 THEN 'n_mv2' WHEN mv = 3 THEN 'n_mv3' WHEN mv = 4 THEN 'n_mv4' WHEN mv = 5 THEN 'n_mv5' WHEN mv BETWEEN 6 AND 99 THEN 'n_mv6plus' END AS bucket, coalesce(rarity IN ('rare', 'mythic'), false) AS premium, contains(type_line, 'Land') AS land FROM mv",
+    "grid_decode": "SELECT p_partkey, p_partkey % 24 AS point, [50, 100, 200][(p_partkey % 24 // 8 % 3) + 1]::BIGINT AS trees, [5, 10, 20, 40][(p_partkey % 24 // 2 % 4) + 1]::BIGINT AS rate, [3, 5][(p_partkey % 24 % 2) + 1]::BIGINT AS depth FROM part",
+    "split_in_order": _sequence(),
 }
+
+#: A merged state gives what one pass gives.
+SQL["merged_effects"] = SQL["reference_effects"]

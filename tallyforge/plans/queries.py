@@ -5,15 +5,17 @@ Floating results are rounded to six digits, so that engines compare by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cards as C
-from ..operators import balance, boosted, cells, exclusion, facts, features, fdr, grams, iv, metrics, models, neighbours, resample
+from ..operators import balance, boosted, cells, exclusion, facts, features, fdr, grams, iv, metrics, models, neighbours, resample, state
 from ..operators.estimators import naive, ridge_imputation
-from ..sources.store import stored
+from ..sources import drafts
+from ..sources.store import shared_folder, stored
 from ..sources.tables import Facts, order_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +113,22 @@ def split_halves(x: Facts) -> DataFrame:
     return facts.drafts(x).select("draft_id", facts.split_half(F.col("draft_id"), SPLIT_SEED).alias("half"))
 
 
+@query
+def split_in_order(x: Facts) -> DataFrame:
+    """Halves from one sequential draw a draft, drafts in order of their ids."""
+    return facts.split_in_order(drafts.numbered(facts.drafts(x).select("draft_id"), "draft_id", "position"), SPLIT_SEED)
+
+
+@query
+def merged_effects(x: Facts) -> DataFrame:
+    """Effects and accounting of the state of three sources, put one by one and merged."""
+    path = f"{shared_folder(x.picks.sparkSession)}/iv-state-{uuid.uuid4().hex}"
+    for i in range(3):
+        mine = F.pmod("draft_id", F.lit(3)) == i
+        state.put(Facts(x.picks.where(mine), x.offers.where(mine), x.cards), path, f"part {i}")
+    return state.effects(state.merge(x.picks.sparkSession, path))
+
+
 @query
 def history_features(x: Facts) -> DataFrame:
     return features.history(x, facts.valid_of(x))
@@ -374,39 +392,46 @@ def set_summary(x: Facts) -> DataFrame:
     return metrics.set_summary(rows)
 
 
-#: name, colors, first face's colors, mana cost, cmc, type line, rarity.
-SAMPLE_CARDS = (
-    ("Ash, Herald", ("R", "W"), None, "{2}{R}{W}", 4.0, "Legendary Creature — Human", "mythic"),
-    ("Twin's Path", ("W", "U"), None, "{W/U}{W/U}", None, "Instant", "common"),
-    ("Phyre", ("W",), None, "{W/P}{X}", None, "Sorcery", "rare"),
-    ("Two-brid", ("W",), None, "{2/W}{2/W}", None, "Enchantment", "uncommon"),
-    ("Void Cog", (), None, "{C}{3}", 4.0, "Artifact Creature — Golem", "uncommon"),
-    ("Vale // Peak", None, ("G", "U"), "{1}{G}", 2.0, "Sorcery", "rare"),
-    ("Twin Vale", (), None, "", 0.0, "Land", "common"),
-    ("Old Sage", ("U",), None, "{10}{U}", None, "Planeswalker — Sage", "mythic"),
-    ("Odd Thing", None, None, None, None, "Conspiracy", "special"),
-)
+#: Card metadata of every part, by arithmetic on its key (k) and size (s); ``list(..)`` is the engine's array.
+_COLOR = "substring('WUBRG', cast(({}) % 5 as int) + 1, 1)"
+_W, _V = _COLOR.format("k"), _COLOR.format("k + s")
+
+
+def part_cards_sql(array: str) -> str:
+    """SQL for name, colors, face, mana_cost, cmc, type_line and rarity of every part; ``array`` writes an array, such as ``array({})``."""
+    several = lambda *x: array.format(", ".join(x))
+    none = f"cast({array.format('')} as {'array<string>' if array.startswith('array') else 'varchar[]'})"
+    types = " ".join(f"when {i} then '{t}'" for i, t in enumerate(drafts.TYPES))
+    return f"""SELECT name, CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN {none} WHEN 2 THEN {several(_W, _V)} ELSE {several(_W)} END AS colors,
+  CASE WHEN k % 3 = 0 THEN NULL ELSE {several(_V)} END AS face,
+  CASE s % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('{{', s, '}}{{', {_W}, '}}{{', {_V}, '}}') WHEN 3 THEN concat('{{', {_W}, '/', {_V}, '}}{{X}}') WHEN 4 THEN concat('{{2/', {_W}, '}}{{2/', {_W}, '}}')
+    WHEN 5 THEN concat('{{', {_W}, '/P}}{{C}}') ELSE concat('{{', s, '}} {{ ', {_V}, ' }}') END AS mana_cost,
+  CASE WHEN k % 4 = 0 THEN cast(s as double) / 4 END AS cmc, concat(p_type, ' ', CASE k % 8 {types} ELSE 'Conspiracy' END, CASE WHEN s % 9 = 0 THEN ' Creature' ELSE '' END) AS type_line,
+  CASE s % 5 WHEN 0 THEN 'common' WHEN 1 THEN 'uncommon' WHEN 2 THEN 'rare' WHEN 3 THEN 'mythic' END AS rarity
+FROM (SELECT concat(p_name, ' ', p_partkey) AS name, p_partkey AS k, p_size AS s, p_type FROM part)"""
 
 
-def sample_cards(spark: SparkSession) -> DataFrame:
-    rows = [(n, None if c is None else list(c), None if f is None else [(list(f),)], m, v, t, r) for n, c, f, m, v, t, r in SAMPLE_CARDS]
-    return spark.createDataFrame(rows, "name string, colors array<string>, card_faces array<struct<colors:array<string>>>, mana_cost string, cmc double, type_line string, rarity string")
+def part_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of every part, with the first face's colors in ``card_faces``."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("_tallyforge_part")
+    rows = spark.sql(part_cards_sql("array({})").replace("FROM part)", "FROM _tallyforge_part)"))
+    return rows.withColumn("card_faces", F.when(F.col("face").isNotNull(), F.array(F.struct(F.col("face").alias("colors")))))
 
 
 @plain
 def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_cards(spark).select("name", C.group_label(F.col("colors"), F.col("card_faces"), F.col("type_line")).alias("label"))
+    return part_cards(spark, sf_dir).select("name", C.group_label(F.col("colors"), F.col("card_faces"), F.col("type_line")).alias("label"))
 
 
 @plain
 def mana_pips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_cards(spark).select("name", *[C.pips(F.col("mana_cost"), c).alias(f"pips_{c.lower()}") for c in C.COLORS], F.array_join(C.mana_symbols(F.col("mana_cost")), " ").alias("symbols"))
+    return part_cards(spark, sf_dir).select("name", *[C.pips(F.col("mana_cost"), c).alias(f"pips_{c.lower()}") for c in C.COLORS], F.array_join(C.mana_symbols(F.col("mana_cost")), " ").alias("symbols"))
 
 
 @plain
 def mana_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = C.mana_value(F.col("cmc"), F.col("mana_cost"))
-    return sample_cards(spark).select("name", value.alias("mv"), C.mana_bucket(value).alias("bucket"), C.is_premium(F.col("rarity")).alias("premium"), C.has_type(F.col("type_line"), "Land").alias("land"))
+    return part_cards(spark, sf_dir).select("name", value.alias("mv"), C.mana_bucket(value).alias("bucket"), C.is_premium(F.col("rarity")).alias("premium"), C.has_type(F.col("type_line"), "Land").alias("land"))
 
 
 GRID_SPACE = {"trees": [50, 100, 200], "rate": [5, 10, 20, 40], "depth": [3, 5]}
@@ -414,10 +439,11 @@ GRID_SPACE = {"trees": [50, 100, 200], "rate": [5, 10, 20, 40], "depth": [3, 5]}
 
 @plain
 def grid_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full grid of a search space by mixed-radix digits."""
+    """For every part, the point of a search space that its key falls on, by mixed-radix digits."""
     columns, step = {}, 1
     for name in reversed(GRID_SPACE):
         values = GRID_SPACE[name]
-        digit = F.expr(f"(id div {step}) % {len(values)}").cast("int")
+        digit = F.expr(f"(point div {step}) % {len(values)}").cast("int")
         columns[name], step = F.element_at(F.array(*map(F.lit, values)), digit + 1), step * len(values)
-    return spark.range(step).select(F.col("id").alias("point"), *[columns[n].alias(n) for n in GRID_SPACE])
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % step).alias("point"))
+    return points.select("p_partkey", "point", *[columns[n].alias(n) for n in GRID_SPACE])

@@ -97,6 +97,17 @@ def save(df: DataFrame, path: str, kind: str, version: int, *, source: dict | No
     return load(spark, path, kind, version)
 
 
+def schema_of(what: dict) -> T.StructType:
+    """The schema that a manifest gives."""
+    return T.StructType.fromJson(what["schema"])
+
+
+def whole(spark: SparkSession, path: str, what: dict) -> None:
+    """Raises if the data of a manifest are not all there."""
+    if _files(spark, f"{path}/{what['data']}") != what["files"]:
+        raise CheckFailed(f"files of {path} are not those that were published")
+
+
 def load(spark: SparkSession, path: str, kind: str, version: int, *, schema: T.StructType | None = None) -> DataFrame:
     """The table, if it is whole and of this kind, version and, if given, schema; else ``CheckFailed``."""
     what = manifest(spark, path)
@@ -104,11 +115,10 @@ def load(spark: SparkSession, path: str, kind: str, version: int, *, schema: T.S
         raise CheckFailed(f"{path} holds no published table")
     if (what["kind"], what["version"]) != (kind, version):
         raise CheckFailed(f"{path} holds {what['kind']} of version {what['version']}, not {kind} of version {version}")
-    kept = T.StructType.fromJson(what["schema"])
+    kept = schema_of(what)
     if schema is not None and [(f.name, f.dataType) for f in kept] != [(f.name, f.dataType) for f in schema]:
         raise CheckFailed(f"{path} has columns {kept.simpleString()}, not {schema.simpleString()}")
-    if _files(spark, f"{path}/{what['data']}") != what["files"]:
-        raise CheckFailed(f"files of {path} are not those that were published")
+    whole(spark, path, what)
     return spark.read.schema(kept).parquet(f"{path}/{what['data']}")
 
 
