@@ -320,5 +320,7 @@ SELECT a.metric, a.variant AS variant_a, b.variant AS variant_b, round(covar_pop
     "split_in_order": _sequence(),
 }
 
+SQL["page_chain_cards"] = "SELECT p_name AS name, arg_max(p_partkey, (p_size % 2) * 1000000000000 + p_partkey) AS p_partkey FROM part GROUP BY p_name"
+
 #: A merged state gives what one pass gives.
 SQL["merged_effects"] = SQL["reference_effects"]

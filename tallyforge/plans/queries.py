@@ -8,13 +8,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cards as C
 from ..operators import balance, boosted, cells, exclusion, facts, features, fdr, grams, iv, metrics, models, neighbours, resample, state
 from ..operators.estimators import naive, ridge_imputation
-from ..sources import drafts
+from ..sources import drafts, pages
 from ..sources.store import shared_folder, stored
 from ..sources.tables import Facts, order_facts
 
@@ -447,3 +447,18 @@ def grid_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns[name], step = F.element_at(F.array(*map(F.lit, values)), digit + 1), step * len(values)
     points = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % step).alias("point"))
     return points.select("p_partkey", "point", *[columns[n].alias(n) for n in GRID_SPACE])
+
+
+PAGE_ROWS = 20
+
+
+@plain
+def page_chain_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries of linked pages of two sets, whose urls tell no order: the last part of every name."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name"), "p_partkey", (F.col("p_size") % 2).alias("set"), F.expr(f"p_partkey div {PAGE_ROWS}").alias("no"))
+    made = part.groupBy("set", "no").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "name"))).alias("data"))
+    # A page's link is the next number that its set has; a window a set over its thin table of numbers.
+    after = F.lead("no").over(Window.partitionBy("set").orderBy("no"))
+    links = made.select("set", "no", after.alias("then"))
+    url = lambda c: F.when(F.col(c).isNotNull(), F.md5(F.col(c).cast("string").cast("binary")))
+    return pages.cards(made.join(links, ["set", "no"]).select("set", url("no").alias("url"), url("then").alias("next_page"), "data"))

@@ -38,7 +38,7 @@ def values(df):
     return sorted([tuple(norm(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False)], key=str)
 
 
-QUICK = ("reference_effects", "iv_sufficient_stats", "pick_stats", "unknown_picks", "pack_length_hist", "draft_accounting", "history_features", "estimation_frame", "balance_smd", "exact_match_exclusion", "satt_offered", "match_cov_k3", "method_scores", "bh_reject", "bootstrap_intervals", "significance_matrix", "rank_spearman", "group_labels", "mana_pips", "mana_value", "grid_decode", "exclusion_summary", "rank_separation_fdr", "split_in_order", "merged_effects")
+QUICK = ("reference_effects", "iv_sufficient_stats", "pick_stats", "unknown_picks", "pack_length_hist", "draft_accounting", "history_features", "estimation_frame", "balance_smd", "exact_match_exclusion", "satt_offered", "match_cov_k3", "method_scores", "bh_reject", "bootstrap_intervals", "significance_matrix", "rank_spearman", "group_labels", "mana_pips", "mana_value", "grid_decode", "exclusion_summary", "rank_separation_fdr", "split_in_order", "merged_effects", "page_chain_cards")
 
 
 @pytest.mark.parametrize("name", QUICK)
