@@ -145,10 +145,11 @@ def pick_stats(facts: Facts) -> DataFrame:
     return out.select(F.col("card").alias("card_name"), *names).orderBy("card_name")
 
 
-def unknown_picks(picks: DataFrame, known: DataFrame) -> DataFrame:
-    """Picks of cards without a column, summed over scopes: a first pick counts twice, as in the audit it mirrors."""
+def unknown_picks(picks: DataFrame, known: DataFrame, *, top: int | None = None) -> DataFrame:
+    """Picks of cards without a column, summed over scopes: a first pick counts twice, as in the audit it mirrors. ``top``: only the commonest."""
     times = F.when((F.col("pick_no") == 0) & F.col("pack").between(0, 2), 2).otherwise(1)
-    return picks.join(F.broadcast(known.select("card")), "card", "left_anti").groupBy("card").agg(F.sum(times).alias("n")).orderBy(F.desc("n"), "card")
+    out = picks.join(F.broadcast(known.select("card")), "card", "left_anti").groupBy("card").agg(F.sum(times).alias("n")).orderBy(F.desc("n"), "card")
+    return out if top is None else out.limit(top)
 
 
 def treatment_selector(stats: DataFrame, *, least_picked: int = 500, most_ratio: float = 4.0) -> DataFrame:

@@ -19,20 +19,35 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def needs(df: DataFrame, *columns: str) -> None:
+    """Raises if ``df`` lacks columns."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"columns {missing} are missing")
+
+
 def enrich(pairs: DataFrame, estimates: DataFrame, *, require_finite: bool = False) -> DataFrame:
     """Pairs with every method's estimates, long; raises on missing or repeated pairs.
 
-    The checks count violations in one job each and bring one number to the driver.
+    A count of the pairs and one aggregate by method find all violations; a row a method comes to the driver.
     """
     keys = ["card_a", "group_b"]
+    needs(pairs, *keys)
+    needs(estimates, "method", *keys, "value")
     if clash := set(pairs.columns) & set(estimates.columns) - set(keys):
         raise ValueError(f"pairs and estimates share columns {sorted(clash)}")
-    if estimates.groupBy("method", *keys).count().where("count > 1").limit(1).count():
+    wanted = pairs.select(*keys).distinct()
+    given = estimates.groupBy("method", *keys).agg(F.count("*").alias("n"), F.count_if(~finite(F.col("value"))).alias("odd"))
+    marked = wanted.withColumn("wanted", F.lit(1)).join(given, keys, "full")
+    found = marked.groupBy("method").agg(F.count_if(F.col("n") > 1).alias("twice"), F.count("wanted").alias("covered"), F.sum("odd").alias("odd")).collect()
+    n_pairs = wanted.count()
+    # Pairs that no method has come under a null method.
+    bare = sum(r["covered"] for r in found if r["method"] is None)
+    seen = [r for r in found if r["method"] is not None]
+    if any(r["twice"] for r in seen):
         raise ValueError("a method has a pair twice")
-    wanted = pairs.select(*keys).distinct().crossJoin(F.broadcast(estimates.select("method").distinct()))
-    if wanted.join(estimates, ["method", *keys], "left_anti").limit(1).count():
+    if seen and (bare or any(r["covered"] < n_pairs for r in seen)):
         raise ValueError("a method lacks a pair")
-    if require_finite and estimates.where(~finite(F.col("value"))).limit(1).count():
+    if require_finite and any(r["odd"] for r in seen):
         raise ValueError("an estimate is not finite")
     return pairs.join(estimates, keys, "left")
 
@@ -90,7 +105,8 @@ def centred(rows: DataFrame) -> DataFrame:
 
 
 def method_scores(scoring: DataFrame) -> DataFrame:
-    """One row per method, best rmse first, undefined last."""
+    """One row per method, best rmse first, undefined last; missing columns raise."""
+    needs(scoring, "method", "value", "late", "se_late")
     sums = centred(usable(scoring)).groupBy("method").agg(*moment_columns(F.col("value"), F.col("centre")))
     out = sums.select("method", F.col("n").cast("long").alias("n_used"), F.col("ns").cast("long").alias("n_used_se"), *[c.alias(k) for k, c in from_moments().items()])
     return out.orderBy(F.asc_nulls_last("rmse"), "method")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import facts, iv, state
+from tallyforge.operators import facts, iv, metrics, state
 from tallyforge.sources import manifest
 from tallyforge.sources.tables import Facts, order_facts
 
@@ -53,3 +53,16 @@ def test_other_cards_are_refused(spark, x, tmp_path):
     state.put(Facts(less.picks, less.offers, x.cards.where("no > 3")), path, "b")
     with pytest.raises(manifest.CheckFailed):
         state.merge(spark, path)
+
+
+def test_coverage_of_methods(spark):
+    pairs = spark.createDataFrame([("a", "g"), ("b", "g")], "card_a string, group_b string")
+    of = lambda *rows: spark.createDataFrame(list(rows), "method string, card_a string, group_b string, value double")
+    assert metrics.enrich(pairs, of(("m", "a", "g", 1.0), ("m", "b", "g", None), ("m", "c", "g", 1.0))).count() == 2
+    for rows_, kind in (([("m", "a", "g", 1.0), ("o", "b", "g", 1.0)], {}), ([("m", "a", "g", 1.0), ("o", "a", "g", 1.0)], {}), ([("m", "a", "g", 1.0), ("m", "b", "g", 1.0), ("m", "b", "g", 1.0)], {}), ([("m", "a", "g", 1.0), ("m", "b", "g", None)], {"require_finite": True})):
+        with pytest.raises(ValueError):
+            metrics.enrich(pairs, of(*rows_), **kind)
+    with pytest.raises(ValueError, match="missing"):
+        metrics.method_scores(of(("m", "a", "g", 1.0)))
+    picks = spark.createDataFrame([(1, 0, 0, "x"), (1, 0, 1, "y"), (1, 0, 2, "k")], "draft_id long, pack int, pick_no int, card string")
+    assert [tuple(r) for r in facts.unknown_picks(picks, picks.where("card = 'k'").select("card"), top=1).collect()] == [("x", 2)]
