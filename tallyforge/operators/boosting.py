@@ -1,11 +1,11 @@
 """Gradient-boosted trees of all cards and groups at once, grown level by level from histograms.
 
 Rows are weighted cells: a card, covariates, a weight ``n`` and sums of targets ``s``. They are binned by
-weighted quantiles and packed into blocks of one card each (``packed``), as many tasks as the rows fill; a card may
-lie in any number of them. For each level of a tree every task sums counts and gradients of its blocks by
+weighted quantiles and packed into blocks of one card each (``packed``): two a card at least, and as many as
+blocks of ``ROOM`` bytes take. For each level of a tree every task sums counts and gradients of its blocks by
 card, target, node, column and bin; these sums meet by card and target, where the best split of each node
 is chosen. Only chosen splits, a few numbers a node, come to the driver. So no task holds a card, and what
-is shuffled depends on tasks, cards, targets and bins, not on rows.
+is shuffled depends on blocks, targets and bins, not on tasks or on rows.
 
 Fitted values are kept in the blocks and written every ``KEPT`` trees, so that plans and recomputation stay
 short. Rows of weight 0 ride along: they train nothing and get fitted values like all others.
@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +26,11 @@ from .learners import BINS, chosen_split, sigmoid
 
 #: Trees between two writings of the fitted values.
 KEPT = 10
+#: Bytes of a block, as numbers in memory.
+ROOM = 64 << 20
 #: Least weight of a row in the logistic loss, as in the plain version.
 LEAST_WEIGHT = 1e-6
-PACKED = "card_a string, bins binary, n binary, s binary, q binary, r binary, f binary"
+PACKED = "card_a string, block int, bins binary, n binary, s binary, q binary, r binary, f binary"
 
 
 @dataclass
@@ -70,14 +71,21 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)]).astype(np.uint8)
 
 
-def tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def numbered_blocks(rows: DataFrame, cards: list[str], row_bytes: int) -> dict[str, tuple[int, int]]:
+    """Per card the number of its first block and how many blocks it takes."""
+    sizes = dict(rows.groupBy("card_a").count().collect())
+    out, first = {}, 0
+    for card in sorted(cards):
+        many = max(2, -(-sizes[card] * row_bytes // ROOM))
+        out[card] = first, many
+        first += many
+    return out
 
 
 def packed(rows: DataFrame, names: tuple[str, ...], targets: list[str], edges: dict, base: dict) -> DataFrame:
-    """Blocks of rows of one card: bins, weights n and sums s to train on, weights q and sums r to apply to, fitted values f.
+    """Blocks of rows of one card.
 
+    A block has bins (a column's in one stretch), weights n and sums s to train on, weights q and sums r to apply to (empty where they are n and s), fitted values f.
     ``rows``: card_a, names, n, ``s_<target>`` and, if they differ, q and ``r_<target>``.
     """
     own = "q" in rows.columns
@@ -86,111 +94,171 @@ def packed(rows: DataFrame, names: tuple[str, ...], targets: list[str], edges: d
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges, base = known.value
         numbers = lambda pdf, columns: pdf[columns].to_numpy(dtype=float)
+        blocks: dict[tuple, list] = {}
         for pdf in batches:
-            out = []
-            for card, part in pdf.groupby("card_a"):
+            for (card, block), part in pdf.groupby(["card_a", "block"]):
                 n, s = numbers(part, ["n"]), numbers(part, [f"s_{t}" for t in targets])
-                q, r = (numbers(part, ["q"]), numbers(part, [f"r_{t}" for t in targets])) if own else (n, s)
-                f = np.repeat(base[card][None], len(part), axis=0)
-                out.append((card, *(v.tobytes() for v in (binned(numbers(part, list(names)), edges[card]), n, s, q, r, f))))
-            yield pd.DataFrame(out, columns=["card_a", "bins", "n", "s", "q", "r", "f"])
+                more = (numbers(part, ["q"]).tobytes(), numbers(part, [f"r_{t}" for t in targets]).tobytes()) if own else (b"", b"")
+                blocks.setdefault((card, block), []).append((binned(numbers(part, list(names)), edges[card]), n.tobytes(), s.tobytes(), *more, np.repeat(base[card][None], len(part), axis=0).tobytes()))
+        while blocks:
+            key, parts = blocks.popitem()
+            bins, *others = zip(*parts, strict=True)
+            yield pd.DataFrame([(*key, np.concatenate(bins).tobytes("F"), *map(b"".join, others))], columns=["card_a", "block", "bins", "n", "s", "q", "r", "f"])
 
-    fitted = rows.where(F.col("card_a").isin(*edges)) if edges else rows.limit(0)
-    # Small in bytes, long to work on: a fixed number of partitions keeps AQE from merging them into few tasks.
-    return stored(fitted.repartition(tasks(rows), "card_a", *names).sortWithinPartitions("card_a").mapInPandas(run, PACKED), "blocks")
+    if not edges:
+        return stored(rows.limit(0).mapInPandas(lambda batches: iter(()), PACKED), "blocks")
+    blocks = numbered_blocks(rows, list(edges), len(names) + 8 * (1 + 2 * len(targets) + (1 + len(targets)) * own))
+    first, many = (F.create_map(*[F.lit(x) for card, v in blocks.items() for x in (card, v[i])])[F.col("card_a")] for i in (0, 1))
+    # A block is a partition, however small: AQE would merge them, and they are long to work on.
+    fitted = rows.where(F.col("card_a").isin(*edges)).withColumn("block", (first + F.pmod(F.xxhash64(*names), many)).cast("int"))
+    dealt = fitted.repartitionById(sum(v[1] for v in blocks.values()), F.col("block"))
+    return stored(dealt.mapInPandas(run, PACKED), "blocks")
 
 
 def places(trees: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
     """The node of each row in each target's tree (target, node, 3), ``depth`` splits down at most; node i has the children 2i + 1 and 2i + 2."""
-    every, at = np.arange(len(trees)), np.arange(len(bins))[:, None]
-    node = np.zeros((len(bins), len(trees)), dtype=np.int64)
-    for _ in range(depth):
-        column = trees[every, node, 0].astype(np.int64)
-        node = np.where(column >= 0, 2 * node + 1 + (bins[at, column] > trees[every, node, 1]), node)
+    bins = np.asfortranarray(bins)
+    node = np.zeros((len(bins), len(trees)), dtype=np.int16, order="F")
+    for g, tree in enumerate(trees):
+        # Parents come before children, so a row goes down its whole way in one pass over the nodes.
+        for q in np.flatnonzero(tree[: (1 << depth) - 1, 0] >= 0):
+            node[:, g] += (node[:, g] == q) * ((bins[:, int(tree[q, 0])] > tree[q, 1]) + np.int16(q + 1))
     return node
 
 
 def added(f: np.ndarray, trees: np.ndarray, bins: np.ndarray, rate: float, depth: int) -> np.ndarray:
     """Fitted values with these trees (tree, target, node, 3) as well."""
-    f, every = f.copy(), np.arange(f.shape[1])
+    f, every, bins = f.copy(), np.arange(f.shape[1]), np.asfortranarray(bins)
     for tree in trees:
         f += rate * tree[every, places(tree, bins, depth), 2]
     return f
 
 
-def state(df: DataFrame, trees: dict[str, list[np.ndarray]]) -> DataFrame:
-    """card_a and the trees since the last writing, the one that grows last."""
-    return df.sparkSession.createDataFrame(pa.table({"card_a": pa.array(list(trees), pa.string()), "trees": pa.array([np.array(t).tobytes() for t in trees.values()], pa.binary())}))
+@dataclass
+class Shape:
+    """What trees of all cards have in common: ``offsets`` of the columns' bins, number of targets, settings, loss."""
+
+    offsets: np.ndarray
+    targets: int
+    settings: dict
+    binary: bool
+
+    @property
+    def tree(self) -> tuple[int, int, int]:
+        return self.targets, (2 << self.settings["depth"]) - 1, 3
+
+    def empty(self) -> np.ndarray:
+        tree = np.zeros(self.tree)
+        tree[:, :, 0] = -1
+        return tree
+
+    def read(self, b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """bins, n, s, f of a block."""
+        return np.frombuffer(b.bins, dtype=np.uint8).reshape(len(self.offsets) - 1, -1).T, np.frombuffer(b.n), np.frombuffer(b.s).reshape(-1, self.targets), np.frombuffer(b.f).reshape(-1, self.targets)
+
+    def added(self, f: np.ndarray, trees: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        return added(f, trees, bins, self.settings["rate"], self.settings["depth"])
+
+
+def histograms(shape: Shape, bins: np.ndarray, n: np.ndarray, s: np.ndarray, f: np.ndarray, tree: np.ndarray, level: int) -> np.ndarray:
+    """Counts, weights (logistic loss only) and gradients by target, kind, node of the level and bin."""
+    nodes, first, offsets = 1 << level, (1 << level) - 1, shape.offsets
+    if not n.all():
+        on = np.flatnonzero(n)
+        bins, n, s, f = np.asfortranarray(bins[on]), n[on], s[on], f[on]
+    at = places(tree, bins, level).astype(np.int64) - first
+    out = np.zeros((shape.targets, 3 if shape.binary else 2, nodes, int(offsets[-1])))
+    for g in range(shape.targets):
+        # Rows that stopped higher up are out.
+        node, on = at[:, g], slice(None)
+        if node.min(initial=0) < 0:
+            on = np.flatnonzero(node >= 0)
+            node = node[on]
+        m, own, fitted = n[on], s[on, g], f[on, g]
+        if shape.binary:
+            p = sigmoid(fitted)
+            kinds = m, m * np.maximum(p * (1 - p), LEAST_WEIGHT), own - m * p
+        else:
+            kinds = m, own - m * fitted
+        for j, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            slots = node * (b - a) + bins[on, j]
+            for i, v in enumerate(kinds):
+                out[g, i, :, a:b] = np.bincount(slots, weights=v, minlength=nodes * (b - a)).reshape(nodes, -1)
+    return out
 
 
-def advanced(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: tuple[int, int], width: int, rate: float, depth: int) -> DataFrame:
+def best_splits(shape: Shape, v: np.ndarray) -> np.ndarray:
+    """From one target's sums, for each node of a level: column (-1 for none), cut, value, values of the two children."""
+    n, w, wy = v[0], v[-2], v[-1]
+    offsets, leaf, nodes = shape.offsets, shape.settings["leaf"], len(n)
+    out = np.full((nodes, 5), -1.0)
+    for q in range(nodes):
+        one = slice(0, int(offsets[1]))
+        rows, mass, total = n[q, one].sum(), w[q, one].sum(), wy[q, one].sum()
+        out[q, 2] = total / mass if mass > 0 else 0.0
+        if rows < 2 * leaf or mass <= 0:
+            continue
+        # Running sums within each column; the last bin of a column is no cut.
+        left = [np.concatenate([np.cumsum(u[q, a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]) for u in (n, w, wy)]
+        ok = (left[0] >= leaf) & (rows - left[0] >= leaf) & (left[1] > 0) & (mass - left[1] > 0)
+        ok[offsets[1:] - 1] = False
+        gain = np.where(ok, left[2] ** 2 / np.where(ok, left[1], 1) + (total - left[2]) ** 2 / np.where(ok, mass - left[1], 1) - total**2 / mass, -1.0)
+        best = chosen_split(gain)
+        if best < 0:
+            continue
+        column = int(np.searchsorted(offsets, best, side="right")) - 1
+        out[q] = column, best - offsets[column], out[q, 2], left[2][best] / left[1][best], (total - left[2][best]) / (mass - left[1][best])
+    return out
+
+
+def put(tree: np.ndarray, best: np.ndarray, level: int) -> bool:
+    """Writes a level's splits into one target's tree (node, 3); whether there are any."""
+    if level == 0:
+        tree[0, 2] = best[0, 2]
+    for q in np.flatnonzero(best[:, 0] >= 0):
+        node = (1 << level) - 1 + q
+        tree[node, :2] = best[q, :2]
+        tree[2 * node + 1, 2], tree[2 * node + 2, 2] = best[q, 3:]
+    return bool((best[:, 0] >= 0).any())
+
+
+def advanced(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: Shape) -> DataFrame:
     """The blocks with the trees' steps in their fitted values, stored."""
+    known = blocks.sparkSession.sparkContext.broadcast({card: np.array(t) for card, t in trees.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            f = [
-                added(np.frombuffer(b.f).reshape(-1, shape[0]), np.frombuffer(b.trees).reshape(-1, *shape, 3), np.frombuffer(b.bins, dtype=np.uint8).reshape(-1, width), rate, depth).tobytes()
-                for b in pdf.itertuples()
-            ]
-            yield pdf.assign(f=f).drop(columns="trees")
+            f = []
+            for b in pdf.itertuples():
+                bins, _, _, fitted = shape.read(b)
+                f.append(shape.added(fitted, known.value[b.card_a], bins).tobytes())
+            yield pdf.assign(f=f)
 
-    return stored(blocks.join(state(blocks, trees), "card_a").mapInPandas(run, PACKED), "blocks")
+    return stored(blocks.mapInPandas(run, PACKED), "blocks")
 
 
-def splits(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: tuple[int, int], offsets: np.ndarray, settings: dict, level: int, *, binary: bool) -> dict[tuple[str, int], np.ndarray]:
-    """By card and target, for each node of a level: column (-1 for none), cut, value, values of the two children."""
-    width, total_bins, rate, depth, leaf = len(offsets) - 1, int(offsets[-1]), settings["rate"], settings["depth"], settings["leaf"]
-    nodes, first = 1 << level, (1 << level) - 1
-    form = (3 if binary else 2, nodes, total_bins)
+def splits(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: Shape, level: int) -> dict[tuple[str, int], np.ndarray]:
+    """``best_splits`` of a level by card and target; of the trees since the last writing the last one grows."""
+    known = blocks.sparkSession.sparkContext.broadcast({card: np.array(t) for card, t in trees.items()})
+    form = (3 if shape.binary else 2, 1 << level, int(shape.offsets[-1]))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for b in pdf.itertuples():
-                bins, n = np.frombuffer(b.bins, dtype=np.uint8).reshape(-1, width), np.frombuffer(b.n)
-                here = np.frombuffer(b.trees).reshape(-1, *shape, 3)
-                f, s = added(np.frombuffer(b.f).reshape(-1, shape[0]), here[:-1], bins, rate, depth), np.frombuffer(b.s).reshape(-1, shape[0])
-                flat = bins + offsets[:-1]
-                at = places(here[-1], bins, level) - first
-                if binary:
-                    p = sigmoid(f)
-                    weight, pull = n[:, None] * np.maximum(p * (1 - p), LEAST_WEIGHT), s - n[:, None] * p
-                else:
-                    weight, pull = None, s - n[:, None] * f
-                # One range of numbers for all targets, nodes and bins; rows that stopped higher up are out.
-                row, g = np.nonzero((at >= 0) & (n[:, None] != 0))
-                slots = (((g * nodes + at[row, g]) * total_bins)[:, None] + flat[row]).ravel()
-                count = lambda v: np.bincount(slots, weights=np.repeat(v, width), minlength=shape[0] * nodes * total_bins).reshape(shape[0], nodes, total_bins)  # noqa: E731, B023
-                mine = np.stack([count(v) for v in (n[row], *([] if weight is None else [weight[row, g]]), pull[row, g])], axis=1)
-                total[b.card_a] = total.get(b.card_a, 0) + mine
-        yield pd.DataFrame([(card, g, v[g].tobytes()) for card, v in total.items() for g in range(shape[0])], columns=["card_a", "g", "sums"])
+                bins, n, s, f = shape.read(b)
+                here = known.value[b.card_a]
+                total[b.card_a] = total.get(b.card_a, 0) + histograms(shape, bins, n, s, shape.added(f, here[:-1], bins), here[-1], level)
+        yield pd.DataFrame([(card, g, v[g].tobytes()) for card, v in total.items() for g in range(shape.targets)], columns=["card_a", "g", "sums"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = sum(np.frombuffer(b).reshape(form) for b in pdf["sums"])
-        n, w, wy = v[0], v[-2], v[-1]
-        out = np.full((nodes, 5), -1.0)
-        for q in range(nodes):
-            one = slice(0, int(offsets[1]))
-            rows, mass, total = n[q, one].sum(), w[q, one].sum(), wy[q, one].sum()
-            out[q, 2] = total / mass if mass > 0 else 0.0
-            if rows < 2 * leaf or mass <= 0:
-                continue
-            # Running sums within each column; the last bin of a column is no cut.
-            left = [np.concatenate([np.cumsum(u[q, a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]) for u in (n, w, wy)]
-            ok = (left[0] >= leaf) & (rows - left[0] >= leaf) & (left[1] > 0) & (mass - left[1] > 0)
-            ok[offsets[1:] - 1] = False
-            gain = np.where(ok, left[2] ** 2 / np.where(ok, left[1], 1) + (total - left[2]) ** 2 / np.where(ok, mass - left[1], 1) - total**2 / mass, -1.0)
-            best = chosen_split(gain)
-            if best < 0:
-                continue
-            column = int(np.searchsorted(offsets, best, side="right")) - 1
-            out[q] = column, best - offsets[column], out[q, 2], left[2][best] / left[1][best], (total - left[2][best]) / (mass - left[1][best])
-        return pd.DataFrame({"card_a": [pdf["card_a"].iloc[0]], "g": [int(pdf["g"].iloc[0])], "best": [out.tobytes()]})
-
-    found = blocks.select("card_a", "bins", "n", "s", "f").join(state(blocks, trees), "card_a").mapInPandas(sums, "card_a string, g int, sums binary")
-    many = min(tasks(blocks), len(trees) * shape[0])
+        best = best_splits(shape, sum(np.frombuffer(b).reshape(form) for b in pdf["sums"]))
+        return pd.DataFrame({"card_a": [pdf["card_a"].iloc[0]], "g": [int(pdf["g"].iloc[0])], "best": [best.tobytes()]})
+
+    found = blocks.select("card_a", "bins", "n", "s", "f").mapInPandas(sums, "card_a string, g int, sums binary")
+    many = min(blocks.sparkSession.sparkContext.defaultParallelism, len(trees) * shape.targets)
     rows = found.repartition(many, "card_a", "g").groupBy("card_a", "g").applyInPandas(choose, "card_a string, g int, best binary").collect()
-    return {(r["card_a"], r["g"]): np.frombuffer(bytes(r["best"])).reshape(nodes, 5) for r in rows}
+    return {(r["card_a"], r["g"]): np.frombuffer(bytes(r["best"])).reshape(-1, 5) for r in rows}
 
 
 def boosted(rows: DataFrame, names: tuple[str, ...], targets: list[str], settings: dict, *, binary: bool = False, keep: bool = False) -> Boosting:
@@ -200,38 +268,26 @@ def boosted(rows: DataFrame, names: tuple[str, ...], targets: list[str], setting
     as many as cards times targets times trees. Cards without a row of weight are left out.
     """
     edges, base = started(rows, names, targets, binary=binary)
-    blocks, depth = packed(rows, names, targets, edges, base), settings["depth"]
+    blocks = packed(rows, names, targets, edges, base)
     out = Boosting(names, settings, binary, blocks, edges, base)
     if not edges:
         return out
     # Bins are numbered alike for all cards, as many a column as the card with most has.
     offsets = np.cumsum([0, *(max(len(e[i]) for e in edges.values()) + 1 for i in range(len(names)))])
-    shape = (len(targets), (2 << depth) - 1)
+    shape = Shape(offsets, len(targets), settings, binary)
     every: dict[str, list[np.ndarray]] = {card: [] for card in edges}
     pending: dict[str, list[np.ndarray]] = {card: [] for card in edges}
     for number in range(settings["trees"]):
         for card in pending:
-            tree = np.zeros((*shape, 3))
-            tree[:, :, 0] = -1
-            pending[card].append(tree)
-        for level in range(depth):
-            grown = False
-            for (card, g), best in splits(blocks, pending, shape, offsets, settings, level, binary=binary).items():
-                tree = pending[card][-1][g]
-                if level == 0:
-                    tree[0, 2] = best[0, 2]
-                for q in np.flatnonzero(best[:, 0] >= 0):
-                    node = (1 << level) - 1 + q
-                    tree[node, :2] = best[q, :2]
-                    tree[2 * node + 1, 2], tree[2 * node + 2, 2] = best[q, 3:]
-                    grown = True
-            if not grown:
+            pending[card].append(shape.empty())
+        for level in range(settings["depth"]):
+            if not any([put(pending[card][-1][g], best, level) for (card, g), best in splits(blocks, pending, shape, level).items()]):
                 break
         if keep:
             for card in every:
                 every[card].append(pending[card][-1])
         if len(next(iter(pending.values()))) == KEPT or number == settings["trees"] - 1:
-            blocks = advanced(blocks, pending, shape, len(names), settings["rate"], depth)
+            blocks = advanced(blocks, pending, shape)
             pending = {card: [] for card in edges}
     out.blocks = blocks
     if keep:
@@ -273,7 +329,7 @@ def residuals(fit: Boosting, targets: list[str]) -> DataFrame:
         out: dict[str, np.ndarray] = {}
         for pdf in batches:
             for b in pdf.itertuples():
-                q, r, f = np.frombuffer(b.q), np.frombuffer(b.r).reshape(-1, groups), np.frombuffer(b.f).reshape(-1, groups)
+                q, r, f = np.frombuffer(b.q or b.n), np.frombuffer(b.r or b.s).reshape(-1, groups), np.frombuffer(b.f).reshape(-1, groups)
                 # Treated rows train nothing; they are told from controls by that.
                 for side, on in enumerate((np.frombuffer(b.n) > 0, np.frombuffer(b.n) == 0)):
                     sums = out.setdefault(b.card_a, np.zeros((2, groups + 1)))

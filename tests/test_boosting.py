@@ -82,3 +82,20 @@ def test_no_task_holds_a_card(frame):
     assert table.agg(F.sum("n")).first()[0] == frame.where("T = 0 and card_a <> 'c'").count()
     fit = boosting.boosted(rows_of(frame, False)[0], CORE, ["g", "h"], {"trees": 1, "rate": 0.1, "depth": 1, "leaf": 5})
     assert fit.blocks.where("card_a = 'a'").count() > 1
+
+
+def test_blocks_follow_the_rows_not_the_partitions(spark, monkeypatch, frame):
+    """Few rows make two blocks a card, however many partitions a shuffle has; more rows make more, with the same trees."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    rows, targets = rows_of(frame, False)
+    found = []
+    try:
+        for partitions, room in ((37, boosting.ROOM), (4, 5_000)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            monkeypatch.setattr(boosting, "ROOM", room)
+            found.append(boosting.boosted(rows, CORE, targets, PROFILES["gbm_y"], keep=True))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    few, many = (f.blocks.groupBy("card_a").count().toPandas().set_index("card_a")["count"] for f in found)
+    assert (few == 2).all() and (many > 2).any()
+    assert all(np.allclose(found[0].trees[card], t) for card, t in found[1].trees.items())
