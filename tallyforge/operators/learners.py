@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
 #: Bins of a column at most.
 BINS = 65
+#: Rows that a net scores at once.
+SCORED = 8192
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -175,6 +179,54 @@ class Forest:
         return n / max(1, n.sum())
 
 
+class Coded:
+    """A matrix kept as codes into each column's distinct values, taken in batches of rows: a byte a number where a column has few."""
+
+    def __init__(self, width: int):
+        self.levels, self.codes, self.parts = [np.empty(0)] * width, [np.empty(0, dtype=np.uint8)] * width, [[] for _ in range(width)]
+
+    def add(self, rows: np.ndarray) -> None:
+        for column, parts in zip(rows.T, self.parts, strict=True):
+            levels, codes = np.unique(column, return_inverse=True)
+            parts.append((levels, codes.astype(np.min_scalar_type(max(1, len(levels))))))
+
+    def done(self, order: np.ndarray | None = None) -> Coded:
+        """All batches under one list of values a column, in this order of rows."""
+        for j, parts in enumerate(self.parts):
+            if parts:
+                self.levels[j] = np.unique(np.concatenate([levels for levels, _ in parts]))
+                kind = np.min_scalar_type(max(1, len(self.levels[j])))
+                codes = np.concatenate([np.searchsorted(self.levels[j], levels).astype(kind)[codes] for levels, codes in parts])
+                self.codes[j] = codes if order is None else codes[order]
+                parts.clear()
+        return self
+
+    def __len__(self) -> int:
+        return len(self.codes[0])
+
+    def column(self, j: int) -> np.ndarray:
+        return self.levels[j][self.codes[j]]
+
+    def __getitem__(self, rows) -> np.ndarray:
+        return np.array([levels[codes[rows]] for levels, codes in zip(self.levels, self.codes, strict=True)]).T
+
+    def scaled(self) -> tuple[Coded, np.ndarray, np.ndarray]:
+        """Columns to mean 0 and deviation 1 (constant ones to 0), and what was taken off and divided by; codes are shared."""
+        out, moments = Coded(len(self.levels)), [((c := self.column(j)).mean(), c.std()) for j in range(len(self.levels))]
+        mean, sd = (np.array(m) for m in zip(*moments, strict=True))
+        sd = np.where(sd > 1e-12, sd, 1.0)
+        out.codes, out.levels = self.codes, [(v - m) / d for v, m, d in zip(self.levels, mean, sd, strict=True)]
+        return out, mean, sd
+
+
+def coded(x: np.ndarray | Coded) -> Coded:
+    if isinstance(x, Coded):
+        return x
+    out = Coded(x.shape[1])
+    out.add(x)
+    return out.done()
+
+
 class ThreeHeads:
     """Two shared layers, a treatment head and two outcome heads, several outcomes at once.
 
@@ -188,21 +240,17 @@ class ThreeHeads:
         self.trunk, self.head, self.epochs, self.rate, self.least_rate = trunk, head, epochs, rate, least_rate
         self.plateau, self.patience, self.batch, self.share, self.clip, self.seed = plateau, patience, batch, share, clip, seed
 
-    def fit(self, x: np.ndarray, t: np.ndarray, y: np.ndarray) -> ThreeHeads:
+    def fit(self, x: np.ndarray | Coded, t: np.ndarray, y: np.ndarray | Coded) -> ThreeHeads:
         rng = np.random.default_rng(self.seed)
-        self.mean, sd = x.mean(axis=0), x.std(axis=0)
-        self.sd = np.where(sd > 1e-12, sd, 1.0)
-        self.y_mean, y_sd = y.mean(axis=0), y.std(axis=0)
-        self.y_sd = np.where(y_sd > 1e-12, y_sd, 1.0)
-        z, v = (x - self.mean) / self.sd, (y - self.y_mean) / self.y_sd
-        h, g, k = self.trunk, self.head, y.shape[1]
-        shapes = {"a": (x.shape[1], h), "b": (h, h), "p": (h, 1), "g0": (h, g), "m0": (g, k), "g1": (h, g), "m1": (g, k)}
+        (z, self.mean, self.sd), (v, self.y_mean, self.y_sd) = coded(x).scaled(), coded(y).scaled()
+        h, g, k = self.trunk, self.head, len(self.y_mean)
+        shapes = {"a": (len(self.mean), h), "b": (h, h), "p": (h, 1), "g0": (h, g), "m0": (g, k), "g1": (h, g), "m1": (g, k)}
         self.w = {n: rng.standard_normal(s) * np.sqrt(2 / s[0]) for n, s in shapes.items()} | {f"{n}_": np.zeros(s[1]) for n, s in shapes.items()}
         held = np.zeros(len(t), dtype=bool)
         for arm in (0, 1):
             at = rng.permutation(np.nonzero(t == arm)[0])
             held[at[: max(1, round(self.share * len(at)))]] = True
-        train, first, second = np.nonzero(~held)[0], {n: 0.0 for n in self.w}, {n: 0.0 for n in self.w}
+        train, test, first, second = np.nonzero(~held)[0], np.nonzero(held)[0], {n: 0.0 for n in self.w}, {n: 0.0 for n in self.w}
         kept, waited, step, self.lr = self.w, 0, 0, self.rate
         self.best_loss, self.best_epoch, self.drops, self.train_first, self.train_best = np.inf, 0, 0, np.nan, np.inf
         for self.epochs_run in range(1, self.epochs + 1):
@@ -217,7 +265,7 @@ class ThreeHeads:
                     first[n] = 0.9 * first[n] + 0.1 * q
                     second[n] = 0.999 * second[n] + 0.001 * q * q
                     self.w[n] = self.w[n] - self.lr * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
-            fitted, loss = self._loss(z[train], t[train], v[train]), self._loss(z[held], t[held], v[held])
+            fitted, loss = self._loss(z, t, v, train), self._loss(z, t, v, test)
             self.train_first = fitted if self.epochs_run == 1 else self.train_first
             if not np.isfinite(loss):
                 break
@@ -231,8 +279,13 @@ class ThreeHeads:
                 break
         self.diverged = not np.isfinite(loss)
         self.w = kept
-        nothing = np.zeros_like(v[held])
-        self.trivial_loss = self._loss_of(np.full(held.sum(), t[~held].mean()), nothing, nothing, t[held], v[held])
+        usual = t[train].mean()
+
+        def trivial(rows: np.ndarray) -> float:
+            nothing = np.zeros((len(rows), k))
+            return self._loss_of(np.full(len(rows), usual), nothing, nothing, t[rows], v[rows])
+
+        self.trivial_loss = self._mean_loss(trivial, test)
         # A net that cannot beat the mean outcome and the mean treatment says nothing.
         self.degenerate = not self.best_loss < self.trivial_loss * 1.02
         self.useful = not (self.degenerate or self.diverged)
@@ -264,9 +317,17 @@ class ThreeHeads:
         own = np.where(t[:, None] == 1, m1, m0)
         return float(((own - v) ** 2).mean() - (t * np.log(p) + (1 - t) * np.log(1 - p)).mean())
 
-    def _loss(self, z, t, v) -> float:
-        out = self._forward(z)
-        return self._loss_of(out["p"], out["m0"], out["m1"], t, v)
+    def _loss(self, z: Coded, t: np.ndarray, v: Coded, rows: np.ndarray) -> float:
+        def loss(some: np.ndarray) -> float:
+            out = self._forward(z[some])
+            return self._loss_of(out["p"], out["m0"], out["m1"], t[some], v[some])
+
+        return self._mean_loss(loss, rows)
+
+    @staticmethod
+    def _mean_loss(loss: Callable[[np.ndarray], float], rows: np.ndarray) -> float:
+        """The mean over rows, ``SCORED`` at a time."""
+        return sum(loss(some := rows[a : a + SCORED]) * len(some) for a in range(0, len(rows), SCORED)) / len(rows)
 
     def _gradients(self, z, t, v) -> dict[str, np.ndarray]:
         out, grads = self._forward(z), {}
