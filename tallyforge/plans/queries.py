@@ -257,7 +257,7 @@ for _name in (*models.ESTIMATORS, *models.NETS):
 
 @query
 def propensity_diagnostics(x: Facts) -> DataFrame:
-    return models.propensity_diagnostics(features.frame(x, features.groups_of(x)))
+    return models.propensity_diagnostics(cells.from_facts(x, features.groups_of(x)))
 
 
 @query
