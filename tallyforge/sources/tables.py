@@ -37,12 +37,17 @@ class Facts:
 
 
 def order_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thirty purchases of each customer."""
+    """The first thirty purchases of each customer.
+
+    Of two lines equal in order, line number and part either may come first, since they are the same card: what else
+    the lines hold need not be shuffled.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    rn = F.row_number().over(order) - 1
-    numbered = rows.select(F.col("o_custkey").alias("draft_id"), rn.alias("rn"), F.col("p_brand").alias("card")).where(F.col("rn") < 3 * PACK_SIZE)
+    rows = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    # Named before the shuffle, so that what follows by draft needs no other.
+    rows = rows.select(F.col("o_custkey").alias("draft_id"), "o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", F.col("p_brand").alias("card"))
+    order = Window.partitionBy("draft_id").orderBy("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey")
+    numbered = rows.select("draft_id", (F.row_number().over(order) - 1).alias("rn"), "card").where(F.col("rn") < 3 * PACK_SIZE)
     return numbered.select("draft_id", F.expr(f"rn div {PACK_SIZE}").cast("int").alias("pack"), (F.col("rn") % PACK_SIZE).cast("int").alias("pick_no"), "card")
 
 
@@ -51,6 +56,12 @@ def pack_offers(picks: DataFrame) -> DataFrame:
     return picks.groupBy("draft_id", "pack", "card").agg(F.count("*").alias("n_first"), (F.max("pick_no") + 1).cast("long").alias("n_rows"))
 
 
+def shown(picks: DataFrame) -> DataFrame:
+    """Picks with ``pack_offers`` of their card beside them, ``once`` in a pack: where picks lie by draft, nothing is shuffled."""
+    same = Window.partitionBy("draft_id", "pack", "card")
+    return picks.withColumns({"n_first": F.count("*").over(same), "n_rows": (F.max("pick_no").over(same) + 1).cast("long"), "once": F.col("pick_no") == F.min("pick_no").over(same)})
+
+
 def brand_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card attributes: group, color flags and pips, mana value, rarity, land and creature flags."""
     no = F.col("no")
@@ -71,6 +82,8 @@ def order_facts(spark: SparkSession, sf_dir: str) -> Facts:
     """The facts, built once per state of the tables and stored: every operator reads them several times."""
     key = (spark.sparkContext.applicationId, sf_dir, *(changed_at(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part")))
     if key not in _BUILT:
-        picks = stored(order_picks(spark, sf_dir), "picks")
-        _BUILT[key] = Facts(picks, stored(pack_offers(picks), "offers"), stored(brand_cards(spark, sf_dir), "cards"))
+        # One shuffle, by customer, gives both tables.
+        both = stored(shown(order_picks(spark, sf_dir)), "picks")
+        offers = both.where("once").select("draft_id", "pack", "card", "n_first", "n_rows")
+        _BUILT[key] = Facts(both.select("draft_id", "pack", "pick_no", "card"), offers, stored(brand_cards(spark, sf_dir), "cards"))
     return _BUILT[key]
