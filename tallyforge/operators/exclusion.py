@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cards import COLORS
 from ..functions.stats import ratio
+from ..sources.store import stored
 from ..sources.tables import Facts
 from .facts import arms
 from .features import CORE, card_colors, per_draft, relative
@@ -36,8 +37,11 @@ def sparse_buckets(facts: Facts, groups: list[str], core: tuple[str, ...] = CORE
     untaken = F.col("arm").isin("s0", "m0")
     sums = [e for g in groups for e in (F.sum(F.when(untaken, F.col(f"Y_{g}"))).alias(f"s1_{g}"), F.sum(F.when(untaken, F.col(f"Y_{g}") * F.col(f"Y_{g}"))).alias(f"q1_{g}"), F.sum(f"Y_{g}").alias(f"out_{g}"))]
     marked = relative(marked).fillna(0.0, list(core)).groupBy("card_a", *flags, *core).agg(F.count_if(untaken).alias("n1"), F.count("*").alias("n_out"), *sums)
+    # Both are read twice; so each is aggregated and shuffled once.
+    marked = stored(marked, "marked")
     met = marked.where("n1 > 0").join(total, [*flags, *core])
     met = met.select("card_a", *core, "n1", (F.col("n_all") - F.col("n_out")).alias("n0"), *[c for g in groups for c in (f"s1_{g}", (F.col(f"all_{g}") - F.col(f"out_{g}")).alias(f"s0_{g}"), f"q1_{g}")])
+    met = stored(met, "met")
     # One row a card for what no bucket above holds: all valid drafts less the card's own less those in the buckets.
     inside = met.groupBy("card_a").agg(F.sum("n0").alias("met"))
     outside = marked.groupBy("card_a").agg(F.sum("n_out").alias("n_out"))
