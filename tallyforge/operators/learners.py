@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
 
 #: Bins of a column at most.
 BINS = 65
+#: Numbers that a tree counts at once.
+COUNTED = 1 << 20
 #: Rows that a net scores at once.
 SCORED = 8192
 
@@ -23,6 +25,70 @@ def chosen_split(gain: np.ndarray) -> int:
     return int(np.argmax(gain.ravel() >= best * (1 - 1e-9))) if best > 1e-12 else -1
 
 
+class Coded:
+    """A matrix kept as codes into each column's distinct values, taken in batches of rows: a byte a number where a column has few."""
+
+    def __init__(self, width: int):
+        self.levels, self.codes, self.parts = [np.empty(0)] * width, [np.empty(0, dtype=np.uint8)] * width, [[] for _ in range(width)]
+
+    def add(self, rows: np.ndarray) -> None:
+        for column, parts in zip(rows.T, self.parts, strict=True):
+            levels, codes = np.unique(column, return_inverse=True)
+            parts.append((levels, codes.astype(np.min_scalar_type(max(1, len(levels))))))
+
+    def done(self, order: np.ndarray | None = None) -> Coded:
+        """All batches under one list of values a column, in this order of rows."""
+        for j, parts in enumerate(self.parts):
+            if parts:
+                self.levels[j] = np.unique(np.concatenate([levels for levels, _ in parts]))
+                kind = np.min_scalar_type(max(1, len(self.levels[j])))
+                codes = np.concatenate([np.searchsorted(self.levels[j], levels).astype(kind)[codes] for levels, codes in parts])
+                self.codes[j] = codes if order is None else codes[order]
+                parts.clear()
+        return self
+
+    def __len__(self) -> int:
+        return len(self.codes[0])
+
+    def column(self, j: int) -> np.ndarray:
+        return self.levels[j][self.codes[j]]
+
+    def __getitem__(self, rows) -> np.ndarray:
+        return np.array([levels[codes[rows]] for levels, codes in zip(self.levels, self.codes, strict=True)]).T
+
+    def take(self, rows: np.ndarray) -> Coded:
+        """Some rows, coded still."""
+        out = Coded(len(self.levels))
+        out.levels, out.codes = self.levels, [codes[rows] for codes in self.codes]
+        return out
+
+    def select(self, columns: list[int]) -> Coded:
+        """Some columns; codes are shared."""
+        out = Coded(len(columns))
+        out.levels, out.codes = [self.levels[j] for j in columns], [self.codes[j] for j in columns]
+        return out
+
+    def scaled(self) -> tuple[Coded, np.ndarray, np.ndarray]:
+        """Columns to mean 0 and deviation 1 (constant ones to 0), and what was taken off and divided by; codes are shared."""
+        out, moments = Coded(len(self.levels)), [((c := self.column(j)).mean(), c.std()) for j in range(len(self.levels))]
+        mean, sd = (np.array(m) for m in zip(*moments, strict=True))
+        sd = np.where(sd > 1e-12, sd, 1.0)
+        out.codes, out.levels = self.codes, [(v - m) / d for v, m, d in zip(self.levels, mean, sd, strict=True)]
+        return out, mean, sd
+
+
+def coded(x: np.ndarray | Coded) -> Coded:
+    if isinstance(x, Coded):
+        return x
+    out = Coded(x.shape[1])
+    out.add(x)
+    return out.done()
+
+
+def columns_of(x: np.ndarray | Coded) -> Iterable[np.ndarray]:
+    return (x.column(j) for j in range(len(x.levels))) if isinstance(x, Coded) else iter(x.T)
+
+
 class Logit:
     """L2 logistic regression on scaled columns; ``c`` is the inverse strength."""
 
@@ -57,22 +123,26 @@ class Tree:
 
     def fit(self, bins: np.ndarray, target: np.ndarray, weight: np.ndarray, rng: np.random.Generator | None = None) -> Tree:
         self.nodes: list[tuple] = []
-        # Bins of all columns in one range of numbers: one count serves every column.
-        flat = bins + BINS * np.arange(bins.shape[1])
-        self._grow(flat, target, weight, np.arange(len(bins)), 0, rng)
+        self._grow(np.asfortranarray(bins), target, weight, np.arange(len(bins)), 0, rng)
         return self
 
-    def _grow(self, flat, target, weight, at, depth, rng) -> int:
+    def _grow(self, bins, target, weight, at, depth, rng) -> int:
         me = len(self.nodes)
-        w, width = weight[at], flat.shape[1]
+        w, width = weight[at], bins.shape[1]
         wy = w * target[at]
         total, mass = wy.sum(), w.sum()
         self.nodes.append((-1, 0, total / mass if mass > 0 else 0.0, 0, 0))
         if depth == self.depth or len(at) < 2 * self.leaf or mass <= 0:
             return me
-        rows = flat[at].ravel()
-        left = lambda v: np.cumsum(np.bincount(rows, weights=None if v is None else np.repeat(v, width), minlength=BINS * width).reshape(width, BINS), axis=1)[:, :-1]
-        n, lw, ls = left(None), left(w), left(wy)
+        # Few columns at a time where rows are many: nothing is as wide as the rows but their bins, a byte each.
+        n, lw, ls = left = np.empty((3, width, BINS - 1))
+        step = max(1, COUNTED // len(at))
+        for j in range(0, width, step):
+            some = bins[:, j : j + step][at]
+            k = some.shape[1]
+            slots = (some + BINS * np.arange(k)).ravel()
+            for out, v in zip(left, (None, w, wy), strict=True):
+                out[j : j + k] = np.cumsum(np.bincount(slots, weights=None if v is None else np.repeat(v, k), minlength=BINS * k).reshape(k, BINS), axis=1)[:, :-1]
         ok = (n >= self.leaf) & (len(at) - n >= self.leaf) & (lw > 0) & (mass - lw > 0)
         if self.columns < 1 and rng is not None:
             out = rng.permutation(width)[max(1, int(self.columns * width)) :]
@@ -82,15 +152,15 @@ class Tree:
         if best < 0:
             return me
         j, cut = divmod(best, BINS - 1)
-        low = flat[at, j] - BINS * j <= cut
-        a = self._grow(flat, target, weight, at[low], depth + 1, rng)
-        b = self._grow(flat, target, weight, at[~low], depth + 1, rng)
+        low = bins[:, j].take(at) <= cut
+        a = self._grow(bins, target, weight, at[low], depth + 1, rng)
+        b = self._grow(bins, target, weight, at[~low], depth + 1, rng)
         self.nodes[me] = (j, cut, self.nodes[me][2], a, b)
         return me
 
     def apply(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
-        out = np.zeros(len(bins), dtype=np.int64)
+        out, bins = np.zeros(len(bins), dtype=np.int32), np.asfortranarray(bins)
         todo = [(0, np.arange(len(bins)))]
         while todo:
             node, at = todo.pop()
@@ -98,7 +168,7 @@ class Tree:
             if j < 0 or not len(at):
                 out[at] = node
                 continue
-            left = bins[at, j] <= cut
+            left = bins[:, j].take(at) <= cut
             todo += [(a, at[left]), (b, at[~left])]
         return out
 
@@ -109,11 +179,14 @@ class Tree:
 class Binner:
     """Columns to quantile bins."""
 
-    def __init__(self, x: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in x.T]
+    def __init__(self, x: np.ndarray | Coded):
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in columns_of(x)]
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)])
+    def __call__(self, x: np.ndarray | Coded) -> np.ndarray:
+        out = np.empty((len(x), len(self.edges)), dtype=np.uint8, order="F")
+        for j, (e, c) in enumerate(zip(self.edges, columns_of(x), strict=True)):
+            out[:, j] = np.searchsorted(e, c, side="left")
+        return out
 
 
 class Boosted:
@@ -179,54 +252,6 @@ class Forest:
         return n / max(1, n.sum())
 
 
-class Coded:
-    """A matrix kept as codes into each column's distinct values, taken in batches of rows: a byte a number where a column has few."""
-
-    def __init__(self, width: int):
-        self.levels, self.codes, self.parts = [np.empty(0)] * width, [np.empty(0, dtype=np.uint8)] * width, [[] for _ in range(width)]
-
-    def add(self, rows: np.ndarray) -> None:
-        for column, parts in zip(rows.T, self.parts, strict=True):
-            levels, codes = np.unique(column, return_inverse=True)
-            parts.append((levels, codes.astype(np.min_scalar_type(max(1, len(levels))))))
-
-    def done(self, order: np.ndarray | None = None) -> Coded:
-        """All batches under one list of values a column, in this order of rows."""
-        for j, parts in enumerate(self.parts):
-            if parts:
-                self.levels[j] = np.unique(np.concatenate([levels for levels, _ in parts]))
-                kind = np.min_scalar_type(max(1, len(self.levels[j])))
-                codes = np.concatenate([np.searchsorted(self.levels[j], levels).astype(kind)[codes] for levels, codes in parts])
-                self.codes[j] = codes if order is None else codes[order]
-                parts.clear()
-        return self
-
-    def __len__(self) -> int:
-        return len(self.codes[0])
-
-    def column(self, j: int) -> np.ndarray:
-        return self.levels[j][self.codes[j]]
-
-    def __getitem__(self, rows) -> np.ndarray:
-        return np.array([levels[codes[rows]] for levels, codes in zip(self.levels, self.codes, strict=True)]).T
-
-    def scaled(self) -> tuple[Coded, np.ndarray, np.ndarray]:
-        """Columns to mean 0 and deviation 1 (constant ones to 0), and what was taken off and divided by; codes are shared."""
-        out, moments = Coded(len(self.levels)), [((c := self.column(j)).mean(), c.std()) for j in range(len(self.levels))]
-        mean, sd = (np.array(m) for m in zip(*moments, strict=True))
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        out.codes, out.levels = self.codes, [(v - m) / d for v, m, d in zip(self.levels, mean, sd, strict=True)]
-        return out, mean, sd
-
-
-def coded(x: np.ndarray | Coded) -> Coded:
-    if isinstance(x, Coded):
-        return x
-    out = Coded(x.shape[1])
-    out.add(x)
-    return out.done()
-
-
 class ThreeHeads:
     """Two shared layers, a treatment head and two outcome heads, several outcomes at once.
 
