@@ -123,3 +123,26 @@ def test_estimates_of_some_cards_are_those_of_all(spark, x):
     a, b = key(cells.weighted(some)), key(cells.weighted(every))
     assert len(a) == 4 * len(groups) and all(v == pytest.approx(b[k]) for k, v in a.items() if v is not None)
     assert models.chosen(["match_ps_logit_k3", "sipw_logit"]) == ["sipw_logit", "match_ps_logit_k3"]
+
+
+def test_boxes_are_cut_on_any_covariate(spark, monkeypatch):
+    """Where only the last covariates differ, a treated cell still meets few of the points."""
+    monkeypatch.setattr(neighbours, "BOX_POINTS", 20)
+    rng = np.random.default_rng(5)
+    rows = [("a", i, int(i % 8 == 0), 0, *([0.5] * 6), *(float(v) for v in rng.random(2)), int(rng.integers(0, 5)), int(rng.integers(0, 2))) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "card_a string, draft_id long, T int, not_offered int, " + ", ".join(f"{c} double" for c in CORE) + ", Y_g long, Y_h long")
+    distances, whole = [], neighbours.nearest_points
+
+    def watched(space, met, k):
+        held = space.points.groupBy(space.key, "box").agg(F.count("*").alias("held"))
+        distances.append(met.join(held, [space.key, "box"]).agg(F.sum("held")).first()[0])
+        return whole(space, met, k)
+
+    monkeypatch.setattr(neighbours, "nearest_points", watched)
+    found = {r["group_b"]: r["value"] for r in neighbours.match_covariates(cells.from_frame(frame, ["g", "h"])).collect()}
+    pdf = frame.toPandas()
+    z = pdf[list(CORE[6:])]
+    pdf = pdf.assign(z=list(((z - z.mean()) / z.std(ddof=0)).to_numpy()))
+    plain = plain_match(pdf, lambda row, c: ((np.stack(c["z"]) - row["z"][None]) ** 2).sum(axis=1).round(9), 3)
+    assert [found["g"], found["h"]] == pytest.approx(plain)
+    assert len(distances) == 2 and sum(distances) < 0.2 * 150 * 1200
