@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from math import prod
 
 import numpy as np
 
 
 #: Bins of a column at most.
 BINS = 65
-#: Numbers that a tree counts at once.
-COUNTED = 1 << 20
+#: Joint bins of several columns at most.
+JOINT = 4096
 #: Rows that a net scores at once.
 SCORED = 8192
 
@@ -68,6 +69,16 @@ class Coded:
         out.levels, out.codes = [self.levels[j] for j in columns], [self.codes[j] for j in columns]
         return out
 
+    def quantiles(self, at: np.ndarray) -> Iterator[np.ndarray]:
+        """Quantiles of each column, by straight lines between neighbours, from how often each value is there."""
+        for levels, codes in zip(self.levels, self.codes, strict=True):
+            ends = np.cumsum(np.bincount(codes, minlength=len(levels)))
+            place = at * (len(codes) - 1)
+            low = np.floor(place)
+            a, b = (levels[np.searchsorted(ends, np.minimum(i, len(codes) - 1), side="right")] for i in (low, low + 1))
+            share = place - low
+            yield np.where(share >= 0.5, b - (b - a) * (1 - share), a + (b - a) * share)
+
     def scaled(self) -> tuple[Coded, np.ndarray, np.ndarray]:
         """Columns to mean 0 and deviation 1 (constant ones to 0), and what was taken off and divided by; codes are shared."""
         out, moments = Coded(len(self.levels)), [((c := self.column(j)).mean(), c.std()) for j in range(len(self.levels))]
@@ -85,10 +96,6 @@ def coded(x: np.ndarray | Coded) -> Coded:
     return out.done()
 
 
-def columns_of(x: np.ndarray | Coded) -> Iterable[np.ndarray]:
-    return (x.column(j) for j in range(len(x.levels))) if isinstance(x, Coded) else iter(x.T)
-
-
 class Logit:
     """L2 logistic regression on scaled columns; ``c`` is the inverse strength."""
 
@@ -115,78 +122,179 @@ class Logit:
         return sigmoid(np.column_stack([(x - self.mean) / self.sd, np.ones(len(x))]) @ self.w)
 
 
+class Layout:
+    """Bins of several columns in one number, as many columns as have ``JOINT`` joint bins at most.
+
+    Sums by joint bin take one pass for all these columns and add up to each column's. Columns' bins stand one after
+    another in the sums, from ``offsets``.
+    """
+
+    def __init__(self, sizes: list[int]):
+        self.sizes, self.offsets = list(map(int, sizes)), np.cumsum([0, *sizes])
+        self.parts: list[list[int]] = []
+        for j in sorted(range(len(self.sizes)), key=lambda j: -self.sizes[j]):
+            room = (p for p in self.parts if prod(self.sizes[i] for i in p) * self.sizes[j] <= JOINT)
+            if (part := next(room, None)) is None:
+                self.parts.append([j])
+            else:
+                part.append(j)
+        self.of = {j: (p, i) for p, part in enumerate(self.parts) for i, j in enumerate(part)}
+
+    def keys(self, bins: np.ndarray) -> np.ndarray:
+        """(part, row) numbers of rows of bins."""
+        out = np.empty((len(self.parts), len(bins)), dtype=np.uint16)
+        for key, (first, *more) in zip(out, self.parts, strict=True):
+            key[:] = bins[:, first]
+            for j in more:
+                key *= np.uint16(self.sizes[j])
+                key += bins[:, j]
+        return out
+
+    def above(self, j: int, cut: int) -> tuple[int, np.ndarray]:
+        """The part of a column, and for its joint bins whether the column's bin is above the cut."""
+        p, i = self.of[j]
+        shape = [self.sizes[k] for k in self.parts[p]]
+        out = np.zeros(shape, dtype=bool)
+        out[(slice(None),) * i + (slice(cut + 1, None),)] = True
+        return p, out.ravel()
+
+    def sums(self, keys: list[np.ndarray], kinds: list[np.ndarray | None], node: np.ndarray | None = None, nodes: int = 1) -> np.ndarray:
+        """(kind, node, bin) sums of the kinds (of 1 for None) over rows given by their keys, and their nodes."""
+        out = np.empty((len(kinds), nodes, int(self.offsets[-1])))
+        for key, part in zip(keys, self.parts, strict=True):
+            shape = [self.sizes[j] for j in part]
+            many = prod(shape)
+            slots = key.astype(np.intp)
+            if node is not None:
+                slots += node * many
+            for v, to in zip(kinds, out, strict=True):
+                h = np.bincount(slots, weights=v, minlength=nodes * many).reshape(nodes, *shape)
+                for i, j in enumerate(part):
+                    to[:, self.offsets[j] : self.offsets[j + 1]] = h.sum(axis=tuple(k + 1 for k in range(len(part)) if k != i))
+        return out
+
+
+class Binner:
+    """Columns to quantile bins."""
+
+    def __init__(self, x: np.ndarray | Coded):
+        at = np.linspace(0, 1, BINS)[1:-1]
+        self.edges = [np.unique(q) for q in (x.quantiles(at) if isinstance(x, Coded) else (np.quantile(c, at) for c in x.T))]
+        self.layout = Layout([len(e) + 1 for e in self.edges])
+
+    def __call__(self, x: np.ndarray | Coded) -> np.ndarray:
+        out = np.empty((len(x), len(self.edges)), dtype=np.uint8, order="F")
+        for j, e in enumerate(self.edges):
+            # A value's bin is looked up once where values are kept as codes.
+            out[:, j] = np.searchsorted(e, x.levels[j], side="left").astype(np.uint8)[x.codes[j]] if isinstance(x, Coded) else np.searchsorted(e, x[:, j], side="left")
+        return out
+
+
+class Binned:
+    """Rows by a binner, one of their own if none is given: their bins and joint keys."""
+
+    def __init__(self, x: np.ndarray | Coded, binner: Binner | None = None):
+        self.binner = binner or Binner(x)
+        self.layout, self.bins = self.binner.layout, self.binner(x)
+        self.keys = self.layout.keys(self.bins)
+
+    def __len__(self) -> int:
+        return len(self.bins)
+
+    def sums(self, at: np.ndarray, kinds: list[np.ndarray | None]) -> np.ndarray:
+        """(kind, bin) sums over some rows."""
+        kinds = [None if v is None else v[at] for v in kinds]
+        if len(at) > 2 * JOINT:
+            return self.layout.sums([key.take(at) for key in self.keys], kinds)[:, 0]
+        # Joint bins are too many for few rows.
+        slots = (self.bins[at] + self.layout.offsets[:-1]).ravel()
+        width = self.bins.shape[1]
+        return np.array([np.bincount(slots, weights=None if v is None else np.repeat(v, width), minlength=int(self.layout.offsets[-1])) for v in kinds], dtype=float)
+
+
+def binned(x: np.ndarray | Coded | Binned, binner: Binner | None = None) -> Binned:
+    return x if isinstance(x, Binned) else Binned(x, binner)
+
+
 class Tree:
     """A regression tree over binned columns, grown level by level for weighted targets."""
 
     def __init__(self, depth: int, leaf: int, columns: float = 1.0):
         self.depth, self.leaf, self.columns = depth, leaf, columns
 
-    def fit(self, bins: np.ndarray, target: np.ndarray, weight: np.ndarray, rng: np.random.Generator | None = None) -> Tree:
+    def fit(self, rows: Binned, target: np.ndarray, weight: np.ndarray | None = None, rng: np.random.Generator | None = None, at: np.ndarray | None = None, times: np.ndarray | None = None) -> Tree:
+        """On the rows ``at`` (all if None); ``times`` is how often each row is taken. ``leaves`` then has each leaf's rows."""
         self.nodes: list[tuple] = []
-        self._grow(np.asfortranarray(bins), target, weight, np.arange(len(bins)), 0, rng)
+        self.leaves: list[tuple[int, np.ndarray]] = []
+        w = times if weight is None else weight if times is None else weight * times
+        # Without weights, a bin's weight is its number of rows.
+        kinds = [times, *([] if weight is None else [w]), target if w is None else w * target]
+        self._grow(rows, kinds, np.arange(len(rows)) if at is None else at, 0, None, rng)
         return self
 
-    def _grow(self, bins, target, weight, at, depth, rng) -> int:
-        me = len(self.nodes)
-        w, width = weight[at], bins.shape[1]
-        wy = w * target[at]
-        total, mass = wy.sum(), w.sum()
+    def _grow(self, rows: Binned, kinds: list, at: np.ndarray, depth: int, sums: np.ndarray | None, rng) -> int:
+        me, offsets = len(self.nodes), rows.layout.offsets
+        number, mass, total = (len(at) if v is None else v[at].sum() for v in (kinds[0], kinds[-2], kinds[-1]))
         self.nodes.append((-1, 0, total / mass if mass > 0 else 0.0, 0, 0))
-        if depth == self.depth or len(at) < 2 * self.leaf or mass <= 0:
+        if depth == self.depth or number < 2 * self.leaf or mass <= 0:
+            self.leaves.append((me, at))
             return me
-        # Few columns at a time where rows are many: nothing is as wide as the rows but their bins, a byte each.
-        n, lw, ls = left = np.empty((3, width, BINS - 1))
-        step = max(1, COUNTED // len(at))
-        for j in range(0, width, step):
-            some = bins[:, j : j + step][at]
-            k = some.shape[1]
-            slots = (some + BINS * np.arange(k)).ravel()
-            for out, v in zip(left, (None, w, wy), strict=True):
-                out[j : j + k] = np.cumsum(np.bincount(slots, weights=None if v is None else np.repeat(v, k), minlength=BINS * k).reshape(k, BINS), axis=1)[:, :-1]
-        ok = (n >= self.leaf) & (len(at) - n >= self.leaf) & (lw > 0) & (mass - lw > 0)
+        sums = rows.sums(at, kinds) if sums is None else sums
+        # Running sums within each column; the last bin of a column is no cut.
+        ends = np.cumsum(sums, axis=1)
+        before = np.concatenate([np.zeros((len(sums), 1)), ends[:, offsets[1:-1] - 1]], axis=1)
+        left = ends - np.repeat(before, rows.layout.sizes, axis=1)
+        n, lw, ls = left[0], left[-2], left[-1]
+        ok = (n >= self.leaf) & (number - n >= self.leaf) & (lw > 0) & (mass - lw > 0)
+        ok[offsets[1:] - 1] = False
         if self.columns < 1 and rng is not None:
-            out = rng.permutation(width)[max(1, int(self.columns * width)) :]
-            ok[out] = False
+            width = len(rows.layout.sizes)
+            kept = np.ones(width, dtype=bool)
+            kept[rng.permutation(width)[max(1, int(self.columns * width)) :]] = False
+            ok &= np.repeat(kept, rows.layout.sizes)
         gain = np.where(ok, ls**2 / np.where(ok, lw, 1) + (total - ls) ** 2 / np.where(ok, mass - lw, 1) - total**2 / mass, -1.0)
         best = chosen_split(gain)
         if best < 0:
+            self.leaves.append((me, at))
             return me
-        j, cut = divmod(best, BINS - 1)
-        low = bins[:, j].take(at) <= cut
-        a = self._grow(bins, target, weight, at[low], depth + 1, rng)
-        b = self._grow(bins, target, weight, at[~low], depth + 1, rng)
+        j = int(np.searchsorted(offsets, best, side="right")) - 1
+        cut = best - int(offsets[j])
+        part, above = rows.layout.above(j, cut)
+        high = above[rows.keys[part].take(at)]
+        sides, parts = [at[~high], at[high]], [None, None]
+        if depth + 1 < self.depth:
+            # The smaller side is counted; the other's sums are what is left.
+            small = int(len(sides[1]) < len(sides[0]))
+            parts[small] = rows.sums(sides[small], kinds)
+            parts[1 - small] = sums - parts[small]
+        del at, high, sums
+        a = self._grow(rows, kinds, sides[0], depth + 1, parts[0], rng)
+        b = self._grow(rows, kinds, sides[1], depth + 1, parts[1], rng)
         self.nodes[me] = (j, cut, self.nodes[me][2], a, b)
         return me
 
-    def apply(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row."""
-        out, bins = np.zeros(len(bins), dtype=np.int32), np.asfortranarray(bins)
-        todo = [(0, np.arange(len(bins)))]
+    def apply(self, rows: Binned, at: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row, or of the rows ``at``."""
+        at = np.arange(len(rows)) if at is None else at
+        out = np.zeros(len(at), dtype=np.int16)
+        todo = [(0, np.arange(len(at)), at)]
         while todo:
-            node, at = todo.pop()
+            node, to, some = todo.pop()
             j, cut, _, a, b = self.nodes[node]
-            if j < 0 or not len(at):
-                out[at] = node
+            if j < 0 or not len(some):
+                out[to] = node
                 continue
-            left = bins[:, j].take(at) <= cut
-            todo += [(a, at[left]), (b, at[~left])]
+            part, above = rows.layout.above(j, cut)
+            high = above[rows.keys[part].take(some)]
+            todo += [(a, to[~high], some[~high]), (b, to[high], some[high])]
         return out
 
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        return np.array([n[2] for n in self.nodes])[self.apply(bins)]
+    @property
+    def values(self) -> np.ndarray:
+        return np.array([n[2] for n in self.nodes])
 
-
-class Binner:
-    """Columns to quantile bins."""
-
-    def __init__(self, x: np.ndarray | Coded):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in columns_of(x)]
-
-    def __call__(self, x: np.ndarray | Coded) -> np.ndarray:
-        out = np.empty((len(x), len(self.edges)), dtype=np.uint8, order="F")
-        for j, (e, c) in enumerate(zip(self.edges, columns_of(x), strict=True)):
-            out[:, j] = np.searchsorted(e, c, side="left")
-        return out
+    def predict(self, rows: Binned, at: np.ndarray | None = None) -> np.ndarray:
+        return self.values[self.apply(rows, at)]
 
 
 class Boosted:
@@ -195,9 +303,9 @@ class Boosted:
     def __init__(self, trees: int, rate: float, depth: int, leaf: int, *, binary: bool):
         self.args, self.rate, self.n, self.binary = (depth, leaf), rate, trees, binary
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.binner = Binner(x)
-        bins = self.binner(x)
+    def fit(self, x: np.ndarray | Coded | Binned, y: np.ndarray) -> Boosted:
+        rows = binned(x)
+        self.binner = rows.binner
         mean = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if self.binary else float(y.mean())
         self.base = float(np.log(mean / (1 - mean))) if self.binary else mean
         f, self.trees = np.full(len(y), self.base), []
@@ -205,17 +313,27 @@ class Boosted:
             if self.binary:
                 p = sigmoid(f)
                 w = np.maximum(p * (1 - p), 1e-6)
-                tree = Tree(*self.args).fit(bins, (y - p) / w, w)
+                tree = Tree(*self.args).fit(rows, (y - p) / w, w)
             else:
-                tree = Tree(*self.args).fit(bins, y - f, np.ones(len(y)))
-            f = f + self.rate * tree.predict(bins)
+                tree = Tree(*self.args).fit(rows, y - f)
+            for node, at in tree.leaves:
+                f[at] += self.rate * tree.nodes[node][2]
+            tree.leaves.clear()
             self.trees.append(tree)
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        bins = self.binner(x)
-        f = self.base + self.rate * sum((t.predict(bins) for t in self.trees), np.zeros(len(x)))
-        return sigmoid(f) if self.binary else f
+    def predict(self, x: np.ndarray | Coded | Binned) -> np.ndarray:
+        return self.staged(x, [self.n])[0]
+
+    def staged(self, x: np.ndarray | Coded | Binned, counts: list[int]) -> list[np.ndarray]:
+        """What the first trees alone predict, for each of these numbers of trees."""
+        rows, f, out = binned(x, self.binner), np.zeros(len(x)), {}
+        for i in range(max(counts) + 1):
+            if i in counts:
+                out[i] = sigmoid(self.base + self.rate * f) if self.binary else self.base + self.rate * f
+            if i < max(counts):
+                f += self.trees[i].predict(rows)
+        return [out[i] for i in counts]
 
 
 class Forest:
@@ -224,27 +342,34 @@ class Forest:
     def __init__(self, trees: int = 60, depth: int = 8, leaf: int = 20, *, honest: bool = False, seed: int = 42):
         self.n, self.args, self.honest, self.seed = trees, (depth, leaf, 0.6), honest, seed
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Forest:
+    def fit(self, x: np.ndarray | Coded | Binned, y: np.ndarray, weight: np.ndarray | None = None) -> Forest:
         rng = np.random.default_rng(self.seed)
-        weight = np.ones(len(y)) if weight is None else weight
-        self.binner = Binner(x)
-        bins = self.binner(x)
-        self.trees = []
+        rows = binned(x)
+        self.binner, self.trees = rows.binner, []
         for _ in range(self.n):
-            take = rng.permutation(len(y))[: max(2, len(y) // 2 * (2 if self.honest else 1) * 9 // 10)] if self.honest else rng.integers(0, len(y), len(y))
-            first, second = (take[::2], take[1::2]) if self.honest else (take, take)
-            tree = Tree(*self.args).fit(bins[first], y[first], weight[first], rng)
-            if self.honest:
-                leaf = tree.apply(bins[second])
-                mass = np.bincount(leaf, weights=weight[second], minlength=len(tree.nodes))
-                total = np.bincount(leaf, weights=weight[second] * y[second], minlength=len(tree.nodes))
+            if not self.honest:
+                # A row drawn several times is kept once, with its number.
+                times = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
+                tree = Tree(*self.args).fit(rows, y, weight, rng, np.flatnonzero(times), times)
+            else:
+                take = rng.permutation(len(y))[: max(2, len(y) // 2 * 2 * 9 // 10)]
+                # In the rows' order, which is faster to read.
+                first, second = np.sort(take[::2]), np.sort(take[1::2])
+                tree = Tree(*self.args).fit(rows, y, weight, rng, first)
+                leaf = tree.apply(rows, second)
+                w = np.ones(len(second)) if weight is None else weight[second]
+                mass = np.bincount(leaf, weights=w, minlength=len(tree.nodes))
+                total = np.bincount(leaf, weights=w * y[second], minlength=len(tree.nodes))
                 tree.nodes = [(j, c, total[i] / mass[i] if mass[i] > 0 else v, a, b) for i, (j, c, v, a, b) in enumerate(tree.nodes)]
+            tree.leaves.clear()
             self.trees.append(tree)
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        bins = self.binner(x)
-        return sum(t.predict(bins) for t in self.trees) / len(self.trees)
+    def predict(self, x: np.ndarray | Coded | Binned) -> np.ndarray:
+        rows, out = binned(x, self.binner), np.zeros(len(x))
+        for t in self.trees:
+            out += t.predict(rows)
+        return out / len(self.trees)
 
     def importances(self, width: int) -> np.ndarray:
         """Share of splits by column."""
