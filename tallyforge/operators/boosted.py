@@ -1,7 +1,8 @@
 """Estimators by boosted propensities and outcomes, as sums over weighted cells.
 
 The propensity is fitted on the offered core cells, the control outcomes of all groups on the control cells with
-all covariates; treated cells ride along with weight 0, so that one fit gives the fitted values of both arms.
+all covariates; its trees then score the treated cells and, for the doubly robust estimator alone, the controls again.
+Only that one needs both fits, which run beside each other.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..sources.store import stored
-from .boosting import boosted, residuals, scorer
+from .boosting import Boosting, beside, boosted, residuals, scorer
 from .cells import CLIP, LEAST, Cells, all_pairs, parameters, sizes
 from .neighbours import SCORE_DIGITS, match_scored
 
@@ -32,9 +33,14 @@ def of_cards(rows: DataFrame, cards: list[str]) -> DataFrame:
     return rows.where(F.col("card_a").isin(*cards)) if cards else rows.limit(0)
 
 
+def fitting(cells: Cells) -> dict[str, dict[str, int]]:
+    """``sizes`` of the cards that can be fitted."""
+    return {card: v for card, v in sizes(cells).items() if v["t"] >= LEAST and v["o"] >= LEAST}
+
+
 def propensity(cells: Cells, settings: dict) -> Propensity:
     """Fitted on offered cells, times the card's share of offered drafts; for cards with ``LEAST`` treated and offered controls."""
-    n = {card: v for card, v in sizes(cells).items() if v["t"] >= LEAST and v["o"] >= LEAST}
+    n = fitting(cells)
     offered = cells.own.where("n_t + n_o > 0").groupBy("card_a", *cells.names).agg(F.sum(F.col("n_t") + F.col("n_o")).alias("n"), F.sum("n_t").alias("s_T"))
     fit = boosted(stored(of_cards(offered, list(n)), "offered"), cells.names, ["T"], settings, binary=True, keep=True)
     add = scorer(fit, "_p")
@@ -77,36 +83,58 @@ def match(cells: Cells, e: Propensity, k: int = 3) -> DataFrame:
     return match_scored(cells, whole, e.cards, k, "match_ps_gbm_k3")
 
 
-def outcome_residuals(cells: Cells, e: Propensity, settings: dict) -> DataFrame:
-    """By card, group and arm the mass and the sum of outcome less fitted control outcome: treated as they are, controls weighted by odds. Stored."""
-    groups = cells.groups
-    rows = odds(e.score(controls(cells, e.cards)))
-    kept = rows.select("card_a", *cells.names, "n", *[f"s_{g}" for g in groups], (F.col("w") * F.col("n")).alias("q"), *[(F.col("w") * F.col(f"s_{g}")).alias(f"r_{g}") for g in groups])
-    none = F.lit(0).cast("long")
-    treated = of_cards(cells.own, e.cards).where("n_t > 0").groupBy("card_a", *cells.names).agg(F.sum("n_t").alias("q"), *[F.sum(f"t_{g}").alias(f"r_{g}") for g in groups])
-    treated = treated.select("card_a", *cells.names, none.alias("n"), *[none.alias(f"s_{g}") for g in groups], F.col("q").cast("double").alias("q"), *[F.col(f"r_{g}").cast("double").alias(f"r_{g}") for g in groups])
-    return stored(residuals(boosted(stored(kept.unionByName(treated), "outcomes"), cells.names, groups, settings), groups), "residuals")
+@dataclass
+class Outcomes:
+    """A fit of the control outcomes of all groups: the control cells it was made on, its trees."""
+
+    cells: Cells
+    rows: DataFrame
+    fit: Boosting
+
+
+def outcomes(cells: Cells, settings: dict) -> Outcomes:
+    rows = controls(cells, list(fitting(cells)))
+    return Outcomes(cells, rows, boosted(rows, cells.names, cells.groups, settings, keep=True))
+
+
+def treated_residuals(of: Outcomes) -> DataFrame:
+    """By card and group the number of treated drafts (``mass``) and the sum of outcome less fitted control outcome (``rest``)."""
+    x = of.cells
+    rows = of_cards(x.own, list(of.fit.edges)).where("n_t > 0").groupBy("card_a", *x.names).agg(F.sum("n_t").alias("n"), *[F.sum(f"t_{g}").alias(f"s_{g}") for g in x.groups])
+    return residuals(of.fit, rows.withColumn("w", F.lit(1.0)), x.groups)
+
+
+def control_residuals(of: Outcomes, e: Propensity) -> DataFrame:
+    """The same of the controls, weighted by their odds."""
+    return residuals(of.fit, odds(e.score(of.rows)), of.cells.groups)
 
 
-def imputed(cells: Cells, rest: DataFrame, *, robust: bool) -> DataFrame:
-    """Mean residual of the treated, less the weighted one of the controls if ``robust``."""
-    mean = lambda side: F.max(F.when(F.col("treated") == side, ratio(F.col("rest"), F.col("mass"))))
-    value = mean(True) - mean(False) if robust else mean(True)
-    found = rest.groupBy("card_a", "group_b").agg(value.alias("value"))
-    return all_pairs(cells, "dr_att_gbm" if robust else "dm_impute_t_att_gbm").join(found, ["card_a", "group_b"], "left").select("method", "card_a", "group_b", "value")
+def imputed(of: Outcomes, e: Propensity | None = None) -> DataFrame:
+    """Mean residual of the treated, less the weighted one of the controls if there is a propensity."""
+    mean = ratio(F.col("rest"), F.col("mass"))
+    found = treated_residuals(of).select("card_a", "group_b", mean.alias("value"))
+    if e is not None:
+        found = found.join(control_residuals(of, e).select("card_a", "group_b", mean.alias("less")), ["card_a", "group_b"], "left").select("card_a", "group_b", (F.col("value") - F.col("less")).alias("value"))
+    return all_pairs(of.cells, "dm_impute_t_att_gbm" if e is None else "dr_att_gbm").join(found, ["card_a", "group_b"], "left").select("method", "card_a", "group_b", "value")
 
 
-#: Which of these need the outcomes' fit.
+#: Those of the outcomes' fit, and which of them need the propensity.
 OUTCOMES = {"dm_impute_t_att_gbm": False, "dr_att_gbm": True}
 PROPENSITIES = {"sipw_gbm": sipw, "match_ps_gbm_k3": match}
 
 
 def estimates(core: Cells, full: Callable[[], Cells], names: list[str], profiles: dict[str, dict]) -> DataFrame:
     """method, card_a, group_b, value. ``core`` has the core covariates, ``full`` makes cells with all of them."""
-    e = propensity(core, profiles["gbm_t"])
+    wanted = [n for n in names if n in OUTCOMES]
+    cells, e, of = full() if wanted else None, None, None
+    weighted = lambda: propensity(core, profiles["gbm_t"])
+    imputing = lambda: outcomes(cells, profiles["gbm_y"])
+    if all(n in OUTCOMES and not OUTCOMES[n] for n in names):
+        of = imputing()
+    elif wanted:
+        e, of = beside(core.pool.sparkSession, weighted, imputing)
+    else:
+        e = weighted()
     parts = [PROPENSITIES[n](core, e) for n in names if n in PROPENSITIES]
-    if wanted := [n for n in names if n in OUTCOMES]:
-        cells = full()
-        rest = outcome_residuals(cells, e, profiles["gbm_y"])
-        parts += [imputed(cells, rest, robust=OUTCOMES[n]) for n in wanted]
+    parts += [imputed(of, e if OUTCOMES[n] else None) for n in wanted]
     return reduce(DataFrame.unionByName, parts)

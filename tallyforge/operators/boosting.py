@@ -3,34 +3,44 @@
 Rows are weighted cells: a card, covariates, a weight ``n`` and sums of targets ``s``. They are binned by
 weighted quantiles and packed into blocks of one card each (``packed``): two a card at least, and as many as
 blocks of ``ROOM`` bytes take. For each level of a tree every task sums counts and gradients of its blocks by
-card, target, node, column and bin; these sums meet by card and target, where the best split of each node
-is chosen. Only chosen splits, a few numbers a node, come to the driver. So no task holds a card, and what
-is shuffled depends on blocks, targets and bins, not on tasks or on rows.
+card, target, node, column and bin, several columns in one pass (``learners.Layout``); these sums meet by card
+and target, where the best split of each node is chosen. Only chosen splits, a few numbers a node, come to the
+driver. So no task holds a card, and what is shuffled depends on blocks, targets and bins, not on tasks or on rows.
 
 Fitted values are kept in the blocks and written every ``KEPT`` trees, so that plans and recomputation stay
-short. Rows of weight 0 ride along: they train nothing and get fitted values like all others.
+short; the blocks before are discarded then. Rows that train nothing are scored by the trees (``scorer``, ``residuals``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial, reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
-from .learners import BINS, chosen_split, sigmoid
+from ..sources.store import discard, stored_at
+from .learners import BINS, Layout, chosen_split, sigmoid
 
-#: Trees between two writings of the fitted values.
-KEPT = 10
+#: Trees between two writings of the fitted values. A tree that is not in them is walked at every level of the next ones.
+KEPT = 3
+#: Sets of cards that are fitted beside each other: the small jobs of one leave room for those of another.
+LANES = 3
 #: Bytes of a block, as numbers in memory.
-ROOM = 64 << 20
+ROOM = 32 << 20
+#: Rows that a task scores at once.
+SCORED = 1 << 17
 #: Least weight of a row in the logistic loss, as in the plain version.
 LEAST_WEIGHT = 1e-6
-PACKED = "card_a string, block int, bins binary, n binary, s binary, q binary, r binary, f binary"
+#: Fitted values hardly get smaller, and blocks are read for every level.
+PLAIN = {"compression": "none"}
+PACKED = "card_a string, block int, keys binary, n binary, s binary, f binary"
 
 
 @dataclass
@@ -43,18 +53,19 @@ class Boosting:
     blocks: DataFrame
     edges: dict[str, list[np.ndarray]]
     base: dict[str, np.ndarray]
+    layout: Layout | None = None
     trees: dict[str, np.ndarray] = field(default_factory=dict)
 
 
-def started(rows: DataFrame, names: tuple[str, ...], targets: list[str], *, binary: bool) -> tuple[dict, dict]:
-    """Per card the distinct quantiles of each column and the starting values, over the rows of weight above 0.
+def started(rows: DataFrame, names: tuple[str, ...], targets: list[str], *, binary: bool) -> tuple[dict, dict, dict]:
+    """Per card the distinct quantiles of each column, the starting values and the number of rows, over the rows of weight above 0.
 
     One aggregate; its result has a row a card. Percentiles are exact, and count distinct values.
     """
     at = np.linspace(0, 1, BINS)[1:-1]
     shares = F.array(*[F.lit(float(p)) for p in at])
     found = rows.where("n > 0").groupBy("card_a").agg(
-        F.sum("n").alias("n"), *[F.percentile(F.col(c).cast("double"), shares, F.col("n")).alias(f"q_{i}") for i, c in enumerate(names)], *[F.sum(f"s_{t}").cast("double").alias(f"y_{i}") for i, t in enumerate(targets)]
+        F.sum("n").alias("n"), F.count("*").alias("rows"), *[F.percentile(F.col(c).cast("double"), shares, F.col("n")).alias(f"q_{i}") for i, c in enumerate(names)], *[F.sum(f"s_{t}").cast("double").alias(f"y_{i}") for i, t in enumerate(targets)]
     ).collect()
     edges = {r["card_a"]: [np.unique(np.array(r[f"q_{i}"])) for i in range(len(names))] for r in found}
     base = {}
@@ -64,85 +75,125 @@ def started(rows: DataFrame, names: tuple[str, ...], targets: list[str], *, bina
             mean = np.clip(mean, 1e-6, 1 - 1e-6)
             mean = np.log(mean / (1 - mean))
         base[r["card_a"]] = mean
-    return edges, base
+    return edges, base, {r["card_a"]: r["rows"] for r in found}
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)]).astype(np.uint8)
 
 
-def numbered_blocks(rows: DataFrame, cards: list[str], row_bytes: int) -> dict[str, tuple[int, int]]:
+def numbered_blocks(sizes: dict[str, int], row_bytes: int) -> dict[str, tuple[int, int]]:
     """Per card the number of its first block and how many blocks it takes."""
-    sizes = dict(rows.groupBy("card_a").count().collect())
     out, first = {}, 0
-    for card in sorted(cards):
+    for card in sorted(sizes):
         many = max(2, -(-sizes[card] * row_bytes // ROOM))
         out[card] = first, many
         first += many
     return out
 
 
-def packed(rows: DataFrame, names: tuple[str, ...], targets: list[str], edges: dict, base: dict) -> DataFrame:
-    """Blocks of rows of one card.
+def short(v: np.ndarray) -> bytes:
+    """Numbers as bytes, one each if they are small whole ones; the first eight bytes say which."""
+    small = v.astype(np.uint8) if len(v) and v.min() >= 0 and v.max() < 256 else None
+    v = small if small is not None and np.array_equal(small, v) else v
+    return f"{v.dtype.str:8}".encode() + v.tobytes()
 
-    A block has bins (a column's in one stretch), weights n and sums s to train on, weights q and sums r to apply to (empty where they are n and s), fitted values f.
-    ``rows``: card_a, names, n, ``s_<target>`` and, if they differ, q and ``r_<target>``.
+
+def long(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=b[:8].decode().strip(), offset=8)
+
+
+def packed(rows: DataFrame, names: tuple[str, ...], targets: list[str], edges: dict, base: dict, sizes: dict, layout: Layout) -> tuple[DataFrame, str]:
+    """Blocks of rows of one card, and their path.
+
+    A block has joint keys (a part's in one stretch), weights n, sums s and fitted values f (a target's in one stretch).
+    ``rows``: card_a, names, n, ``s_<target>``.
     """
-    own = "q" in rows.columns
-    known = rows.sparkSession.sparkContext.broadcast((edges, base))
+    known = rows.sparkSession.sparkContext.broadcast((edges, base, layout))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges, base = known.value
-        numbers = lambda pdf, columns: pdf[columns].to_numpy(dtype=float)
+        edges, base, layout = known.value
         blocks: dict[tuple, list] = {}
         for pdf in batches:
             for (card, block), part in pdf.groupby(["card_a", "block"]):
-                n, s = numbers(part, ["n"]), numbers(part, [f"s_{t}" for t in targets])
-                more = (numbers(part, ["q"]).tobytes(), numbers(part, [f"r_{t}" for t in targets]).tobytes()) if own else (b"", b"")
-                blocks.setdefault((card, block), []).append((binned(numbers(part, list(names)), edges[card]), n.tobytes(), s.tobytes(), *more, np.repeat(base[card][None], len(part), axis=0).tobytes()))
+                numbers = lambda columns: part[columns].to_numpy(dtype=float)  # noqa: B023, E731
+                blocks.setdefault((card, block), []).append((layout.keys(binned(numbers(list(names)), edges[card])), numbers("n"), numbers([f"s_{t}" for t in targets]).T))
         while blocks:
-            key, parts = blocks.popitem()
-            bins, *others = zip(*parts, strict=True)
-            yield pd.DataFrame([(*key, np.concatenate(bins).tobytes("F"), *map(b"".join, others))], columns=["card_a", "block", "bins", "n", "s", "q", "r", "f"])
+            (card, block), parts = blocks.popitem()
+            keys, n, s = (np.concatenate(v, axis=-1) for v in zip(*parts, strict=True))
+            f = np.repeat(base[card][:, None], len(n), axis=1)
+            yield pd.DataFrame([(card, block, keys.tobytes(), short(n), short(s.ravel()), f.tobytes())], columns=["card_a", "block", "keys", "n", "s", "f"])
 
     if not edges:
-        return stored(rows.limit(0).mapInPandas(lambda batches: iter(()), PACKED), "blocks")
-    blocks = numbered_blocks(rows, list(edges), len(names) + 8 * (1 + 2 * len(targets) + (1 + len(targets)) * own))
+        return stored_at(rows.limit(0).mapInPandas(lambda batches: iter(()), PACKED), "blocks", **PLAIN)
+    blocks = numbered_blocks(sizes, 2 * len(layout.parts) + 8 * (1 + 2 * len(targets)))
     first, many = (F.create_map(*[F.lit(x) for card, v in blocks.items() for x in (card, v[i])])[F.col("card_a")] for i in (0, 1))
     # A block is a partition, however small: AQE would merge them, and they are long to work on.
-    fitted = rows.where(F.col("card_a").isin(*edges)).withColumn("block", (first + F.pmod(F.xxhash64(*names), many)).cast("int"))
+    fitted = rows.where(F.col("card_a").isin(*edges) & (F.col("n") > 0)).withColumn("block", (first + F.pmod(F.xxhash64(*names), many)).cast("int"))
     dealt = fitted.repartitionById(sum(v[1] for v in blocks.values()), F.col("block"))
-    return stored(dealt.mapInPandas(run, PACKED), "blocks")
+    return stored_at(dealt.mapInPandas(run, PACKED), "blocks", **PLAIN)
+
+
+def positions(layout: Layout, tree: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray | None:
+    """Each row's place among the nodes of a level of one target's tree (node, 3); None if all are in the first. Below a node that was not split, rows keep to the left."""
+    node = None
+    for level in range(depth):
+        go, first = None, (1 << level) - 1
+        for q in range(1 << level):
+            if (j := int(tree[first + q, 0])) >= 0:
+                part, above = layout.above(j, int(tree[first + q, 1]))
+                right = above.take(keys[part])
+                if node is not None:
+                    right &= node == q
+                go = right if go is None else go | right
+        if node is not None:
+            node = node * node.dtype.type(2)
+            if go is not None:
+                node += go
+        elif go is not None:
+            node = go.astype(np.uint8 if depth < 8 else np.int32)
+    return node
 
 
-def places(trees: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
-    """The node of each row in each target's tree (target, node, 3), ``depth`` splits down at most; node i has the children 2i + 1 and 2i + 2."""
-    bins = np.asfortranarray(bins)
-    node = np.zeros((len(bins), len(trees)), dtype=np.int16, order="F")
-    for g, tree in enumerate(trees):
-        # Parents come before children, so a row goes down its whole way in one pass over the nodes.
-        for q in np.flatnonzero(tree[: (1 << depth) - 1, 0] >= 0):
-            node[:, g] += (node[:, g] == q) * ((bins[:, int(tree[q, 0])] > tree[q, 1]) + np.int16(q + 1))
-    return node
+def leaf_values(tree: np.ndarray, depth: int) -> np.ndarray:
+    """The value at each place of the deepest level: that of the last split on the way."""
+    value = tree[:1, 2]
+    for level in range(depth):
+        first = (1 << level) - 1
+        split = np.repeat(tree[first : 2 * first + 1, 0] >= 0, 2)
+        value = np.where(split, tree[2 * first + 1 : 4 * first + 3, 2], np.repeat(value, 2))
+    return value
 
 
-def added(f: np.ndarray, trees: np.ndarray, bins: np.ndarray, rate: float, depth: int) -> np.ndarray:
-    """Fitted values with these trees (tree, target, node, 3) as well."""
-    f, every, bins = f.copy(), np.arange(f.shape[1]), np.asfortranarray(bins)
+def advance(f: np.ndarray, trees: np.ndarray, layout: Layout, keys: np.ndarray, rate: float, depth: int) -> np.ndarray:
+    """Fitted values (target, row) with these trees (tree, target, node, 3) as well."""
+    f = f.copy()
     for tree in trees:
-        f += rate * tree[every, places(tree, bins, depth), 2]
+        for g, own in enumerate(tree):
+            values, node = rate * leaf_values(own, depth), positions(layout, own, keys, depth)
+            f[g] += values[0] if node is None else values.take(node)
     return f
 
 
+def added(f: np.ndarray, trees: np.ndarray, bins: np.ndarray, rate: float, depth: int) -> np.ndarray:
+    """``advance`` for rows of bins, with fitted values by (row, target)."""
+    layout = Layout([int(c.max(initial=0)) + 1 for c in bins.T])
+    return advance(f.T, trees, layout, layout.keys(bins), rate, depth).T
+
+
 @dataclass
 class Shape:
-    """What trees of all cards have in common: ``offsets`` of the columns' bins, number of targets, settings, loss."""
+    """What trees of all cards have in common: layout of the columns' bins, number of targets, settings, loss."""
 
-    offsets: np.ndarray
+    layout: Layout
     targets: int
     settings: dict
     binary: bool
 
+    @property
+    def offsets(self) -> np.ndarray:
+        return self.layout.offsets
+
     @property
     def tree(self) -> tuple[int, int, int]:
         return self.targets, (2 << self.settings["depth"]) - 1, 3
@@ -152,38 +203,28 @@ class Shape:
         tree[:, :, 0] = -1
         return tree
 
-    def read(self, b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """bins, n, s, f of a block."""
-        return np.frombuffer(b.bins, dtype=np.uint8).reshape(len(self.offsets) - 1, -1).T, np.frombuffer(b.n), np.frombuffer(b.s).reshape(-1, self.targets), np.frombuffer(b.f).reshape(-1, self.targets)
+    def read(self, b) -> tuple[np.ndarray, np.ndarray]:
+        """Joint keys and fitted values of a block."""
+        return np.frombuffer(b.keys, dtype=np.uint16).reshape(len(self.layout.parts), -1), np.frombuffer(b.f).reshape(self.targets, -1)
 
-    def added(self, f: np.ndarray, trees: np.ndarray, bins: np.ndarray) -> np.ndarray:
-        return added(f, trees, bins, self.settings["rate"], self.settings["depth"])
+    def added(self, f: np.ndarray, trees: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return advance(f, trees, self.layout, keys, self.settings["rate"], self.settings["depth"]) if len(trees) else f
 
 
-def histograms(shape: Shape, bins: np.ndarray, n: np.ndarray, s: np.ndarray, f: np.ndarray, tree: np.ndarray, level: int) -> np.ndarray:
+def histograms(shape: Shape, keys: np.ndarray, n: np.ndarray, s: np.ndarray, f: np.ndarray, tree: np.ndarray, level: int) -> np.ndarray:
     """Counts, weights (logistic loss only) and gradients by target, kind, node of the level and bin."""
-    nodes, first, offsets = 1 << level, (1 << level) - 1, shape.offsets
-    if not n.all():
-        on = np.flatnonzero(n)
-        bins, n, s, f = np.asfortranarray(bins[on]), n[on], s[on], f[on]
-    at = places(tree, bins, level).astype(np.int64) - first
-    out = np.zeros((shape.targets, 3 if shape.binary else 2, nodes, int(offsets[-1])))
+    nodes = 1 << level
+    out = np.empty((shape.targets, 3 if shape.binary else 2, nodes, int(shape.offsets[-1])))
+    # Where every row counts once, it needs no weight.
+    count = None if n.dtype == np.uint8 and (n == 1).all() else n.astype(float)
+    of = lambda v: v if count is None else count * v
     for g in range(shape.targets):
-        # Rows that stopped higher up are out.
-        node, on = at[:, g], slice(None)
-        if node.min(initial=0) < 0:
-            on = np.flatnonzero(node >= 0)
-            node = node[on]
-        m, own, fitted = n[on], s[on, g], f[on, g]
         if shape.binary:
-            p = sigmoid(fitted)
-            kinds = m, m * np.maximum(p * (1 - p), LEAST_WEIGHT), own - m * p
+            p = sigmoid(f[g])
+            kinds = [count, of(np.maximum(p * (1 - p), LEAST_WEIGHT)), s[g] - of(p)]
         else:
-            kinds = m, own - m * fitted
-        for j, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            slots = node * (b - a) + bins[on, j]
-            for i, v in enumerate(kinds):
-                out[g, i, :, a:b] = np.bincount(slots, weights=v, minlength=nodes * (b - a)).reshape(nodes, -1)
+            kinds = [count, s[g] - of(f[g])]
+        out[g] = shape.layout.sums(list(keys), kinds, positions(shape.layout, tree[g], keys, level), nodes)
     return out
 
 
@@ -217,24 +258,28 @@ def put(tree: np.ndarray, best: np.ndarray, level: int) -> bool:
         tree[0, 2] = best[0, 2]
     for q in np.flatnonzero(best[:, 0] >= 0):
         node = (1 << level) - 1 + q
+        if level and tree[(node - 1) // 2, 0] < 0:
+            # Rows of a node that was not split.
+            best[q, 0] = -1
+            continue
         tree[node, :2] = best[q, :2]
         tree[2 * node + 1, 2], tree[2 * node + 2, 2] = best[q, 3:]
     return bool((best[:, 0] >= 0).any())
 
 
-def advanced(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: Shape) -> DataFrame:
-    """The blocks with the trees' steps in their fitted values, stored."""
+def advanced(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: Shape) -> tuple[DataFrame, str]:
+    """The blocks with the trees' steps in their fitted values, stored, and their path."""
     known = blocks.sparkSession.sparkContext.broadcast({card: np.array(t) for card, t in trees.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             f = []
             for b in pdf.itertuples():
-                bins, _, _, fitted = shape.read(b)
-                f.append(shape.added(fitted, known.value[b.card_a], bins).tobytes())
+                keys, fitted = shape.read(b)
+                f.append(shape.added(fitted, known.value[b.card_a], keys).tobytes())
             yield pdf.assign(f=f)
 
-    return stored(blocks.mapInPandas(run, PACKED), "blocks")
+    return stored_at(blocks.mapInPandas(run, PACKED), "blocks", **PLAIN)
 
 
 def splits(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: Shape, level: int) -> dict[tuple[str, int], np.ndarray]:
@@ -246,17 +291,17 @@ def splits(blocks: DataFrame, trees: dict[str, list[np.ndarray]], shape: Shape,
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for b in pdf.itertuples():
-                bins, n, s, f = shape.read(b)
+                keys, f = shape.read(b)
                 here = known.value[b.card_a]
-                total[b.card_a] = total.get(b.card_a, 0) + histograms(shape, bins, n, s, shape.added(f, here[:-1], bins), here[-1], level)
+                total[b.card_a] = total.get(b.card_a, 0) + histograms(shape, keys, long(b.n), long(b.s).reshape(shape.targets, -1), shape.added(f, here[:-1], keys), here[-1], level)
         yield pd.DataFrame([(card, g, v[g].tobytes()) for card, v in total.items() for g in range(shape.targets)], columns=["card_a", "g", "sums"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         best = best_splits(shape, sum(np.frombuffer(b).reshape(form) for b in pdf["sums"]))
         return pd.DataFrame({"card_a": [pdf["card_a"].iloc[0]], "g": [int(pdf["g"].iloc[0])], "best": [best.tobytes()]})
 
-    found = blocks.select("card_a", "bins", "n", "s", "f").mapInPandas(sums, "card_a string, g int, sums binary")
-    many = min(blocks.sparkSession.sparkContext.defaultParallelism, len(trees) * shape.targets)
+    found = blocks.select("card_a", "keys", "n", "s", "f").mapInPandas(sums, "card_a string, g int, sums binary")
+    many = min(-(-blocks.sparkSession.sparkContext.defaultParallelism // LANES), len(trees) * shape.targets)
     rows = found.repartition(many, "card_a", "g").groupBy("card_a", "g").applyInPandas(choose, "card_a string, g int, best binary").collect()
     return {(r["card_a"], r["g"]): np.frombuffer(bytes(r["best"])).reshape(-1, 5) for r in rows}
 
@@ -267,34 +312,71 @@ def boosted(rows: DataFrame, names: tuple[str, ...], targets: list[str], setting
     ``rows`` is a stored table as ``packed`` takes it. ``keep`` keeps the trees on the driver, for scoring other rows:
     as many as cards times targets times trees. Cards without a row of weight are left out.
     """
-    edges, base = started(rows, names, targets, binary=binary)
-    blocks = packed(rows, names, targets, edges, base)
-    out = Boosting(names, settings, binary, blocks, edges, base)
+    spark = rows.sparkSession
+    edges, base, sizes = started(rows, names, targets, binary=binary)
+    # Bins are numbered alike for all cards, as many a column as the card with most has.
+    layout = Layout([max((len(e[i]) for e in edges.values()), default=0) + 1 for i in range(len(names))])
+    out = Boosting(names, settings, binary, packed(rows, names, targets, {}, {}, {}, layout)[0] if not edges else None, edges, base, layout)
     if not edges:
         return out
-    # Bins are numbered alike for all cards, as many a column as the card with most has.
-    offsets = np.cumsum([0, *(max(len(e[i]) for e in edges.values()) + 1 for i in range(len(names)))])
-    shape = Shape(offsets, len(targets), settings, binary)
-    every: dict[str, list[np.ndarray]] = {card: [] for card in edges}
-    pending: dict[str, list[np.ndarray]] = {card: [] for card in edges}
-    for number in range(settings["trees"]):
-        for card in pending:
-            pending[card].append(shape.empty())
-        for level in range(settings["depth"]):
-            if not any([put(pending[card][-1][g], best, level) for (card, g), best in splits(blocks, pending, shape, level).items()]):
-                break
+    shape = Shape(layout, len(targets), settings, binary)
+
+    def lane(cards: list[str]) -> DataFrame:
+        of = lambda v: {card: v[card] for card in cards}
+        blocks, path = packed(rows, names, targets, of(edges), of(base), of(sizes), layout)
+        pending: dict[str, list[np.ndarray]] = {card: [] for card in cards}
+        every: dict[str, list[np.ndarray]] = {card: [] for card in cards}
+        for number in range(settings["trees"]):
+            for card in pending:
+                pending[card].append(shape.empty())
+            for level in range(settings["depth"]):
+                if not any([put(pending[card][-1][g], best, level) for (card, g), best in splits(blocks, pending, shape, level).items()]):
+                    break
+            if keep:
+                for card in every:
+                    every[card].append(pending[card][-1])
+            if len(next(iter(pending.values()))) == KEPT or number == settings["trees"] - 1:
+                before = path
+                blocks, path = advanced(blocks, pending, shape)
+                discard(spark, before)
+                pending = {card: [] for card in cards}
         if keep:
-            for card in every:
-                every[card].append(pending[card][-1])
-        if len(next(iter(pending.values()))) == KEPT or number == settings["trees"] - 1:
-            blocks = advanced(blocks, pending, shape)
-            pending = {card: [] for card in edges}
-    out.blocks = blocks
-    if keep:
-        out.trees = {card: np.array(t) for card, t in every.items()}
+            out.trees |= {card: np.array(t) for card, t in every.items()}
+        return blocks
+
+    # The largest cards are dealt first, so that lanes are alike.
+    ranked = sorted(edges, key=lambda card: (-sizes[card], card))
+    out.blocks = reduce(DataFrame.unionByName, beside(spark, *[partial(lane, ranked[i::LANES]) for i in range(min(LANES, len(ranked)))]))
     return out
 
 
+def beside(spark: SparkSession, *runs: Callable[[], Any]) -> list:
+    """What these return, run in threads."""
+    with ThreadPoolExecutor(len(runs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run)) for run in runs]]
+
+
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of ``SCORED`` rows or somewhat more: a batch has few rows of each card."""
+    kept, n = [], 0
+    for pdf in batches:
+        kept.append(pdf)
+        n += len(pdf)
+        if n >= SCORED:
+            yield pd.concat(kept, ignore_index=True)
+            kept, n = [], 0
+    if n:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def fitted(known: tuple, names: list[str], settings: dict, pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each card its rows in a frame, and their fitted values (target, row) before any link."""
+    edges, base, trees, layout = known
+    for card, at in pdf.groupby("card_a").indices.items():
+        keys = layout.keys(binned(pdf[names].take(at).to_numpy(dtype=float), edges[card]))
+        yield card, at, advance(np.repeat(base[card][:, None], len(at), axis=1), trees[card], layout, keys, settings["rate"], settings["depth"])
+
+
 def scorer(fit: Boosting, name: str) -> Callable[[DataFrame], DataFrame]:
     """A function that adds the fitted value of the one target to rows with card_a and the covariates; cards without a fit go.
 
@@ -302,39 +384,39 @@ def scorer(fit: Boosting, name: str) -> Callable[[DataFrame], DataFrame]:
     """
 
     def score(rows: DataFrame) -> DataFrame:
-        known = rows.sparkSession.sparkContext.broadcast((fit.edges, fit.base, fit.trees))
-        names, rate, depth, binary = list(fit.names), fit.settings["rate"], fit.settings["depth"], fit.binary
+        known = rows.sparkSession.sparkContext.broadcast((fit.edges, fit.base, fit.trees, fit.layout))
+        names, settings, binary = list(fit.names), fit.settings, fit.binary
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            edges, base, trees = known.value
-            for pdf in batches:
+            for pdf in gathered(batches):
                 value = np.empty(len(pdf))
-                for card, at in pdf.groupby("card_a").indices.items():
-                    bins = binned(pdf[names].to_numpy(dtype=float)[at], edges[card])
-                    f = added(np.repeat(base[card][None], len(at), axis=0), trees[card], bins, rate, depth)[:, 0]
-                    value[at] = sigmoid(f) if binary else f
+                for _, at, f in fitted(known.value, names, settings, pdf):
+                    value[at] = sigmoid(f[0]) if binary else f[0]
                 yield pdf.assign(**{name: value})
 
-        fitted = rows.where(F.col("card_a").isin(*fit.edges)) if fit.edges else rows.limit(0)
-        return fitted.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), f"`{name}` double"]))
+        kept = rows.where(F.col("card_a").isin(*fit.edges)) if fit.edges else rows.limit(0)
+        return kept.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), f"`{name}` double"]))
 
     return score
 
 
-def residuals(fit: Boosting, targets: list[str]) -> DataFrame:
-    """card_a, target, and over the applied rows the sums of q (``mass``) and of r less q times the fitted value (``rest``)."""
-    groups = len(targets)
+def residuals(fit: Boosting, rows: DataFrame, targets: list[str]) -> DataFrame:
+    """card_a, group_b, and over rows of card_a, the covariates, n, ``s_<target>`` and a weight w the sums of w n (``mass``) and of w times s less n times the fitted value (``rest``).
+
+    The trees of all targets are broadcast, 36 KB a card and target for 100 trees of depth 3.
+    """
+    known = rows.sparkSession.sparkContext.broadcast((fit.edges, fit.base, fit.trees, fit.layout))
+    names, settings = list(fit.names), fit.settings
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for b in pdf.itertuples():
-                q, r, f = np.frombuffer(b.q or b.n), np.frombuffer(b.r or b.s).reshape(-1, groups), np.frombuffer(b.f).reshape(-1, groups)
-                # Treated rows train nothing; they are told from controls by that.
-                for side, on in enumerate((np.frombuffer(b.n) > 0, np.frombuffer(b.n) == 0)):
-                    sums = out.setdefault(b.card_a, np.zeros((2, groups + 1)))
-                    sums[side] += np.r_[q[on].sum(), (r[on] - q[on, None] * f[on]).sum(axis=0)]
-        yield pd.DataFrame([(card, t, bool(side), v[side, 0], v[side, 1 + i]) for card, v in out.items() for side in (0, 1) for i, t in enumerate(targets)], columns=["card_a", "group_b", "treated", "mass", "rest"])
-
-    parts = fit.blocks.select("card_a", "n", "q", "r", "f").mapInPandas(run, "card_a string, group_b string, treated boolean, mass double, rest double")
-    return parts.groupBy("card_a", "group_b", "treated").agg(F.sum("mass").alias("mass"), F.sum("rest").alias("rest"))
+        for pdf in gathered(batches):
+            n, w, s = (pdf[c].to_numpy(dtype=float) for c in ("n", "w", [f"s_{t}" for t in targets]))
+            for card, at, f in fitted(known.value, names, settings, pdf):
+                sums = out.setdefault(card, np.zeros(len(targets) + 1))
+                sums += np.r_[w[at] @ n[at], (s[at].T - n[at] * f) @ w[at]]
+        yield pd.DataFrame([(card, t, v[0], v[1 + i]) for card, v in out.items() for i, t in enumerate(targets)], columns=["card_a", "group_b", "mass", "rest"])
+
+    kept = rows.where(F.col("card_a").isin(*fit.edges)) if fit.edges else rows.limit(0)
+    parts = kept.select("card_a", *names, "n", "w", *[f"s_{t}" for t in targets]).mapInPandas(run, "card_a string, group_b string, mass double, rest double")
+    return parts.groupBy("card_a", "group_b").agg(F.sum("mass").alias("mass"), F.sum("rest").alias("rest"))

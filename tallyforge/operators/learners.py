@@ -161,12 +161,16 @@ class Layout:
     def sums(self, keys: list[np.ndarray], kinds: list[np.ndarray | None], node: np.ndarray | None = None, nodes: int = 1) -> np.ndarray:
         """(kind, node, bin) sums of the kinds (of 1 for None) over rows given by their keys, and their nodes."""
         out = np.empty((len(kinds), nodes, int(self.offsets[-1])))
+        # One room for all parts: memory that is new costs more than the sums.
+        slots = np.empty(len(keys[0]) if len(keys) else 0, dtype=np.intp)
         for key, part in zip(keys, self.parts, strict=True):
             shape = [self.sizes[j] for j in part]
             many = prod(shape)
-            slots = key.astype(np.intp)
-            if node is not None:
-                slots += node * many
+            if node is None:
+                slots[:] = key
+            else:
+                np.multiply(node, many, out=slots, dtype=np.intp)
+                slots += key
             for v, to in zip(kinds, out, strict=True):
                 h = np.bincount(slots, weights=v, minlength=nodes * many).reshape(nodes, *shape)
                 for i, j in enumerate(part):

@@ -210,11 +210,12 @@ def boosted_propensity(x: Facts) -> boosted.Propensity:
     return x.kept["boosted_propensity"]
 
 
-def boosted_outcomes(x: Facts, *, robust: bool) -> DataFrame:
-    groups = features.groups_of(x)
-    full = cells.from_facts(x, groups, tuple(features.covariates(features.frame(x, groups))))
-    rest = x.once("boosted_residuals", lambda: boosted.outcome_residuals(full, boosted_propensity(x), models.PROFILES["gbm_y"]))
-    return boosted.imputed(full, rest, robust=robust).drop("method")
+def boosted_outcomes(x: Facts) -> boosted.Outcomes:
+    """The boosted control outcomes, fitted once for the queries that read them."""
+    if "boosted_outcomes" not in x.kept:
+        groups = features.groups_of(x)
+        x.kept["boosted_outcomes"] = boosted.outcomes(cells.from_facts(x, groups, tuple(features.covariates(features.frame(x, groups)))), models.PROFILES["gbm_y"])
+    return x.kept["boosted_outcomes"]
 
 
 @query
@@ -229,12 +230,15 @@ def match_ps_gbm_k3(x: Facts) -> DataFrame:
 
 @query
 def dm_impute_t_att_gbm(x: Facts) -> DataFrame:
-    return boosted_outcomes(x, robust=False)
+    return boosted.imputed(boosted_outcomes(x)).drop("method")
 
 
 @query
 def dr_att_gbm(x: Facts) -> DataFrame:
-    return boosted_outcomes(x, robust=True)
+    # What both fits read is built before they run beside each other.
+    cells.from_facts(x, features.groups_of(x))
+    e, of = boosted.beside(x.cards.sparkSession, lambda: boosted_propensity(x), lambda: boosted_outcomes(x))
+    return boosted.imputed(of, e).drop("method")
 
 
 @query

@@ -26,10 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet and read again: a stage boundary that outlives executors."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str = "table", **options: str) -> tuple[DataFrame, str]:
+    """``stored``, and the path, for tables that are discarded before the process ends."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``stored_at`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def changed_at(spark: SparkSession, path: str) -> int:

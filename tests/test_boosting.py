@@ -99,3 +99,45 @@ def test_blocks_follow_the_rows_not_the_partitions(spark, monkeypatch, frame):
     few, many = (f.blocks.groupBy("card_a").count().toPandas().set_index("card_a")["count"] for f in found)
     assert (few == 2).all() and (many > 2).any()
     assert all(np.allclose(found[0].trees[card], t) for card, t in found[1].trees.items())
+
+
+def test_imputation_fits_no_propensity(frame, monkeypatch):
+    """Only the doubly robust estimator needs one; the trees then score all rows by themselves."""
+
+    def refuse(*_):
+        raise AssertionError("a propensity")
+
+    monkeypatch.setattr(boosted, "propensity", refuse)
+    rows = models.estimate(frame, ["g", "h"], ["dm_impute_t_att_gbm"], models.PROFILES | PROFILES).collect()
+    assert len(rows) == 6 and sum(r["value"] is not None for r in rows) == 4
+
+
+def test_blocks_are_joint_keys_and_only_the_last_are_kept(frame, monkeypatch):
+    """Blocks hold no column by itself, whole small numbers take a byte, and tables before the last are gone."""
+    gone, discard = [], boosting.discard
+    monkeypatch.setattr(boosting, "discard", lambda spark, path: gone.append(path) or discard(spark, path))
+    monkeypatch.setattr(boosting, "KEPT", 1)
+    rows, targets = rows_of(frame, False)
+    fit = boosting.boosted(rows, CORE, targets, {"trees": 3, "rate": 0.1, "depth": 2, "leaf": 5})
+    first = fit.blocks.first()
+    n = len(first["f"]) // (8 * len(targets))
+    assert len(first["keys"]) == 2 * n * len(fit.layout.parts) < 2 * n * len(CORE) and len(first["n"]) == 8 + n
+    assert len(gone) == 3 * 3 and fit.blocks.count() == 6
+
+
+def test_places_and_values_of_a_tree_that_stops_early():
+    rng = np.random.default_rng(1)
+    bins = rng.integers(0, 6, (500, 3)).astype(np.uint8)
+    tree = np.zeros((15, 3))
+    tree[:, 0], tree[:, 2] = -1, rng.random(15)
+    for node, column, cut in ((0, 1, 2), (2, 0, 3), (5, 2, 1)):
+        tree[node, :2] = column, cut
+
+    def plain(row):
+        node = 0
+        while tree[node, 0] >= 0:
+            node = 2 * node + 1 + int(row[int(tree[node, 0])] > tree[node, 1])
+        return tree[node, 2]
+
+    found = boosting.added(np.zeros((500, 1)), tree[None, None], bins, 1.0, 3)[:, 0]
+    assert np.allclose(found, [plain(r) for r in bins])
